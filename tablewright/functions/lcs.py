@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..session import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 
 def _codes(strings, width: int, fill: int) -> np.ndarray:
     joined = "".join(s.ljust(width, "\0") for s in strings)

@@ -29,7 +29,8 @@ def top_shares(df: DataFrame, config: Config = DEFAULT, columns=None) -> dict[st
     for c in columns:
         null[c] = is_null(col(c), types[c])
         text[c] = as_text(col(c), types[c])
-        code[c] = F.xxhash64(null[c], text[c])
+        # 52 bits: quantile sketches hold doubles.
+        code[c] = F.shiftrightunsigned(F.xxhash64(null[c], text[c]), 12)
     first = aggregate_row(df, [F.count(F.lit(1)).alias("n")] + [
         F.approx_percentile(code[c], 0.5, 200).alias(f"h{i}") for i, c in enumerate(columns)])
     n = first["n"]
@@ -51,7 +52,7 @@ def top_shares(df: DataFrame, config: Config = DEFAULT, columns=None) -> dict[st
         mixed = second[f"lo{i}"] != second[f"hi{i}"] or 0 < second[f"z{i}"] < second[f"n{i}"]
         (unsure.append(c) if mixed else out.__setitem__(c, second[f"n{i}"] / n))
     for c in unsure:
-        # Two values share a 64-bit hash: count the values behind it.
+        # Two values share a hash: count the values themselves.
         best = (df.select(null[c].alias("z"), text[c].alias("v")).groupBy("z", "v").count()
                 .agg(F.max("count")).first()[0])
         if best >= math.ceil(need):

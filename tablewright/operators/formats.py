@@ -17,7 +17,7 @@ def date_columns(df: DataFrame, config: Config) -> list[str]:
     return [c for c in field_types(df) if config.has_role(c, DATE_WORDS)]
 
 
-def _labelled(df: DataFrame, config: Config, checks) -> list:
+def labelled_columns(df: DataFrame, config: Config, checks) -> list:
     """(column, check, label expression, possible labels) for each check."""
     types = field_types(df)
     out = []
@@ -45,7 +45,7 @@ def format_counts(df: DataFrame, config: Config = DEFAULT, checks=CHECKS,
     if sample_fraction is not None:
         df = df.sample(fraction=sample_fraction, seed=seed)
     # The label is computed once per row and column, then counted.
-    labelled = _labelled(df, config, checks)
+    labelled = labelled_columns(df, config, checks)
     narrowed = df.select(*[expr.alias(f"l{i}") for i, (_, _, expr, _) in enumerate(labelled)])
     rows = [((c, check, label), {"n": F.count_if(F.col(f"l{i}") == label)})
             for i, (c, check, _, labels) in enumerate(labelled) for label in labels]

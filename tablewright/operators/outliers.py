@@ -25,26 +25,30 @@ class Fences:
     upper: float
 
 
-def fit_fences(df: DataFrame, config: Config = DEFAULT, columns=None) -> dict[str, Fences]:
-    """Statistics of every numeric column with enough values."""
+def fit_fences(df: DataFrame, config: Config = DEFAULT, columns=None,
+               basics: dict[str, dict] | None = None) -> dict[str, Fences]:
+    """Statistics of every numeric column with enough values.
+
+    ``basics`` may carry count, mean and deviation from an earlier scan.
+    """
     values = numeric_values(df, columns)
     if not values:
         return {}
-    aggregates = []
-    for i, v in enumerate(values.values()):
-        aggregates += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
-    row = aggregate_row(df, aggregates)
-    names = list(values)
-    kept = [c for i, c in enumerate(names) if row[f"n{i}"] >= max(1, config.min_outlier_rows)]
-    counts = {c: row[f"n{names.index(c)}"] for c in kept}
-    quartiles = quantiles(df, {c: values[c] for c in kept}, [0.25, 0.75], counts,
+    if basics is None:
+        aggregates = []
+        for i, v in enumerate(values.values()):
+            aggregates += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
+        row = aggregate_row(df, aggregates)
+        basics = {c: {"n": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"]}
+                  for i, c in enumerate(values)}
+    counts = {c: basics[c]["n"] for c in values if basics[c]["n"] >= max(1, config.min_outlier_rows)}
+    quartiles = quantiles(df, {c: values[c] for c in counts}, [0.25, 0.75], counts,
                           config.exact_quantile_rows)
     out = {}
-    for c in kept:
-        i = names.index(c)
+    for c, n in counts.items():
         q1, q3 = quartiles[c]
         reach = config.iqr_multiplier * (q3 - q1)
-        out[c] = Fences(counts[c], row[f"m{i}"], row[f"s{i}"], q1, q3, q1 - reach, q3 + reach)
+        out[c] = Fences(n, basics[c]["mean"], basics[c]["std"], q1, q3, q1 - reach, q3 + reach)
     return out
 
 

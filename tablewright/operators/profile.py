@@ -13,16 +13,31 @@ from .rows import (ROW_ID, aggregate_row, col, field_types, is_numeric,
                    tall_aggregates, value_counts)
 
 
+# Bytes per value of the fixed-width types; 8 for all others.
+WIDTHS = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4,
+          T.FloatType: 4, T.DateType: 4}
+
+
 def type_histogram(df: DataFrame) -> dict[str, int]:
     """How many columns have each type; metadata only."""
     return dict(Counter(t.simpleString() for t in field_types(df).values()))
 
 
 def text_bytes(df: DataFrame):
-    """Aggregate: logical bytes of the table as text, over all columns."""
+    """Aggregate: logical bytes of the table.
+
+    Text counts its encoded length, nested values their JSON length, and
+    everything else the fixed width of its type.
+    """
     total = F.lit(0).cast("bigint")
     for name, dtype in field_types(df).items():
-        total = total + F.coalesce(F.octet_length(as_text(col(name), dtype)), F.lit(0)).cast("bigint")
+        if isinstance(dtype, (T.StringType, T.BinaryType)):
+            size = F.coalesce(F.octet_length(col(name)), F.lit(0))
+        elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = F.coalesce(F.octet_length(F.to_json(col(name))), F.lit(0))
+        else:
+            size = F.when(col(name).isNotNull(), F.lit(WIDTHS.get(type(dtype), 8))).otherwise(F.lit(0))
+        total = total + size.cast("bigint")
     return F.sum(total)
 
 

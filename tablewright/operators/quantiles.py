@@ -33,6 +33,7 @@ class _Target:
     hi: object = None
     value: object = None
     done: bool = False
+    stalled: bool = False        # the sketch cut nothing off: halve the value range
 
 
 def _inside(c: Column, t: _Target) -> Column:
@@ -72,7 +73,10 @@ def _narrow(df: DataFrame, columns: Mapping[str, Column], targets: list[_Target]
         values = _inside(columns[first.name], first)
         if first.inside <= LIST_LIMIT:
             aggregates.append(F.array_sort(F.collect_list(values)).alias(f"g{g}"))
-            plan.append((g, members, None))
+            plan.append((g, members, "list"))
+        elif any(t.stalled for t in members):
+            aggregates.append(F.array(F.min(values), F.max(values)).alias(f"g{g}"))
+            plan.append((g, members, "halve"))
         else:
             slack = 2.0 / SKETCH_ACCURACY
             probs = []
@@ -81,17 +85,22 @@ def _narrow(df: DataFrame, columns: Mapping[str, Column], targets: list[_Target]
                 probs += [max(0.0, at - slack), min(1.0, at + slack)]
             aggregates.append(F.approx_percentile(
                 values, [float(p) for p in probs], SKETCH_ACCURACY).alias(f"g{g}"))
-            plan.append((g, members, probs))
+            plan.append((g, members, "sketch"))
     row = aggregate_row(df, aggregates)
 
     cuts = []
-    for g, members, probs in plan:
-        if probs is None:
-            for t in members:
-                t.value, t.done = row[f"g{g}"][t.rank - t.below], True
-        else:
-            for i, t in enumerate(members):
-                cuts.append((t, row[f"g{g}"][2 * i], row[f"g{g}"][2 * i + 1]))
+    for g, members, how in plan:
+        found = row[f"g{g}"]
+        for i, t in enumerate(members):
+            if how == "list":
+                t.value, t.done = found[t.rank - t.below], True
+            elif how == "halve":
+                # Sketches hold doubles, so whole numbers beyond 2^53 may fall
+                # between two of their values.
+                mid = found[0] + (found[1] - found[0]) // 2
+                cuts.append((t, mid, mid))
+            else:
+                cuts.append((t, found[2 * i], found[2 * i + 1]))
     if not cuts:
         return
 
@@ -104,7 +113,9 @@ def _narrow(df: DataFrame, columns: Mapping[str, Column], targets: list[_Target]
                      F.count_if(c == F.lit(b)).alias(f"eb{i}")]
     n = aggregate_row(df, counting)
     for i, (t, a, b) in enumerate(cuts):
+        size = t.inside
         _place(t, a, b, n[f"lt{i}"], n[f"ea{i}"], n[f"in{i}"], n[f"eb{i}"])
+        t.stalled = not t.done and t.inside == size
 
 
 def _place(t: _Target, a, b, lt: int, ea: int, between: int, eb: int) -> None:

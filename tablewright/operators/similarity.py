@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..config import DEFAULT, NEAR_DUPLICATE_WORDS, Config
 from ..functions import token_sort_key
 from ..functions.lcs import lcs_lengths
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_with_tasks
 from .rows import ROW_ID, col, string_columns, with_dense_index
 
+ship_with_tasks(__name__)
+
 MAX_DELETIONS = 2          # short branch: variants with up to this many deletions
 HASH_BUCKETS = 4096        # gram frequency table, fixed size
 GROUP_ROWS = 20_000        # salt gram groups expected to exceed this

@@ -17,7 +17,7 @@ from ..session import cut_lineage
 from . import fitting
 from .decisions import Decision, Decisions, Issues, decide, identify
 from .report import issue_report, narrative
-from .validation import Validation, metrics_of, quality_score, validate
+from .validation import Validation, quality_score, validate
 
 
 @dataclass
@@ -46,9 +46,14 @@ class CleanResult:
     validation: Validation
     report: str
     narrative: str
-    observation: dict[str, DataFrame]
+    source: DataFrame
+    config: Config
     files: int = 1
 
+    def observe(self) -> dict[str, DataFrame]:
+        """Profile of the table as it came in."""
+        return observe(self.source, self.config)
+
     def summary(self) -> dict:
         """Counts a caller shows first."""
         ba = self.validation.before_after
@@ -138,7 +143,7 @@ def analyze(df: DataFrame, config: Config = DEFAULT, as_of=None, order_by: str |
     """Detect only: issues, report and overview; nothing is repaired."""
     df = with_row_id(df, order_by)
     issues = identify(df, config, as_of, examples=True)
-    overview = info(df)
+    overview = issues.scan.info()
     examples: dict[str, list] = {}
     if issues.missing:
         only = df.select(ROW_ID, *[col(c) for c in issues.missing])
@@ -157,10 +162,10 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
     ``recheck_steps`` adds a scan per step for row and null counts.
     """
     source = with_row_id(df, order_by)
-    observation = observe(source, config)
     issues, report = analyze(source, config, as_of)
     decisions = decide(source, issues, config)
-    original = metrics_of(source)
+    original = {"rows": issues.n_rows, "columns": len(field_types(source)),
+                "missing": issues.scan.null_cells, "duplicates": issues.exact_duplicates}
 
     plan, log = CleaningPlan(), []
 
@@ -197,7 +202,7 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
 
     _document(decisions, plan)
     return CleanResult(current.drop(ROW_ID), plan, issues, decisions, log, checked, report,
-                       narrative(decisions, checked, log), observation, files)
+                       narrative(decisions, checked, log), source, config, files)
 
 
 def _document(decisions: Decisions, plan: CleaningPlan) -> None:

@@ -12,13 +12,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, SKIP_OUTLIER_WORDS, Config
-from ..operators.broken import broken_counts, broken_examples
+from ..operators.broken import broken_examples
 from ..operators.categories import case_variants, variant_groups
 from ..operators.duplicates import duplicate_rows, exact_duplicates
-from ..operators.formats import format_issues
-from ..operators.missing import missing_profile
 from ..operators.outliers import fit_fences, outlier_counts
 from ..operators.rows import ROW_ID, field_types, is_numeric
+from ..operators.scan import TableScan, scan_table
 from ..operators.similarity import near_pairs
 
 
@@ -26,6 +25,7 @@ from ..operators.similarity import near_pairs
 class Issues:
     """Summary of all detectors; at most a few entries per column."""
 
+    scan: TableScan = field(default_factory=TableScan)
     n_rows: int = 0
     missing: dict[str, dict] = field(default_factory=dict)
     formats: dict[str, str] = field(default_factory=dict)
@@ -53,26 +53,24 @@ REPORTED_PAIRS = 30
 def identify(df: DataFrame, config: Config = DEFAULT, as_of=None, examples: bool = False) -> Issues:
     """Run every detector and bring back the per-column summaries.
 
-    Row-level results stay on the cluster: only counts, labels and, on
+    Missing, format, broken and numeric summaries share one scan.  Row-level
+    results stay on the cluster: only counts, labels and, on
     request, a fixed number of examples per issue are collected.
     """
-    issues = Issues()
-    for r in missing_profile(df, config).collect():
-        issues.n_rows = r["n_rows"]
-        if r["n_missing"] > 0:
-            issues.missing[r["column_name"]] = r.asDict()
-    for r in format_issues(df, config).collect():
-        issues.formats[r["issue"]] = r["labels"]
-    for r in broken_counts(df, config, as_of).collect():
-        issues.broken[f"{r['column_name']}_{r['rule']}"] = {
-            "column": r["column_name"], "rule": r["rule"], "count": r["n"], "examples": []}
+    scan = scan_table(df, config, as_of)
+    issues = Issues(scan=scan, n_rows=scan.n_rows)
+    issues.missing = {c: m for c, m in scan.missing.items() if m["n_missing"]}
+    issues.formats = {f"{c}_{check}": ", ".join(sorted(labels))
+                      for (c, check), labels in scan.formats.items() if len(labels) > 1}
+    issues.broken = {f"{c}_{r}": {"column": c, "rule": r, "count": n, "examples": []}
+                     for (c, r), n in scan.broken.items()}
     issues.exact_duplicates = exact_duplicates(df).first()["n_duplicates"]
     issues.near_pairs = [r.asDict() for r in near_pairs(df, config=config, k=REPORTED_PAIRS).collect()]
     summary = (variant_groups(df).groupBy("column_name")
                .agg(F.count(F.lit(1)).alias("n_categories"), F.sum("n_variants").alias("n_variants")))
     for r in summary.collect():
         issues.contradictory[f"{r['column_name']}_case_inconsistencies"] = r.asDict()
-    fences = fit_fences(df, config)
+    fences = fit_fences(df, config, basics=scan.numeric)
     for r in outlier_counts(df, config, fences=fences).collect():
         issues.outliers[r["column_name"]] = r.asDict()
     if examples:

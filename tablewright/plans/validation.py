@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import is_null
-from ..operators.broken import broken_counts
 from ..operators.duplicates import exact_duplicates
-from ..operators.missing import missing_profile
-from ..operators.outliers import outlier_counts
-from ..operators.profile import info
+from ..operators.outliers import fit_fences, outlier_counts
 from ..operators.rows import col, field_types
+from ..operators.scan import scan_table
 
 
 def table_metrics(df: DataFrame) -> DataFrame:
@@ -86,15 +84,19 @@ def validate(before: DataFrame | dict, after: DataFrame, loop: int = 1, config:
     ``before`` may be the metrics of the original table, so that a loop does
     not read it again.
     """
-    marker = [c for c in (config.near_duplicate_column,) if c in after.columns]
-    data = after.drop(*marker)
-    missing = {r["column_name"]: r["n_missing"] for r in missing_profile(data, config).collect() if r["n_missing"]}
-    broken = {f"{r['column_name']}_{r['rule']}": r["n"] for r in broken_counts(data, config, as_of).collect()}
-    outliers = {r["column_name"]: r.asDict() for r in outlier_counts(data, config).collect()}
-    before_metrics = before if isinstance(before, dict) else metrics_of(before)
+    data = after.drop(*[c for c in (config.near_duplicate_column,) if c in after.columns])
+    scan = scan_table(data, config, as_of, formats=False)
+    missing = {c: m["n_missing"] for c, m in scan.missing.items() if m["n_missing"]}
+    broken = {f"{c}_{r}": n for (c, r), n in scan.broken.items()}
+    fences = fit_fences(data, config, basics=scan.numeric)
+    outliers = {r["column_name"]: r.asDict() for r in outlier_counts(data, config, fences=fences).collect()}
+    now = {"rows": scan.n_rows, "columns": len(field_types(after)), "missing": scan.null_cells,
+           "duplicates": exact_duplicates(after).first()["n_duplicates"]}
+    original = before if isinstance(before, dict) else metrics_of(before)
     remain = bool(missing or broken or (loop < config.max_loops and any(o["n_iqr"] for o in outliers.values())))
-    return Validation(loop, info(after), missing, broken, outliers,
-                      compare(before_metrics, metrics_of(after)), remain)
+    facts = scan.info()
+    facts["shape"] = (scan.n_rows, now["columns"])
+    return Validation(loop, facts, missing, broken, outliers, compare(original, now), remain)
 
 
 def quality_score(rows_before: int, rows_after: int) -> int:

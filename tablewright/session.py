@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +45,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_with_tasks(module_name: str) -> None:
+    """Send this module's functions to the executors by value.
+
+    Tasks then need no copy of the package on the workers.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
