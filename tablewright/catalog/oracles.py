@@ -99,7 +99,7 @@ def outlier_count(c: str) -> str:
 
 
 def outlier_examples(c: str) -> str:
-    return (f"SELECT '{c}' AS column_name, row_number() OVER (ORDER BY event_id) AS rank, event_id AS _row_id, "
+    return (f"SELECT '{c}' AS column_name, row_number() OVER (ORDER BY event_id)::INT AS rank, event_id AS _row_id, "
             f"{c} AS value FROM {SE} t, ({fences(SE, c)}) f WHERE {c} < lo OR {c} > hi QUALIFY rank <= 5")
 
 
@@ -301,7 +301,7 @@ ORACLES: dict[str, str] = {
     "p8_numeric_profile": NUMERIC,
     "p8_numeric_profile_refined": NUMERIC,
     "p9_top_values": union(
-        f"(SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank, {c} AS value, count(*) AS n "
+        f"(SELECT '{c}' AS column_name, row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS rank, {c} AS value, count(*) AS n "
         f"FROM part GROUP BY {c} QUALIFY rank <= 3)" for c in ("p_name", "p_brand", "p_type")),
     "m1_m4_missing_profile": union(missing_row(c, c in DC_TEXT) for c in DC_COLUMNS),
     "m6_missing_examples": union(
@@ -320,7 +320,7 @@ ORACLES: dict[str, str] = {
     "b5_unparseable_dates": violations(DO, "o_orderkey", "unparseable_dates", "order_date", f"{parse_date('order_date')} IS NULL"),
     "b6_future_births": violations(BI, "o_orderkey", "future_birth_dates", "birth_date", "CAST(birth_date AS TIMESTAMP) > TIMESTAMP '1999-01-01'"),
     "b_broken_counts": f"SELECT column_name, rule, count(*) AS n FROM ({ALL_VIOLATIONS}) GROUP BY 1, 2",
-    "b7_broken_examples": (f"SELECT column_name, rule, row_number() OVER (PARTITION BY column_name, rule ORDER BY _row_id) AS rank, "
+    "b7_broken_examples": (f"SELECT column_name, rule, row_number() OVER (PARTITION BY column_name, rule ORDER BY _row_id)::INT AS rank, "
                            f"_row_id, value FROM ({ALL_VIOLATIONS}) QUALIFY rank <= 5"),
     "d1_exact_duplicates": (f"SELECT sum(c)::BIGINT AS n_rows, sum(c - 1)::BIGINT AS n_duplicates, "
                             f"count(*) FILTER (c > 1) AS n_duplicate_groups FROM (SELECT *, count(*) AS c FROM {DL} t GROUP BY ALL)"),

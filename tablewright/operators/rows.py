@@ -51,7 +51,12 @@ def with_dense_index(df: DataFrame, name: str, order_by: str | None = ROW_ID) ->
     sort may cut the ranges elsewhere), and each partition's start follows from
     the partition row counts: one number per partition reaches the driver.
     """
-    ordered = df.orderBy(order_by) if order_by else df
+    if order_by:
+        # The hash lets the range cuts fall inside a run of equal keys.
+        plain = [col(c) for c, t in field_types(df).items() if not _has_map(t)]
+        ordered = df.orderBy(col(order_by), F.xxhash64(*plain))
+    else:
+        ordered = df
     low = F.lit((1 << 33) - 1)
     mono = F.monotonically_increasing_id()
     placed = cut_lineage(ordered.withColumn("_part", F.shiftright(mono, 33))

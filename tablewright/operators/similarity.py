@@ -240,13 +240,13 @@ def near_pairs(df: DataFrame, columns=None, config: Config = DEFAULT, k: int | N
 
 # --- position window --------------------------------------------------------
 
-KEPT, FLAGGED, OPEN = 0, 1, 2
+def _similar_in_window(keys: list[str], window: int, threshold: int, blanks: bool):
+    """Matching positions (earlier, later) within the window, ordered by later.
 
-
-def _similar_in_window(keys: list[str], window: int, threshold: int, blanks: bool) -> list[list[int]]:
-    """For each position, earlier positions within the window that match it."""
+    Length and letter counts bound the score from above and drop most pairs;
+    each remaining pair of different keys is compared once.
+    """
     n = len(keys)
-    out: list[list[int]] = [[] for _ in range(n)]
     codes, uniques = pd.factorize(np.array(keys, dtype=object))
     uniques = list(uniques)
     length = np.array([len(u) for u in uniques], dtype=np.int64)
@@ -256,53 +256,77 @@ def _similar_in_window(keys: list[str], window: int, threshold: int, blanks: boo
             at = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % 64
             bag[u] = np.bincount(at, minlength=64)
     blank = length == 0
-    pos_a, pos_b = [], []
+    first, pair = [], []
     for offset in range(1, min(window, n)):
         a, b = codes[:-offset], codes[offset:]
         total = length[a] + length[b]
-        keep = np.flatnonzero((2 * np.minimum(length[a], length[b]) * 200 >= (2 * threshold - 1) * total)
+        keep = np.flatnonzero((400 * np.minimum(length[a], length[b]) >= (2 * threshold - 1) * total)
                               & (blanks | (~blank[a] & ~blank[b])))
-        if len(keep) == 0:
-            continue
-        shared = np.minimum(bag[a[keep]], bag[b[keep]]).sum(axis=1, dtype=np.int64)
-        keep = keep[400 * shared >= (2 * threshold - 1) * total[keep]]
-        pos_a.append(keep)
-        pos_b.append(keep + offset)
-    if not pos_a:
-        return out
-    pa, pb = np.concatenate(pos_a), np.concatenate(pos_b)
-    lo, hi = np.minimum(codes[pa], codes[pb]), np.maximum(codes[pa], codes[pb])
-    pair, inverse = np.unique(lo.astype(np.int64) * len(uniques) + hi, return_inverse=True)
-    x, y = pair // len(uniques), pair % len(uniques)
-    lcs = np.where(x == y, length[x], 0).astype(np.int64)
+        lo, hi = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
+        first.append(np.stack([keep, keep + offset]).astype(np.int32))
+        pair.append(lo.astype(np.int64) * len(uniques) + hi)
+    if not first:
+        return np.zeros((2, 0), dtype=np.int32)
+    at, code = np.concatenate(first, axis=1), np.concatenate(pair)
+    distinct, inverse = np.unique(code, return_inverse=True)
+    x, y = distinct // len(uniques), distinct % len(uniques)
+    total = length[x] + length[y]
+    lcs = np.where(x == y, length[x], 0)
     other = np.flatnonzero(x != y)
+    shared = np.concatenate([np.minimum(bag[x[o]], bag[y[o]]).sum(axis=1, dtype=np.int64)
+                             for o in np.array_split(other, len(other) // 65536 + 1)])
+    other = other[400 * shared >= (2 * threshold - 1) * total[other]]
     lcs[other] = lcs_lengths([uniques[i] for i in x[other]], [uniques[i] for i in y[other]])
-    total = length[x] + length[y]
     score = np.where(total == 0, 100, np.rint(200.0 * lcs / np.maximum(total, 1)))
-    good = (score >= threshold)[inverse]
-    for i, j in zip(pa[good].tolist(), pb[good].tolist()):
-        out[j].append(i)
-    return out
+    at = at[:, (score >= threshold)[inverse]]
+    return at[:, np.argsort(at[1], kind="stable")]
+
+
+def _settle_block(keys: list[str], start: int, given: np.ndarray | None, window: int, threshold: int,
+                  blanks: bool, greedy: bool) -> np.ndarray:
+    """Flags of the rows of one block.
+
+    The first ``start`` rows precede the block.  ``given`` holds their last
+    flags if known; otherwise they are worked out as if nothing came before.
+    """
+    n = len(keys)
+    earlier, later = _similar_in_window(keys, window, threshold, blanks)
+    flags = np.zeros(n, dtype=bool)
+    if not greedy:
+        flags[later] = True
+        return flags
+    begin = 0
+    if given is not None:
+        flags[start - len(given):start] = given
+        begin = start
+    bounds = np.searchsorted(later, np.arange(n + 1))
+    for r in range(begin, n):
+        lo, hi = bounds[r], bounds[r + 1]
+        if lo < hi:
+            flags[r] = not flags[earlier[lo:hi]].all()
+    return flags
 
 
 def window_flags(df: DataFrame, column: str, index: str, config: Config = DEFAULT,
-                 block_rows: int = 8192) -> DataFrame:
+                 block_rows: int = 16_384) -> DataFrame:
     """(index, flagged) for rows similar to an earlier row within the window.
 
     ``index`` is dense.  Rows are grouped into blocks of consecutive
-    positions, each with the preceding rows it can depend on, so groups have a
-    fixed size whatever the values are.
+    positions, each with the rows just before it, so every group has a fixed
+    size whatever the values are.
 
     Mode ``any_earlier`` flags a row when any similar earlier row exists.
-    Mode ``greedy`` ignores rows that are flagged themselves.  A block settles
-    every row whose state does not depend on rows before its lead-in; the few
-    left open are settled by repeated joins over their links only.
+    Mode ``greedy`` ignores earlier rows that are flagged themselves, so a
+    block depends on the flags at the end of the one before.  Blocks first run
+    with flags worked out from a lead-in; a block whose assumption differs
+    from what its predecessor found runs again with the found flags, until all
+    agree.  Flags forget their start quickly, so few blocks run twice.
     """
-    window, threshold = config.near_duplicate_window, config.similarity_threshold
+    window, threshold, blanks = config.near_duplicate_window, config.similarity_threshold, config.blanks_match
     greedy = config.near_duplicate_mode == "greedy"
     reach = window - 1
-    lead = min(block_rows, 4 * reach if greedy else reach)
-    blanks = config.blanks_match
+    block_rows = max(block_rows, window)
+    lead = min(block_rows, 16 * reach if greedy else reach)
 
     key = F.coalesce(token_sort_key(col(column)), F.lit(""))
     rows = df.select(F.col(index).cast("bigint").alias("idx"), key.alias("key"))
@@ -310,61 +334,43 @@ def window_flags(df: DataFrame, column: str, index: str, config: Config = DEFAUL
     into_next = F.pmod(F.col("idx"), F.lit(block_rows)) >= block_rows - lead
     placed = rows.select("idx", "key", F.explode(
         F.when(into_next, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"))
+    schema = "block bigint, used binary, tail binary, flagged array<bigint>"
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, given: np.ndarray | None) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         idx = pdf["idx"].to_numpy()
-        start = int(pdf["block"].iloc[0]) * block_rows
-        links = _similar_in_window(pdf["key"].tolist(), window, threshold, blanks)
-        state = np.zeros(len(idx), dtype=np.int8)
-        for r, earlier in enumerate(links):
-            if not greedy:
-                state[r] = FLAGGED if earlier else KEPT
-                continue
-            unseen = idx[0] > 0 and idx[r] - reach < idx[0]
-            if any(state[i] == KEPT for i in earlier):
-                state[r] = FLAGGED
-            elif unseen or any(state[i] == OPEN for i in earlier):
-                state[r] = OPEN
-            else:
-                state[r] = KEPT
-        own = np.flatnonzero(idx >= start)
+        number = int(pdf["block"].iloc[0])
+        start = int(np.searchsorted(idx, number * block_rows))
+        if start == len(idx):
+            # Only lead-in rows: the table ends with the block before.
+            return pd.DataFrame({"block": [], "used": [], "tail": [], "flagged": []}).astype(object)
+        flags = _settle_block(pdf["key"].tolist(), start, given, window, threshold, blanks, greedy)
+        back = min(reach, start)
         return pd.DataFrame({
-            "idx": idx[own], "state": state[own].astype(np.int32),
-            "links": pd.Series([[int(idx[i]) for i in links[r] if state[i] == OPEN]
-                                if state[r] == OPEN else [] for r in own], dtype=object)})
+            "block": [number], "used": [flags[start - back:start].astype(np.uint8).tobytes()],
+            "tail": [flags[max(start, len(idx) - reach):].astype(np.uint8).tobytes()],
+            "flagged": pd.Series([idx[start:][flags[start:]].tolist()], dtype=object)})
+
+    def guess(pdf: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf, None)
+
+    def rerun(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf, np.frombuffer(found["tail"].iloc[0], dtype=np.uint8).astype(bool))
 
-    settled = cut_lineage(placed.groupBy("block").applyInPandas(
-        settle, "idx bigint, state int, links array<bigint>"))
-    flagged = settled.filter(F.col("state") == FLAGGED).select("idx")
     if greedy:
-        extra = _settle_open(settled)
-        if extra is not None:
-            flagged = flagged.unionByName(extra)
-    return flagged.select(F.col("idx").alias(index), F.lit(True).alias("flagged"))
-
-
-def _settle_open(settled: DataFrame) -> DataFrame | None:
-    """Resolve rows left open by the blocks; returns those that get flagged."""
-    rows = settled.filter(F.col("state") == OPEN)
-    links = rows.select("idx", F.explode_outer("links").alias("earlier"))
-    known = settled.select(F.col("idx").alias("earlier"), F.col("state").alias("earlier_state"))
-    links = cut_lineage(links.join(known, "earlier", "left"))
-    flagged = None
-    while not links.isEmpty():
-        verdict = (links.groupBy("idx").agg(
-            F.coalesce(F.bool_or(F.col("earlier_state") == KEPT), F.lit(False)).alias("hit"),
-            F.coalesce(F.bool_or(F.col("earlier_state") == OPEN), F.lit(False)).alias("wait"))
-            .withColumn("state", F.when(F.col("hit"), FLAGGED).when(F.col("wait"), OPEN).otherwise(KEPT)))
-        verdict = cut_lineage(verdict.select("idx", "state"))
-        done = verdict.filter(F.col("state") == FLAGGED).select("idx")
-        flagged = done if flagged is None else flagged.unionByName(done)
-        pending = verdict.filter(F.col("state") == OPEN).select("idx")
-        update = verdict.select(F.col("idx").alias("earlier"), F.col("state").alias("new_state"))
-        links = cut_lineage(links.join(pending, "idx", "left_semi").join(update, "earlier", "left")
-                            .select("idx", "earlier",
-                                    F.coalesce("new_state", "earlier_state").alias("earlier_state")))
-    return flagged
+        placed = cut_lineage(placed)
+    settled = cut_lineage(placed.groupBy("block").applyInPandas(guess, schema))
+    while greedy:
+        # One short row per block takes part in this comparison.
+        before = settled.select((F.col("block") + 1).alias("block"), "tail")
+        wrong = cut_lineage(settled.select("block", "used").join(before, "block")
+                            .filter("used <> tail").select("block", "tail"))
+        if wrong.isEmpty():
+            break
+        again = (placed.join(wrong.select("block"), "block", "left_semi").groupBy("block")
+                 .cogroup(wrong.groupBy("block")).applyInPandas(rerun, schema))
+        settled = cut_lineage(settled.join(wrong.select("block"), "block", "left_anti").unionByName(again))
+    return settled.select(F.explode("flagged").alias(index), F.lit(True).alias("flagged"))
 
 
 def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, column: str | None = None) -> DataFrame:
