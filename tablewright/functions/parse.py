@@ -56,4 +56,4 @@ def parse_date(c: Column) -> Column:
 
 def iso_day(ts: Column) -> Column:
     """``yyyy-MM-dd`` text of a date or timestamp."""
-    return F.date_format(ts, "yyyy-MM-dd")
+    return ts.cast("date").cast("string")
