@@ -122,19 +122,22 @@ def _place(t: _Target, a, b, lt: int, ea: int, between: int, eb: int) -> None:
     """Use the exact counts to keep only the part that holds the rank."""
     if a == b:
         between, eb = 0, 0
+    # A rounded sketch value may lie outside the bracket; it must not widen it.
+    raised = a if t.lo is None else max(t.lo, a)
+    lowered = b if t.hi is None else min(t.hi, b)
     at = t.rank - t.below
     if at < lt:
-        t.hi, t.inside = a, lt
+        t.hi, t.inside = (a if t.hi is None else min(t.hi, a)), lt
     elif at < lt + ea:
         t.value, t.done = a, True
     elif at < lt + ea + between:
-        t.lo, t.hi = a, b
+        t.lo, t.hi = raised, lowered
         t.below, t.inside = t.below + lt + ea, between
     elif at < lt + ea + between + eb:
         t.value, t.done = b, True
     else:
         passed = lt + ea + between + eb
-        t.lo = b
+        t.lo = b if t.lo is None else max(t.lo, b)
         t.below, t.inside = t.below + passed, t.inside - passed
 
 
