@@ -100,6 +100,12 @@ def header_names(text: str, separator: str) -> list[str]:
     return out
 
 
+def _touch(c):
+    """Always true, but reads the column: Spark refuses queries that touch
+    nothing but the corrupt-record column, as a plain count would."""
+    return F.coalesce(F.length(F.to_json(F.struct(c.alias("x")))), F.lit(0)) >= 0
+
+
 def read_delimited(spark: SparkSession, paths: Sequence[str], names: Sequence[str], separator: str = ",",
                    multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows as text, rejected lines) of files that share a header.
@@ -118,6 +124,7 @@ def read_delimited(spark: SparkSession, paths: Sequence[str], names: Sequence[st
     unquoted = F.regexp_replace(col(CORRUPT), r'"(?:[^"]|"")*"', "")
     n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
     surplus = F.coalesce(n_fields > len(names), F.lit(False))
+    raw = raw.filter(_touch(col(names[0])))
     kept = raw.filter(~surplus).select(*[col(n) for n in names])
     rejected = raw.filter(surplus).select(F.col("_metadata.file_path").alias("path"),
                                           col(CORRUPT).alias("record"))
@@ -273,12 +280,14 @@ def load_directory(spark: SparkSession, directory: str, file_types: Sequence[str
             if form == "json":
                 df = read_json(spark, paths, how, names)
                 if CORRUPT in df.columns:
+                    fields = [c for c in df.columns if c != CORRUPT]
+                    if not fields:
+                        out.failures += [(p, "no JSON records") for p in paths]
+                        continue
+                    df = df.filter(_touch(col(fields[0])))
                     out.rejected.append(df.filter(col(CORRUPT).isNotNull()).select(
                         F.col("_metadata.file_path").alias("path"), col(CORRUPT).alias("record")))
                     df = df.filter(col(CORRUPT).isNull()).drop(CORRUPT)
-                    if not df.columns:
-                        out.failures += [(p, "no JSON records") for p in paths]
-                        continue
                 df = parse_date_keys(df)
             else:
                 df, rejected = read_delimited(spark, paths, names, how, multi_line)
