@@ -151,12 +151,15 @@ def lower_strip(c: str) -> str:
     return f"lower({strip(c)})"
 
 
-SORT_KEY = ("array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(p_name), "
-            "'[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '')), ' ')")
+def sort_key(c: str) -> str:
+    return (f"array_to_string(list_sort(list_filter(string_split(regexp_replace(lower({c}), "
+            f"'[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')), ' ')")
 
-# Bit-parallel LCS of all key pairs that pass the length bound.
-LCS = f"""
-keys AS (SELECT {SORT_KEY} AS key, min(p_name) AS v, count(*) AS n FROM {NP} t GROUP BY 1),
+
+def lcs_scores(table: str, c: str) -> str:
+    """Bit-parallel LCS of all key pairs that pass the length bound."""
+    return f"""
+keys AS (SELECT {sort_key(c)} AS key, min({c}) AS v, count(*) AS n FROM {table} t GROUP BY 1),
 pairs AS (SELECT a.key AS ka, b.key AS kb FROM keys a JOIN keys b ON a.key < b.key
           AND 400 * least(length(a.key), length(b.key)) >= 183 * (length(a.key) + length(b.key))),
 steps AS (
@@ -169,6 +172,13 @@ steps AS (
 scores AS (SELECT ka, kb, round_even(200.0::DOUBLE * (length(ka) - bit_count(s)) / (length(ka) + length(kb)), 0)::INT AS score
            FROM steps WHERE j = length(kb) + 1)"""
 
+
+def near_pairs(table: str, c: str) -> str:
+    return (f"WITH RECURSIVE {lcs_scores(table, c)} SELECT '{c}' AS column_name, a.v AS a, b.v AS b, score, "
+            f"a.n AS rows_a, b.n AS rows_b FROM scores JOIN keys a ON ka = a.key JOIN keys b ON kb = b.key "
+            f"WHERE score BETWEEN 92 AND 99")
+
+
 TITLE = ("array_to_string(list_transform(regexp_extract_all(lower({c}), '\\p{{L}}+|\\P{{L}}+'), "
          "lambda w: upper(w[1]) || w[2:]), '')")
 
@@ -326,8 +336,8 @@ ORACLES: dict[str, str] = {
                             f"count(*) FILTER (c > 1) AS n_duplicate_groups FROM (SELECT *, count(*) AS c FROM {DL} t GROUP BY ALL)"),
     "d2_duplicate_rows": ("SELECT * FROM (SELECT 2 * o_orderkey + i AS _row_id, o.* FROM orders o, (VALUES (0), (1)) v(i) "
                           "WHERE o_orderkey % 50 = 0) ORDER BY _row_id LIMIT 20"),
-    "d4_near_pairs": (f"WITH RECURSIVE {LCS} SELECT 'p_name' AS column_name, a.v AS a, b.v AS b, score, a.n AS rows_a, b.n AS rows_b "
-                      f"FROM scores JOIN keys a ON ka = a.key JOIN keys b ON kb = b.key WHERE score BETWEEN 92 AND 99"),
+    "d4_near_pairs": near_pairs(NP, "p_name"),
+    "d4_near_pairs_customers": near_pairs("customer", "c_name"),
     "d5_key_repeats": f"SELECT 'p_name' AS column_name, p_name AS value, count(*) AS n FROM {NP} t GROUP BY p_name HAVING count(*) > 1",
     "o2_zscore_outliers": outlier_rows(Z),
     "o3_iqr_outliers": outlier_rows(IQR),
@@ -371,7 +381,7 @@ ORACLES: dict[str, str] = {
     "x15_integral_cast": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS l_quantity, l_tax FROM lineitem",
     "x16_drop_duplicates": f"SELECT DISTINCT * FROM {DP} t",
     "x17_near_flags_any_earlier": (
-        f"WITH RECURSIVE {LCS}, np AS (SELECT *, {SORT_KEY} AS key, row_number() OVER (ORDER BY p_partkey) AS i FROM {NP} t), "
+        f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key, row_number() OVER (ORDER BY p_partkey) AS i FROM {NP} t), "
         f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "
         f"UNION ALL SELECT key, key FROM keys WHERE key <> '') "
         f"SELECT p_partkey, p_name, EXISTS (SELECT 1 FROM np e JOIN hits ON hits.ka = e.key WHERE hits.kb = np.key "
