@@ -13,7 +13,7 @@ from ..operators.missing import missing_examples
 from ..operators.profile import info, observe
 from ..operators.repairs import Action, apply_actions
 from ..operators.rows import ROW_ID, col, field_types, with_row_id
-from ..session import cut_lineage
+from ..session import write_table
 from . import fitting
 from .decisions import Decision, Decisions, Issues, decide, identify
 from .report import issue_report, narrative
@@ -157,8 +157,9 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
     """Run the full workflow on a table.
 
     Statistics reach the driver, rows never do.  Repairs up to the duplicate
-    step are projections over the source; the deduplicated rows are written to
-    the checkpoint folder once and everything after reads those.
+    step are projections over the source; the deduplicated rows are written
+    once, as Parquet below the checkpoint folder, and everything after reads
+    those.
     ``recheck_steps`` adds a scan per step for row and null counts.
     """
     source = with_row_id(df, order_by)
@@ -174,7 +175,7 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
         plan.actions += actions
         entry = _entry(name, frame, out, actions)
         if name == "fix_duplicates":
-            out = cut_lineage(out)
+            out = write_table(out)
             entry["near_duplicates_flagged"] = (
                 out.agg(F.count_if(col(config.near_duplicate_column))).first()[0]
                 if config.near_duplicate_column in out.columns else 0)

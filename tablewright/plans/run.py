@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..config import DEFAULT, Config
-from ..sources.files import FILE_TYPES, combine, load_directory
+from ..operators.rows import with_row_id
+from ..session import write_table
+from ..sources.files import FILE_TYPES, LoadedTables, combine, load_directory
 from ..sources.sinks import save
 from .cleaning import CleanResult, analyze, clean
 
 
+def _stored(loaded: LoadedTables):
+    """All files as one Parquet table with fixed row ids.
+
+    The workflow scans its input several times; text is parsed only once.
+    """
+    return write_table(with_row_id(combine(loaded.frames())))
+
+
 def clean_directory(spark: SparkSession, directory: str, output: str | None = None,
                     config: Config = DEFAULT, file_types=FILE_TYPES, as_of=None,
                     formats=("csv",)) -> CleanResult:
@@ -17,7 +27,7 @@ def clean_directory(spark: SparkSession, directory: str, output: str | None = No
     loaded = load_directory(spark, directory, file_types)
     if not loaded.tables:
         raise ValueError(f"no readable files in {directory}: {loaded.failures}")
-    result = clean(combine(loaded.frames()), config, as_of=as_of, files=loaded.n_files)
+    result = clean(_stored(loaded), config, as_of=as_of, files=loaded.n_files)
     if output is not None:
         save(result, output, formats)
     return result
@@ -29,4 +39,4 @@ def analyze_directory(spark: SparkSession, directory: str, config: Config = DEFA
     loaded = load_directory(spark, directory, file_types)
     if not loaded.tables:
         raise ValueError(f"no readable files in {directory}: {loaded.failures}")
-    return analyze(combine(loaded.frames()), config, as_of)
+    return analyze(_stored(loaded), config, as_of)

@@ -67,8 +67,8 @@ def test_epoch_date_keys(spark):
 
 def test_directory_runs(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.csv").write_text("id,city\n1,paris\n2,PARIS\n2,PARIS\n")
-    (tmp_path / "in" / "b.csv").write_text("id,city\n3,Rome\n4,\n")
+    (tmp_path / "in" / "a.csv").write_text("id, The City;(x)\n1,paris\n2,PARIS\n2,PARIS\n")
+    (tmp_path / "in" / "b.csv").write_text("id, The City;(x)\n3,Rome\n4,\n")
     result = clean_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_types=["csv"])
     assert result.summary()["files_processed"] == 2 and result.df.count() == 4
     assert (tmp_path / "out" / "narrative").exists()
