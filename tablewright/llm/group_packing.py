@@ -12,6 +12,8 @@ Large ones left over by the rounding, then all small ones, go best-fit: each int
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Sequence
@@ -32,8 +34,8 @@ SMALL = (1 / 4, 1 / 3, 0.45)
 GROUPS = 64
 #: Buckets over which the pieces of one length are ranked.
 RANK_BUCKETS = 256
-#: Chunks of text whose ids a Python process remembers.
-CACHE_CHUNKS = 400_000
+#: Chunks of text after which a Python process begins a new generation of its cache.
+CACHE_CHUNKS = 500_000
 _TAIL = b".,!?*$&#%;:|"
 
 
@@ -46,32 +48,56 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, limit: int = CACHE_CHUNKS):
+        # Spark has a task on every core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.known, self.tails = limit, {}, {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        self.tokenize = self.tokenizer.model.tokenize
+        # Two generations: a full cache grows old, and what is still in use moves on.
+        self.limit, self.known, self.old = limit, {}, {}
+
+    def _encode(self, chunk: bytes) -> bytes:
+        """Ids of one chunk, by the tokenizer's own parts; its pipeline as a whole is slower for single chunks."""
+        text = chunk.decode("utf-8", "replace")
+        if "<|" in text:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif text.isascii() and text.isalpha() and text.islower():
+            # Nothing to normalise or split, and byte-level spelling is the text itself.
+            ids = [t.id for t in self.tokenize(text)]
+        else:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+            ids = [t.id for piece, _ in pieces for t in self.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _recall(self, chunk: bytes) -> bytes | None:
+        ids = self.known.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            if ids is not None:
+                self.known[chunk] = ids
+        return ids
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Put chunks that aren't known yet into the cache."""
-        known, cores = self.known, self.tails
-        todo = [c for c in chunks if c not in known]
-        if len(known) + len(todo) > self.limit:
-            known.clear(), cores.clear()
-            todo = list(chunks)
-        parts = []
-        for c in todo:
+        """Have the ids of all the chunks in the cache's young generation."""
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, recall = self.known, self._recall
+        whole, split = [], []
+        for c in chunks:
+            if c in known or recall(c) is not None:
+                continue
             core = c.rstrip(_TAIL)
-            plain = len(core) < len(c) and b"<|" not in c and (core[-1:].isalnum() or core.decode("utf-8", "replace")[-1:].isalpha())
-            parts.append((core, c[len(core):]) if plain else (c, b""))
-        need = list({p for pair in parts for p in pair if p and p not in cores})
-        cores.update(zip(need, self._encode(need)))
-        cores[b""] = b""
-        for c, (core, tail) in zip(todo, parts):
-            known[c] = cores[core] + cores[tail]
+            last = core[-1:]
+            if len(core) < len(c) and last and b"<|" not in c and (last.isalnum() or last > b"\x7f" and core.decode("utf-8", "replace")[-1].isalpha()):
+                split.append((c, core, c[len(core):]))
+            else:
+                whole.append(c)
+        need = {part for _, core, tail in split for part in (core, tail) if part not in known and recall(part) is None}
+        need.update(whole)
+        for c in need:
+            known[c] = self._encode(c)
+        for c, core, tail in split:
+            known[c] = known[core] + known[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
