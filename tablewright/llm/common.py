@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.rows import col
 from ..session import ensure_checkpoint_dir, ship_with_tasks, write_table
 
-__all__ = ["ascii_lower", "col", "free_name", "process_cache", "scratch_path", "ship_with_tasks", "text_of", "word_count", "write_table"]
+__all__ = ["ascii_lower", "col", "process_cache", "scratch_path", "ship_with_tasks", "text_of", "word_count", "write_table"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -31,15 +31,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that the table doesn't use yet, whatever its letters' case."""
-    taken = {c.lower() for c in df.columns}
-    name = wanted
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that all executors share."""
     ensure_checkpoint_dir(spark)

@@ -89,9 +89,10 @@ def _placed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     offsets = in_bucket.withColumn("bucket_start", before).drop("bucket_size")
     targets = source_targets(sizes, weights, max_repeats)
     offsets = offsets.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    offsets = offsets.withColumnsRenamed({"source": "_source", "bucket": "_bucket"})
-    rows = base.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    place = F.struct("source", "bucket")
+    offsets = offsets.withColumn("_place", place).drop("source", "bucket")
+    rows = base.withColumn("_place", place).join(offsets, "_place")
+    inside = Window.partitionBy("_place").orderBy("key", "doc_id", "size")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("start", F.col("bucket_start") + F.sum("size").over(inside) - F.col("size"))
 
@@ -138,13 +139,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plan = (plan.groupBy(*keys)
             .agg(F.min("start").alias("start"), F.sum("part_words").alias("parts"), F.first("full_copies").alias("full_copies"),
                  F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("place").alias("place"))
-            .withColumnsRenamed({k: f"_{k}" for k in keys}))
+            .select(F.struct(*keys).alias("_key"), "start", "parts", "full_copies", "target", "source_size", "place"))
     text = text_of(col(text_col))
     rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), col(id_col).alias("doc_id"),
                      col(source_col).cast("string").alias("source"), word_count(text).alias("size"), text.alias("_text"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    rows = rows.join(plan, same[0] & same[1] & same[2])
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1
+    # One key for join and window, never null itself: texts cross the network once before the sort.
+    rows = rows.withColumn("_key", F.struct(*keys)).join(plan, "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) - 1
     rows = (rows.withColumn("_nth", nth)
             .withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("parts") - F.col("_nth") * F.col("size"))))
             .withColumn("_copies", F.col("full_copies") + (F.col("_part") > 0).cast("int"))

@@ -73,11 +73,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that :func:`exact_groups` keeps, with the columns of ``df``."""
-    kept = (exact_groups(df, id_col, text_col, **options).where("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")))
+    # One key for join and window: texts cross the network once.
+    key = lambda doc, digest: F.struct(doc.alias("doc"), digest.alias("digest")).alias("_key")
+    kept = exact_groups(df, id_col, text_col, **options).where("kept").select(key(F.col("doc_id"), F.unhex("text_sha256")))
     digest = F.unhex(F.sha2(ascii_lower(text_of(col(text_col))), 256))
-    both = (df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), col(id_col).alias("_id"), digest.alias("_digest"))
-            .join(kept, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest"))))
+    both = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), key(col(id_col), digest)).join(kept, "_key")
     # Rows that repeat id and text all match; the join has them side by side already.
-    once = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))
+    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     return both.withColumn("_nth", once).where("_nth = 1").select("_row.*")

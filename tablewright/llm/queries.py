@@ -58,11 +58,46 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_arc_to_warc, op3_
                                    op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BIT = " + ".join(f"substr(bits, i * 5 + {k + 1}, 1)::int * {16 >> k}" for k in range(5))
+_FILL = "ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN"
+_ROOT = "least({t1}, {t0} + 2 * ({rest}) / ({w} + sqrt(greatest(0, {w} * {w} + {slope} * 2 * ({rest})))))"
 
 ORACLES = {
+    "op2_arc_to_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+             b AS (SELECT page_id, octet_length(encode(payload))::bigint AS payload_bytes, unhex(h)::bit::varchar AS bits, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({_BIT} + 1)::bigint, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM b""",
     "op4_exact_merge": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d""",
+    "op10_curriculum_mix": rf"""
+        WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::varchar, '')) AS k,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+             s AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source),
+             w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place, source_size * 3 AS cap FROM s),
+             v AS (SELECT *, (place + 1)::double AS weight FROM w),
+             f AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS nth,
+                          ((sum(source_size) OVER ())::double - coalesce(sum(cap) OVER ({_FILL} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double)
+                          / sum(weight) OVER ({_FILL} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
+             t AS (SELECT source, source_size, place, CASE WHEN cap <= level * weight THEN cap::double
+                          ELSE (SELECT level FROM f WHERE cap > level * weight ORDER BY nth LIMIT 1) * weight END AS target FROM f),
+             r AS (SELECT doc_id, size, source_size, target, place, round(target)::bigint AS demand,
+                          (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::bigint AS start
+                   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+             q AS (SELECT *, demand // greatest(source_size, 1) AS copies, start / greatest(demand, 1) AS share FROM r),
+             u AS (SELECT *, (copies * size + greatest(0, least(size, demand - copies * source_size - start)))::bigint AS taken FROM q)
+        SELECT doc_id, size, source_size, target, taken,
+               CASE WHEN taken = 0 THEN NULL
+                    WHEN share <= 0 THEN 0
+                    WHEN place = 0 THEN {_ROOT.format(t0=0, t1=1, w=1.5, slope=-1, rest="share")}
+                    WHEN place = 1 THEN {_ROOT.format(t0=0, t1=1, w=1, slope=0, rest="share")}
+                    WHEN share * 0.9375 <= 0.3125 THEN {_ROOT.format(t0=0, t1=0.5, w=0.5, slope=0.5, rest="share * 0.9375")}
+                    ELSE {_ROOT.format(t0=0.5, t1=1, w=0.75, slope=2, rest="share * 0.9375 - 0.3125")} END::double AS position
+        FROM u""",
 }

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import col, free_name, ship_with_tasks, write_table
+from .common import col, ship_with_tasks, write_table
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -215,12 +215,13 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that share an id count as one document, of which one row stays.  Columns keep their names and values.
     """
-    ids, fp = free_name(df, "_stay"), free_name(df, "_nth")
+    # One key for join and window, never null: texts cross the network once.
+    key = lambda c: F.struct(c.alias("doc")).alias("_key")
     keep = (near_groups(df, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy(F.col("doc_id").alias(ids), "component_id").agg(F.lit(1).alias("_one")).select(ids))
-    both = df.join(keep, col(id_col).eqNullSafe(col(ids)))
-    once = F.row_number().over(Window.partitionBy(col(ids)).orderBy(F.xxhash64(col(text_col))))
-    return both.withColumn(fp, once).where(col(fp) == 1).select(*[col(c) for c in df.columns])
+            .select(key(F.col("doc_id"))).distinct())
+    both = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), key(col(id_col)), F.xxhash64(col(text_col)).alias("_hash")).join(keep, "_key")
+    once = F.row_number().over(Window.partitionBy("_key").orderBy("_hash"))
+    return both.withColumn("_nth", once).where("_nth = 1").select("_row.*")
 
 
 ship_with_tasks(__name__)
