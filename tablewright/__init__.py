@@ -2,10 +2,10 @@
 
 from .config import Config
 from .operators.profile import observe
-from .plans.cleaning import (CleaningPlan, CleanResult, analyze, clean, fix_broken_entries,
+from .plans.cleaning import (CleaningPlan, CleanResult, analyze, clean, decide, fix_broken_entries,
                              fix_column_names, fix_duplicates, fix_formats, fix_missing,
                              fix_text_consistency)
-from .plans.decisions import decide, identify
+from .plans.decisions import identify
 from .plans.validation import before_after, validate
 from .session import build_session
 

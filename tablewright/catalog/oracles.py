@@ -386,6 +386,12 @@ ORACLES: dict[str, str] = {
         f"UNION ALL SELECT key, key FROM keys WHERE key <> '') "
         f"SELECT p_partkey, p_name, EXISTS (SELECT 1 FROM np e JOIN hits ON hits.ka = e.key WHERE hits.kb = np.key "
         f"AND e.i < np.i AND e.i > np.i - 300) AS _near_duplicate FROM np"),
+    "x17_near_flags_whole_table": (
+        f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key FROM {NP} t), "
+        f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "
+        f"UNION ALL SELECT key, key FROM keys WHERE key <> ''), "
+        f"firsts AS (SELECT hits.kb AS key, min(e.p_partkey) AS first FROM np e JOIN hits ON hits.ka = e.key GROUP BY 1) "
+        f"SELECT p_partkey, p_name, coalesce(first < p_partkey, FALSE) AS _near_duplicate FROM np LEFT JOIN firsts USING (key)"),
     "x18_money": f"SELECT o_orderkey, {money('amount')} AS amount FROM {DO} t",
     "x19_canonical_spelling": (
         f"WITH s AS (SELECT lower(o_orderpriority) AS k, o_orderpriority AS v, count(*) AS n FROM {DO} t GROUP BY ALL), "

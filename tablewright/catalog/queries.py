@@ -69,9 +69,9 @@ def s5_delimited_text(spark, sf):
     (table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
      .write.option("header", True).option("sep", ";").csv(path))
     paths = [p for p, _ in files.list_files(spark, path, "csv")]
-    start = files.read_start(spark, paths[0])
-    separator = files.sniff_separator(start)
-    rows, _ = files.read_delimited(spark, paths, files.header_names(start, separator), separator)
+    record = files.read_start(spark, paths[0])
+    separator = files.sniff_separator(record)
+    rows, _ = files.read_delimited(spark, paths, files.header_names(record, separator), separator)
     return files.infer_types(rows)
 
 
@@ -303,16 +303,14 @@ def c3_issue_count(spark, sf):
 
 @query
 def r1_r10_decisions(spark, sf):
-    df = view(spark, sf, "dirty_customer")
-    found = decisions.decide(df, decisions.identify(df))
-    return decisions.decisions_frame(spark, found).select("issue", "rule")
+    found = cleaning.decide(view(spark, sf, "dirty_customer"), order_by="c_custkey")
+    return decisions.decisions_frame(spark, found).select("step", "op", "column_name", "changed", "retyped")
 
 
 @query
 def r1_r3_missing_decisions(spark, sf):
-    df = view(spark, sf, "sparse_events")
-    found = decisions.decide(df, decisions.identify(df))
-    return decisions.decisions_frame(spark, found).select("issue", "rule").filter("issue LIKE 'missing::%'")
+    found = cleaning.fit_step(view(spark, sf, "sparse_events"), "fix_missing")[1]
+    return decisions.decisions_frame(spark, found).select("op", "column_name", "changed", F.get_json_object("evidence", "$.how").alias("how"))
 
 
 # --- repairs -------------------------------------------------------------------
@@ -414,15 +412,21 @@ def x16_drop_duplicates(spark, sf):
 @query
 def x17_near_flags_any_earlier(spark, sf):
     df = with_row_id(view(spark, sf, "near_part"), "p_partkey")
-    return similarity.flag_near_duplicates(df, Config(near_duplicate_mode="any_earlier")).drop(ROW_ID)
+    return similarity.flag_near_duplicates(df, Config(near_duplicate_mode="any_earlier", near_duplicate_window=300)).drop(ROW_ID)
 
 
 @query
-def x17_near_flags_greedy(spark, sf):
+def x17_near_flags_whole_table(spark, sf):
     df = with_row_id(view(spark, sf, "near_part"), "p_partkey")
     return similarity.flag_near_duplicates(df).drop(ROW_ID)
 
 
+@query
+def x17_near_flags_greedy(spark, sf):
+    df = with_row_id(view(spark, sf, "near_part"), "p_partkey")
+    return similarity.flag_near_duplicates(df, Config(near_duplicate_mode="greedy", near_duplicate_window=300)).drop(ROW_ID)
+
+
 @query
 def x18_money(spark, sf):
     return repairs.normalise_money(view(spark, sf, "dirty_orders").select("o_orderkey", "amount"))
@@ -479,7 +483,7 @@ def v6_v7_summary(spark, sf):
     df = duplicated(spark, sf, "dup_orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     s = cleaning.clean(df, as_of=AS_OF).summary()
     return spark.createDataFrame(
-        [(s["original_shape"][0], s["cleaned_shape"][0], s["rows_removed"], s["exact_duplicates"], s["quality_score"])],
+        [(s["rows"]["before"], s["rows"]["after"], s["rows"]["before"] - s["rows"]["after"], s["duplicate_rows"], s["rows_kept_pct"])],
         "rows_before bigint, rows_after bigint, rows_removed bigint, exact_duplicates bigint, quality_score int")
 
 

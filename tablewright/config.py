@@ -38,7 +38,6 @@ NON_NUMERIC_WORDS = ("name", "email", "url", "address", "description",
                      "comment", "note", "text", "label", "tag")
 MONEY_WORDS = ("salary", "income", "amount")
 KEY_WORDS = ("id", "email", "name")
-CATEGORY_WORDS = ("name", "department", "category", "type", "status")
 
 # --- Fixed values: shapes of a valid email address and phone number.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
@@ -59,6 +58,7 @@ class Config:
     placeholders: tuple[str, ...] = PLACEHOLDERS
     iqr_multiplier: float = 1.5
     z_threshold: float = 3.0
+    # Columns with fewer values have no outliers; part of what an outlier is.
     min_outlier_rows: int = 10
     similarity_threshold: int = 92
     near_constant_share: float = 0.995
@@ -69,7 +69,6 @@ class Config:
     date_parse_share: float = 0.70
     date_reparse_share: float = 0.50
     numeric_parse_share: float = 0.70
-    max_loops: int = 3
     age_report_range: tuple[float, float] = (0.0, 150.0)
     age_repair_range: tuple[float, float] = (0.0, 120.0)
 
@@ -82,8 +81,9 @@ class Config:
     nullify_bad_dates: bool = False
 
     near_duplicate_column: str = "_near_duplicate"
-    near_duplicate_window: int = 300
-    near_duplicate_mode: str = "greedy"     # or "any_earlier"
+    # Rows back that a row is compared with; None for the whole table before it.
+    near_duplicate_window: int | None = None
+    near_duplicate_mode: str = "any_earlier"   # with a window also "greedy"
     blanks_match: bool = False
 
     examples: int = 5

@@ -13,9 +13,12 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july",
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+ISO_ZONED = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|UTC|[+-]\d{2}:?\d{2})$"
+YEAR_SLASH = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
 US_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 US_DASH = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
 DAY_MONTH = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$"
+MONTH_DAY = r"^([A-Za-z]{3,9}) (\d{1,2}), ?(\d{4})$"
 
 
 def parse_number(c: Column) -> Column:
@@ -36,22 +39,32 @@ def parse_date(c: Column) -> Column:
     """Timestamp (no zone) of text in one of the accepted layouts, else NULL.
 
     Layouts, month first where ambiguous: ``yyyy-MM-dd`` with optional time,
-    ``M/d/yyyy``, ``M-d-yyyy``, ``d MMM yyyy``, ``d MMMM yyyy``.  Each layout
-    is rewritten to ISO text so one exception-free cast does the parsing.
+    ``yyyy/MM/dd``, ``M/d/yyyy``, ``M-d-yyyy``, ``d MMM yyyy``, ``MMM d,
+    yyyy`` and both with full month names.  A time with a zone or offset
+    counts in UTC.  Each layout is rewritten to ISO text so one
+    exception-free cast does the parsing.
     """
     s = strip(c)
     pairs = []
     for i, m in enumerate(MONTHS, start=1):
         for key in dict.fromkeys((m[:3], m)):
             pairs += [F.lit(key), F.lit(f"{i:02d}")]
-    month = F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_extract(s, DAY_MONTH, 2)))
+    named = lambda pattern, at: F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_extract(s, pattern, at)))
     iso = (F.when(s.rlike(ISO_DATE), s)
            .when(s.rlike(US_SLASH), F.regexp_replace(s, US_SLASH, "$3-$1-$2"))
            .when(s.rlike(US_DASH), F.regexp_replace(s, US_DASH, "$3-$1-$2"))
            .when(s.rlike(DAY_MONTH), F.concat(F.regexp_extract(s, DAY_MONTH, 3), F.lit("-"),
-                                              month, F.lit("-"),
-                                              F.regexp_extract(s, DAY_MONTH, 1))))
-    return iso.try_cast("timestamp_ntz")
+                                              named(DAY_MONTH, 2), F.lit("-"),
+                                              F.regexp_extract(s, DAY_MONTH, 1)))
+           .when(s.rlike(YEAR_SLASH), F.regexp_replace(s, YEAR_SLASH, "$1-$2-$3"))
+           .when(s.rlike(MONTH_DAY), F.concat(F.regexp_extract(s, MONTH_DAY, 3), F.lit("-"),
+                                              named(MONTH_DAY, 1), F.lit("-"),
+                                              F.regexp_extract(s, MONTH_DAY, 2))))
+    # As a point in time, then as the clock in UTC whatever the session's zone.
+    timed = F.regexp_replace(s, r"^([^ T]+[ T]\d{1,2}:\d{2})(?= ?[ZU+-])", "$1:00")
+    point = F.regexp_replace(timed, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2").try_cast("timestamp")
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), point.cast("timestamp_ntz"))
+    return F.when(s.rlike(ISO_ZONED), zoned).otherwise(iso.try_cast("timestamp_ntz"))
 
 
 def iso_day(ts: Column) -> Column:

@@ -15,14 +15,19 @@ def _data(df: DataFrame) -> list:
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier one, and in how many groups.
 
-    Rows are counted per task before the shuffle, so a row that fills a third
-    of the table crosses the network once per task.
+    Row hashes are counted first, per task before the shuffle; whole rows are
+    compared only where 128 bits of hash agree.
     """
-    groups = groupable(df).groupBy(*_data(df)).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"),
-        F.count_if(F.col("_n") > 1).alias("n_duplicate_groups"))
+    flat = groupable(df)
+    hashed = flat.select(F.xxhash64(*_data(flat)).alias("_h1"), F.xxhash64(F.lit(1), *_data(flat)).alias("_h2"), *_data(flat))
+    keys = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    alone = keys.filter("_n = 1").agg(F.count(F.lit(1)).alias("_k")).select(F.lit(1).cast("bigint").alias("_n"), F.col("_k"))
+    repeated = (hashed.join(keys.filter("_n > 1").select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
+                .groupBy(*_data(flat)).agg(F.count(F.lit(1)).cast("bigint").alias("_n")))
+    return (repeated.groupBy("_n").agg(F.count(F.lit(1)).alias("_k")).unionByName(alone)
+            .agg(F.coalesce(F.sum(F.col("_n") * F.col("_k")), F.lit(0)).cast("bigint").alias("n_rows"),
+                 F.coalesce(F.sum((F.col("_n") - 1) * F.col("_k")), F.lit(0)).cast("bigint").alias("n_duplicates"),
+                 F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_k"))), F.lit(0)).cast("bigint").alias("n_duplicate_groups")))
 
 
 def approximate_duplicates(df: DataFrame, rsd: float = 0.01) -> DataFrame:

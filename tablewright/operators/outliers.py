@@ -84,9 +84,10 @@ def outlier_counts(df: DataFrame, config: Config = DEFAULT, columns=None,
          ("upper_fence", "double"), ("skipped_by_name", "boolean")]).filter("n_z > 0 OR n_iqr > 0")
 
 
-def outlier_rows(df: DataFrame, rule: str = "iqr", config: Config = DEFAULT, columns=None) -> DataFrame:
+def outlier_rows(df: DataFrame, rule: str = "iqr", config: Config = DEFAULT, columns=None,
+                 fences: dict[str, Fences] | None = None) -> DataFrame:
     """(column_name, _row_id, value) of every outlier; no shuffle."""
-    fences = fit_fences(df, config, columns)
+    fences = fit_fences(df, config, columns) if fences is None else fences
     values = numeric_values(df, list(fences))
     test = (lambda c: is_iqr_outlier(values[c], fences[c])) if rule == "iqr" \
         else (lambda c: is_z_outlier(values[c], fences[c], config))
@@ -98,8 +99,9 @@ def outlier_rows(df: DataFrame, rule: str = "iqr", config: Config = DEFAULT, col
             .select("v.column_name", ROW_ID, "v.value"))
 
 
-def outlier_examples(df: DataFrame, k: int = 5, rule: str = "iqr", config: Config = DEFAULT) -> DataFrame:
+def outlier_examples(df: DataFrame, k: int = 5, rule: str = "iqr", config: Config = DEFAULT,
+                     fences: dict[str, Fences] | None = None) -> DataFrame:
     """First k outliers per column in row order."""
     w = Window.partitionBy("column_name").orderBy(ROW_ID)
-    return (outlier_rows(df, rule, config).withColumn("rank", F.row_number().over(w))
+    return (outlier_rows(df, rule, config, fences=fences).withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k).select("column_name", "rank", ROW_ID, "value"))

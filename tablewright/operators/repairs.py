@@ -7,8 +7,9 @@ plan that can be logged, stored, re-applied to new rows or to a stream.
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -18,7 +19,7 @@ from ..functions import (ascii_fold, as_text, iso_day, null_out, parse_date,
                          strip, strip_to_number, title_case)
 from .broken import as_number, out_of_range
 from .duplicates import drop_duplicates
-from .rows import ROW_ID, col, field_types, is_temporal
+from .rows import aggregate_row, col, field_types, is_temporal
 from .similarity import flag_near_duplicates
 
 
@@ -28,15 +29,23 @@ class Action:
     op: str
     column: str | None = None
     params: dict = field(default_factory=dict)
-    issue: str = ""
-    rule: str = ""
-    rationale: str = ""
-    tradeoff: str = ""
+    # Measured when the action is applied: cells, rows or columns that it
+    # changes, and the type before and after if that changes too.
+    changed: int | None = None
+    retyped: str = ""
     decided_at: str = field(default_factory=lambda: datetime.now().isoformat(timespec="seconds"))
 
+    @property
+    def effective(self) -> bool:
+        return bool(self.changed or self.retyped)
+
     def as_dict(self) -> dict:
         return asdict(self)
 
+    def evidence(self) -> str:
+        """What the fit measured and chose, as JSON."""
+        return json.dumps({k: v for k, v in self.params.items() if k not in ("tokens", "names")}, sort_keys=True, default=str)
+
 
 def clip(c: Column, lower: float, upper: float) -> Column:
     """Move values to the nearer fence; NULL stays NULL."""
@@ -79,21 +88,68 @@ COLUMN_OPS = {
     "lower": _text_only(F.lower),
     "to_long": lambda c, t, p: c.cast("bigint"),
 }
-TABLE_OPS = ("drop_column", "rename", "drop_duplicates", "flag_near_duplicates")
+ROW_OPS = ("drop_duplicates", "flag_near_duplicates")
+
+
+def differs(before: Column, after: Column, types: tuple[T.DataType, T.DataType]) -> Column:
+    """True where a repair changed a cell; numbers compare as numbers."""
+    if all(isinstance(t, T.NumericType) for t in types):
+        return ~before.cast("double").eqNullSafe(after.cast("double"))
+    return ~as_text(before, types[0]).eqNullSafe(as_text(after, types[1]))
+
+
+def measured(df: DataFrame, actions, config: Config = DEFAULT) -> list[Action]:
+    """The actions with the number of cells or columns that each changes.
+
+    One scan for all column actions.  Actions that remove or flag rows are
+    measured where their result is stored.
+    """
+    marks: dict[int, tuple[str, str]] = {}
+    wide = apply_actions(df, [a for a in actions if a.op not in ROW_OPS], config, marks)
+    row = aggregate_row(wide, [F.count_if(F.col(m)).alias(m) for m, _ in marks.values()]) if marks else {}
+    out = []
+    for a in actions:
+        if id(a) in marks:
+            mark, retyped = marks[id(a)]
+            a = replace(a, changed=row[mark], retyped=retyped)
+        elif a.op == "rename":
+            a = replace(a, changed=sum(old != new for old, new in a.params["names"].items()))
+        elif a.op == "drop_column":
+            a = replace(a, changed=1)
+        out.append(a)
+    return out
 
 
-def apply_actions(df: DataFrame, actions, config: Config = DEFAULT) -> DataFrame:
+def apply_actions(df: DataFrame, actions, config: Config = DEFAULT, marks: dict | None = None) -> DataFrame:
     """Run actions in order; neighbouring column actions share a projection.
 
     A column touched again starts a new projection, which keeps expression
-    trees small; Catalyst merges projections where that costs nothing.
+    trees small; Catalyst merges projections where that costs nothing.  With
+    ``marks`` each column action leaves a boolean column that tells which
+    cells it changed; its name and the change of type are noted there.
     """
-    pending: dict[str, Column] = {}
+    pending: dict[str, tuple[Action, Column]] = {}
+    kept: list[str] = []
 
     def flush(frame: DataFrame) -> DataFrame:
         if not pending:
             return frame
-        out = frame.select(*[pending[c].alias(c) if c in pending else col(c) for c in frame.columns])
+        columns = [c for c in frame.columns if c not in kept]
+        new = {c: e for c, (_, e) in pending.items()}
+        if marks is None:
+            out = frame.select(*[new[c].alias(c) if c in new else col(c) for c in columns])
+        else:
+            before = field_types(frame)
+            both = frame.select(*[col(c) for c in frame.columns], *[e.alias(f"_after_{c}") for c, e in new.items()])
+            extra = []
+            for c, (a, _) in pending.items():
+                after = both.schema[f"_after_{c}"].dataType
+                name = f"_mark{len(marks)}"
+                retyped = "" if after == before[c] else f"{before[c].simpleString()} -> {after.simpleString()}"
+                marks[id(a)] = (name, retyped)
+                extra.append(differs(col(c), col(f"_after_{c}"), (before[c], after)).alias(name))
+            out = both.select(*[col(f"_after_{c}").alias(c) if c in new else col(c) for c in columns], *[col(m) for m in kept], *extra)
+            kept.extend(m for m, _ in list(marks.values())[len(kept):])
         pending.clear()
         return out
 
@@ -103,7 +159,7 @@ def apply_actions(df: DataFrame, actions, config: Config = DEFAULT) -> DataFrame
                 df = flush(df)
             types = field_types(df)
             if a.column in types:
-                pending[a.column] = COLUMN_OPS[a.op](col(a.column), types[a.column], a.params)
+                pending[a.column] = (a, COLUMN_OPS[a.op](col(a.column), types[a.column], a.params))
             continue
         df = flush(df)
         if a.op == "drop_column":
@@ -114,7 +170,7 @@ def apply_actions(df: DataFrame, actions, config: Config = DEFAULT) -> DataFrame
         elif a.op == "drop_duplicates":
             df = drop_duplicates(df)
         elif a.op == "flag_near_duplicates":
-            df = flag_near_duplicates(df, config, a.column)
+            df = flag_near_duplicates(df, config, a.params.get("columns") or ([a.column] if a.column else None))
         else:
             raise ValueError(f"unknown operation {a.op!r}")
     return flush(df)
@@ -130,11 +186,15 @@ def null_placeholders(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
         for c in field_types(df)], config)
 
 
+# A run of blanks, or one dash or dot.
+_JOINT = re.compile(r"\s+|[-.]")
+
+
 def snake_case_names(columns) -> dict[str, str]:
     """Old name -> snake_case name; later duplicates get a numeric suffix."""
     out, used = {}, set()
     for c in columns:
-        base = re.sub(r"\s+", "_", c.strip().lower()).replace("-", "_").replace(".", "_")
+        base = "_".join(_JOINT.split(c.strip())).lower()
         name, i = base, 2
         while name in used:
             name, i = f"{base}_{i}", i + 1
@@ -171,7 +231,3 @@ def nullify_ages(df: DataFrame, config: Config = DEFAULT, columns=None) -> DataF
         number = as_number(c, types[c])
         fixed[c] = F.when(number.between(*config.age_repair_range), number)
     return df.withColumns(fixed)
-
-
-def without_row_id(df: DataFrame) -> DataFrame:
-    return df.drop(ROW_ID)

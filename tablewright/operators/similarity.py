@@ -70,11 +70,18 @@ def _variants(text: Column, deletions: int) -> Column:
 
 
 def _short_limit(lengths: list[int], threshold: int) -> int:
-    """Largest length up to which pairs need few deletions on either side."""
+    """Largest length up to which pairs need few deletions on either side.
+
+    Deletions grow with the lengths, so a key's longest partner and its
+    shortest one decide; once a length needs too many, all longer ones do.
+    """
     limit = 0
-    for top in sorted(lengths):
-        needed = [d for a in lengths for b in lengths if max(a, b) == top
-                  for d in (_deletions(a, b, threshold),) if d is not None]
+    for top in sorted(set(lengths)):
+        low = top
+        while low > 1 and _deletions(low - 1, top, threshold) is not None:
+            low -= 1
+        needed = [d for a in lengths if low <= a <= top for pair in ((a, top), (top, a))
+                  for d in (_deletions(*pair, threshold),) if d is not None]
         if needed and max(needed) > MAX_DELETIONS:
             break
         limit = top
@@ -114,9 +121,20 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _chunk_size(low: int, high: int, threshold: int) -> int:
-    """Largest chunk that leaves one more chunk than edits for every length."""
-    return max(1, min(n // (allowed_edits(n + longest_partner(n, threshold), threshold) + 1)
-                      for n in range(low, high + 1)))
+    """Largest chunk that leaves one more chunk than edits for every length.
+
+    A key of length n needs at most r n edits, so its chunk is no shorter
+    than n / (r n + 1) rounded down, which grows with n: once that reaches
+    the smallest chunk so far, no longer key changes it.
+    """
+    r = 2 * (201 - 2 * threshold) / (2 * threshold - 1)
+    q = None
+    for n in range(low, high + 1):
+        chunk = n // (allowed_edits(n + longest_partner(n, threshold), threshold) + 1)
+        q = chunk if q is None else min(q, chunk)
+        if int(n / (r * n + 1)) >= q:
+            break
+    return max(1, q)
 
 
 def _long_pairs(keys: DataFrame, limit: int, longest: int, threshold: int) -> DataFrame:
@@ -134,16 +152,18 @@ def _long_pairs(keys: DataFrame, limit: int, longest: int, threshold: int) -> Da
         low -= 1
     q = _chunk_size(low, longest, threshold)
     size = F.length("key")
-    pool = keys.filter(size >= low).withColumn("size", size)
+    # An id stands for the key, so that a long key is not repeated in each of
+    # its grams; texts return for the candidates only.
+    pool = keys.filter(size >= low).select("key", size.alias("size"), F.xxhash64("key").alias("id"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(ratio) + 1e-9)).cast("int")
 
     gram_bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(HASH_BUCKETS)).cast("int")
     grams = pool.filter(F.col("size") > limit).select(
-        "key", "size", band.alias("band"),
+        "id", "size", band.alias("band"),
         F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - (q - 1)),
                               lambda i: F.struct(i.alias("at"),
                                                  F.substr("key", i, F.lit(q)).alias("gram")))).alias("g"))
-    grams = grams.select("key", "size", "band", "g.at", "g.gram")
+    grams = grams.select("id", "size", "band", "g.at", "g.gram")
     freq = [0] * HASH_BUCKETS
     for r in grams.groupBy(gram_bucket(F.col("gram")).alias("h")).agg(F.count(F.lit(1)).alias("n")).collect():
         freq[r["h"]] = r["n"]
@@ -162,22 +182,24 @@ def _long_pairs(keys: DataFrame, limit: int, longest: int, threshold: int) -> Da
                            (i * q + 1).alias("at"),
                            F.substr("key", i * q + 1, F.lit(q)).alias("gram")))),
         F.lit(1), edits + 1)
-    left = (pool.select(F.col("key").alias("key_a"), F.col("size").alias("la"), band.alias("band"),
+    left = (pool.select(F.col("id").alias("id_a"), F.col("size").alias("la"), band.alias("band"),
                         F.explode(chunks).alias("c"))
-            .select("key_a", "la", F.col("c.at").alias("at_a"), F.col("c.gram").alias("gram"),
+            .select("id_a", "la", F.col("c.at").alias("at_a"), F.col("c.gram").alias("gram"),
                     F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-            .withColumn("row_salt", own(F.col("key_a"), F.col("gram")))
+            .withColumn("row_salt", own(F.col("id_a"), F.col("gram")))
             .withColumn("col_salt", F.explode(F.sequence(F.lit(0), salts(F.col("gram")) - 1))))
-    right = (grams.select(F.col("key").alias("key_b"), F.col("size").alias("lb"), "band",
+    right = (grams.select(F.col("id").alias("id_b"), F.col("size").alias("lb"), "band",
                           F.col("at").alias("at_b"), "gram")
-             .withColumn("col_salt", own(F.col("key_b"), F.col("gram")))
+             .withColumn("col_salt", own(F.col("id_b"), F.col("gram")))
              .withColumn("row_salt", F.explode(F.sequence(F.lit(0), salts(F.col("gram")) - 1))))
     total = F.col("la") + F.col("lb")
     k = F.floor(total * F.lit(201 - 2 * threshold) / 200)
-    near = (((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("key_a") < F.col("key_b"))))
+    near = (((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("id_a") < F.col("id_b"))))
             & (F.col("lb") - F.col("la") <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k))
-    candidates = (left.join(right, ["gram", "band", "row_salt", "col_salt"]).filter(near)
-                  .select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
+    met = left.join(right, ["gram", "band", "row_salt", "col_salt"]).filter(near).select("id_a", "id_b").distinct()
+    texts = lambda side: pool.select(F.col("id").alias(f"id_{side}"), F.col("key").alias(f"text_{side}"))
+    candidates = (met.join(texts("a"), "id_a").join(texts("b"), "id_b").filter("text_a <> text_b")
+                  .select(F.least("text_a", "text_b").alias("key_a"), F.greatest("text_a", "text_b").alias("key_b"))
                   .distinct())
     scored = candidates.withColumn("lcs", _lcs_udf("key_a", "key_b"))
     bound = (2 * threshold - 1) * (F.length("key_a") + F.length("key_b"))
@@ -213,9 +235,9 @@ def near_pairs(df: DataFrame, columns=None, config: Config = DEFAULT, k: int | N
 
     One row per pair of comparison keys: an example value of each, the score
     and how many rows hold each key, so repeated names are not multiplied out.
-    Default columns: the first two name-like ones.  ``k`` keeps the best.
+    Default columns: all name-like ones.  ``k`` keeps the best.
     """
-    columns = name_columns(df, config)[:2] if columns is None else list(columns)
+    columns = name_columns(df, config) if columns is None else list(columns)
     parts = []
     for c in columns:
         keys = (df.filter(col(c).isNotNull()).groupBy(token_sort_key(col(c)).alias("key"))
@@ -373,18 +395,47 @@ def window_flags(df: DataFrame, column: str, index: str, config: Config = DEFAUL
     return settled.select(F.explode("flagged").alias(index), F.lit(True).alias("flagged"))
 
 
-def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, column: str | None = None) -> DataFrame:
+def first_alikes(df: DataFrame, column: str, row: str, config: Config = DEFAULT) -> DataFrame:
+    """(key, first): the first row whose value is like the key, itself included."""
+    keys = (df.select(F.coalesce(token_sort_key(col(column)), F.lit("")).alias("key"), F.col(row).alias("row"))
+            .groupBy("key").agg(F.min("row").alias("first")))
+    keys = cut_lineage(keys if config.blanks_match else keys.filter("key <> ''"))
+    pairs = similar_keys(keys.filter("key <> ''").select("key"), config.similarity_threshold)
+    both = pairs.select("key_a", "key_b").unionAll(pairs.select("key_b", "key_a"))
+    met = (both.join(keys.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key"))
+           .agg(F.min("first").alias("met")))
+    return keys.join(met, "key", "left").select("key", F.coalesce(F.least("first", "met"), "first").alias("first"))
+
+
+def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, columns=None) -> DataFrame:
     """Add the near-duplicate flag column if any row earns it.
 
-    Uses the first name-like text column unless one is named.
+    A row is flagged if one of its name-like columns (or of ``columns``) holds
+    a value like that of an earlier row: any earlier row of the table, or with
+    ``near_duplicate_window`` one of the rows just before.  Every value has one
+    first row that is like it, so whole-table flags need a join with the
+    distinct values only.
     """
-    if column is None:
-        names = name_columns(df, config)
-        if not names:
-            return df
-        column = names[0]
+    columns = name_columns(df, config) if columns is None else list(columns)
+    if not columns:
+        return df
+    if config.near_duplicate_window is None:
+        row = ROW_ID if ROW_ID in df.columns else "_idx"
+        placed = df if row == ROW_ID else with_dense_index(df, "_idx", None)
+        flag, extra = F.lit(False), []
+        for i, c in enumerate(columns):
+            firsts = first_alikes(placed, c, row, config).withColumnsRenamed({"key": f"_key{i}", "first": f"_first{i}"})
+            placed = placed.join(firsts, F.coalesce(token_sort_key(col(c)), F.lit("")) == F.col(f"_key{i}"), "left")
+            flag = flag | F.coalesce(F.col(f"_first{i}") < F.col(row), F.lit(False))
+            extra += [f"_key{i}", f"_first{i}"]
+        flagged = cut_lineage(placed.withColumn(config.near_duplicate_column, flag).drop(*extra, "_idx"))
+        return flagged if flagged.filter(col(config.near_duplicate_column)).head(1) else flagged.drop(config.near_duplicate_column)
     placed = with_dense_index(df, "_idx", ROW_ID if ROW_ID in df.columns else None)
-    flags = cut_lineage(window_flags(placed, column, "_idx", config))
+    flags = None
+    for c in columns:
+        found = window_flags(placed, c, "_idx", config)
+        flags = found if flags is None else flags.unionAll(found)
+    flags = cut_lineage(flags.distinct())
     if flags.isEmpty():
         return placed.drop("_idx")
     return (placed.join(flags, "_idx", "left")

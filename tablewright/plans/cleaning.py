@@ -1,9 +1,9 @@
-"""The whole workflow: observe, identify, decide, repair step by step, validate."""
+"""The whole workflow: profile, detect, fit repairs, apply exactly those, validate."""
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DEFAULT, Config
 from ..operators.missing import missing_examples
 from ..operators.profile import info, observe
-from ..operators.repairs import Action, apply_actions
+from ..operators.repairs import Action, apply_actions, measured
 from ..operators.rows import ROW_ID, col, field_types, with_row_id
 from ..session import write_table
 from . import fitting
-from .decisions import Decision, Decisions, Issues, decide, identify
+from .decisions import Issues, decisions_frame, identify
 from .report import issue_report, narrative
 from .validation import Validation, quality_score, validate
 
@@ -41,7 +41,6 @@ class CleanResult:
     df: DataFrame
     plan: CleaningPlan
     issues: Issues
-    decisions: Decisions
     log: list[dict]
     validation: Validation
     report: str
@@ -49,27 +48,37 @@ class CleanResult:
     source: DataFrame
     config: Config
     files: int = 1
+    failures: list[tuple[str, str]] = field(default_factory=list)
+    rejected: DataFrame | None = None
+
+    @property
+    def decisions(self) -> DataFrame:
+        """The repairs that changed something, with what they changed."""
+        return decisions_frame(self.source.sparkSession, self.plan.actions)
 
     def observe(self) -> dict[str, DataFrame]:
         """Profile of the table as it came in."""
         return observe(self.source, self.config)
 
     def summary(self) -> dict:
-        """Counts a caller shows first."""
+        """Exact counts of input, losses, findings and effects."""
         ba = self.validation.before_after
+        effects = Counter()
+        for a in self.plan.actions:
+            if a.effective:
+                effects[a.op] += a.changed or 0
         return {
-            "files_processed": self.files,
-            "original_shape": [ba["rows_before"], ba["columns_before"]],
-            "cleaned_shape": [ba["rows_after"], ba["columns_after"]],
-            "rows_removed": ba["rows_removed"], "columns_removed": ba["columns_removed"],
-            "issues_found": self.issues.total,
-            "exact_duplicates": self.issues.exact_duplicates,
-            "near_duplicates": len(self.issues.near_pairs),
-            "outlier_columns": list(self.issues.outliers),
-            "missing_pct": {c: m["pct_missing"] for c, m in self.issues.missing.items()},
-            "report_preview": self.report[:600] + ("…" if len(self.report) > 600 else ""),
-            "cleaning_steps": [e["message"] for e in self.log],
-            "quality_score": quality_score(ba["rows_before"], ba["rows_after"])}
+            "input": {"files": self.files, "unreadable_files": len(self.failures),
+                      "rejected_lines": self.rejected.count() if self.rejected is not None else 0},
+            "rows": {"before": ba["rows_before"], "after": ba["rows_after"]},
+            "columns": {"before": ba["columns_before"], "after": ba["columns_after"]},
+            "null_cells": {"before": ba["missing_before"], "after": ba["missing_after"]},
+            "issues": {**self.issues.counts(), "total": self.issues.total},
+            "duplicate_rows": self.issues.exact_duplicates,
+            "near_pairs": self.issues.near_pairs,
+            "changed_by_repair": dict(effects),
+            "validation_loops": self.validation.loop,
+            "rows_kept_pct": quality_score(ba["rows_before"], ba["rows_after"])}
 
 
 # Step name -> fit function.  The reference order fills gaps first; the other
@@ -97,6 +106,30 @@ def run_step(df: DataFrame, step: str, config: Config = DEFAULT) -> tuple[DataFr
     return apply_actions(df, actions, config), actions
 
 
+def fit_step(df: DataFrame, step: str, config: Config = DEFAULT) -> tuple[DataFrame, list[Action]]:
+    """As :func:`run_step`, with what each action changes; removed and flagged
+    rows are written once and counted there.
+    """
+    actions = measured(df, STEPS[step](df, config), config)
+    out = apply_actions(df, actions, config)
+    if step == "fix_duplicates":
+        out = write_table(out)
+        flag = config.near_duplicate_column
+        count = out.agg(F.count(F.lit(1)).alias("n"), (F.count_if(col(flag)) if flag in out.columns else F.lit(0)).alias("flagged")).first()
+        removed = df.count() - count["n"]
+        actions = [replace(a, changed={"drop_duplicates": removed, "flag_near_duplicates": count["flagged"]}.get(a.op, a.changed)) for a in actions]
+    return out, actions
+
+
+def decide(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None) -> list[Action]:
+    """The repairs that :func:`clean` makes in its first pass, fitted and measured."""
+    current, actions = write_table(with_row_id(df, order_by)), []
+    for name in ORDERS[config.order]:
+        current, fitted = fit_step(current, name, config)
+        actions += fitted
+    return actions
+
+
 def fix_missing(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return run_step(df, "fix_missing", config)[0]
 
@@ -122,13 +155,12 @@ def fix_column_names(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def _entry(step: str, before: DataFrame, after: DataFrame, actions: list[Action]) -> dict:
-    """Log entry from metadata alone; row counts follow at validation."""
-    ops = Counter(a.op for a in actions)
-    types = Counter(t.simpleString() for t in field_types(after).values())
-    what = ", ".join(f"{op} x{n}" for op, n in ops.items()) or "nothing to do"
+    """Log entry of a step: what it changed, by column."""
+    done = [a for a in actions if a.effective]
+    what = ", ".join(f"{op} {n}" for op, n in Counter({op: sum(a.changed or 0 for a in done if a.op == op) for op in dict.fromkeys(a.op for a in done)}).items())
     return {"step": step, "columns_before": len(field_types(before)), "columns_after": len(field_types(after)),
-            "type_counts": dict(types), "message": f"{step}: {what}",
-            "details": {a.column: a.params for a in actions if a.op in ("cap", "fill", "drop_column")},
+            "message": f"{step}: {what or 'no change'}",
+            "changes": [{"op": a.op, "column": a.column, "changed": a.changed, "retyped": a.retyped, **a.params} for a in done],
             "timestamp": datetime.now().isoformat(timespec="seconds")}
 
 
@@ -153,32 +185,27 @@ def analyze(df: DataFrame, config: Config = DEFAULT, as_of=None, order_by: str |
 
 
 def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None, as_of=None,
-          recheck_steps: bool = False, files: int = 1) -> CleanResult:
+          recheck_steps: bool = False, files: int = 1, failures=(), rejected: DataFrame | None = None) -> CleanResult:
     """Run the full workflow on a table.
 
-    Statistics reach the driver, rows never do.  Repairs up to the duplicate
-    step are projections over the source; the deduplicated rows are written
-    once, as Parquet below the checkpoint folder, and everything after reads
-    those.
-    ``recheck_steps`` adds a scan per step for row and null counts.
+    Statistics reach the driver, rows never do.  The source is written once
+    with its row ids, as Parquet below the checkpoint folder, and so are the
+    deduplicated rows; the many scans in between read single columns of
+    those.  Each repair that is fitted is applied and logged with what it
+    changed; nothing else is.  Validation loops run until nothing remains or
+    nothing moves.  ``recheck_steps`` adds a scan per step for row and null
+    counts.
     """
-    source = with_row_id(df, order_by)
+    source = write_table(with_row_id(df, order_by))
     issues, report = analyze(source, config, as_of)
-    decisions = decide(source, issues, config)
     original = {"rows": issues.n_rows, "columns": len(field_types(source)),
                 "missing": issues.scan.null_cells, "duplicates": issues.exact_duplicates}
-
     plan, log = CleaningPlan(), []
 
     def step(frame: DataFrame, name: str) -> DataFrame:
-        out, actions = run_step(frame, name, config)
+        out, actions = fit_step(frame, name, config)
         plan.actions += actions
         entry = _entry(name, frame, out, actions)
-        if name == "fix_duplicates":
-            out = write_table(out)
-            entry["near_duplicates_flagged"] = (
-                out.agg(F.count_if(col(config.near_duplicate_column))).first()[0]
-                if config.near_duplicate_column in out.columns else 0)
         if recheck_steps:
             entry.update(recheck(out))
         log.append(entry)
@@ -188,28 +215,17 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
     for name in ORDERS[config.order]:
         current = step(current, name)
 
-    loop = 1
+    loop, seen = 1, set()
     checked = validate(original, current, loop, config, as_of)
-    while checked.issues_remain and loop < config.max_loops:
+    while checked.issues_remain and checked.fingerprint() not in seen:
+        seen.add(checked.fingerprint())
+        before = len(plan.actions)
         repaired = step(step(current, "fix_missing"), "fix_broken_entries")
         loop += 1
-        again = validate(original, repaired, loop, config, as_of)
+        moved = any(a.effective for a in plan.actions[before:])
+        # Without a change the rows are what they were, duplicates included.
+        checked = validate(original, repaired, loop, config, as_of, None if moved else checked.before_after["duplicates_after"])
         current = repaired
-        if again.fingerprint() == checked.fingerprint():
-            # Nothing moved: further loops would repeat this one.
-            checked = again
-            break
-        checked = again
-
-    _document(decisions, plan)
-    return CleanResult(current.drop(ROW_ID), plan, issues, decisions, log, checked, report,
-                       narrative(decisions, checked, log), source, config, files)
-
-
-def _document(decisions: Decisions, plan: CleaningPlan) -> None:
-    """Give every executed action a decision, so nothing is applied silently."""
-    known = {(d.issue, d.rule) for d in decisions.entries}
-    for a in plan.actions:
-        if (a.issue, a.rule) not in known:
-            known.add((a.issue, a.rule))
-            decisions.entries.append(Decision(a.issue, a.rule, a.rationale, a.tradeoff, a.decided_at))
+
+    return CleanResult(current.drop(ROW_ID), plan, issues, log, checked, report,
+                       narrative(plan.actions, checked, len(failures)), source, config, files, list(failures), rejected)

@@ -1,24 +1,24 @@
-"""Explicit decisions derived from the detected issues.
+"""Detected issues, and the repairs decided on as a table.
 
 Everything here works on per-column summaries on the driver; its size is
-bounded by the number of columns.
+bounded by the number of columns.  Near pairs stay a table.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-from datetime import datetime
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import DEFAULT, SKIP_OUTLIER_WORDS, Config
+from ..config import DEFAULT, Config
 from ..operators.broken import broken_examples
 from ..operators.categories import case_variants, variant_groups
 from ..operators.duplicates import duplicate_rows, exact_duplicates
-from ..operators.outliers import fit_fences, outlier_counts
-from ..operators.rows import ROW_ID, field_types, is_numeric
+from ..operators.outliers import fit_fences, outlier_counts, outlier_examples
+from ..operators.rows import ROW_ID
 from ..operators.scan import TableScan, scan_table
 from ..operators.similarity import near_pairs
+from ..session import write_table
 
 
 @dataclass
@@ -32,14 +32,16 @@ class Issues:
     broken: dict[str, dict] = field(default_factory=dict)
     exact_duplicates: int = 0
     duplicate_rows: list = field(default_factory=list)
-    near_pairs: list[dict] = field(default_factory=list)
+    near_pairs: int = 0
+    near_pairs_table: DataFrame | None = None
+    near_pairs_shown: list[dict] = field(default_factory=list)
     contradictory: dict[str, dict] = field(default_factory=dict)
     outliers: dict[str, dict] = field(default_factory=dict)
 
     def counts(self) -> dict[str, int]:
         return {"missing": len(self.missing), "formats": len(self.formats),
                 "broken": len(self.broken), "exact_duplicates": int(self.exact_duplicates > 0),
-                "near_duplicates": int(bool(self.near_pairs)),
+                "near_duplicates": int(self.near_pairs > 0),
                 "contradictory": len(self.contradictory), "outliers": len(self.outliers)}
 
     @property
@@ -47,7 +49,8 @@ class Issues:
         return sum(self.counts().values())
 
 
-REPORTED_PAIRS = 30
+# Pairs that a text report shows; the table and the count hold all.
+SHOWN_PAIRS = 30
 
 
 def identify(df: DataFrame, config: Config = DEFAULT, as_of=None, examples: bool = False) -> Issues:
@@ -65,7 +68,11 @@ def identify(df: DataFrame, config: Config = DEFAULT, as_of=None, examples: bool
     issues.broken = {f"{c}_{r}": {"column": c, "rule": r, "count": n, "examples": []}
                      for (c, r), n in scan.broken.items()}
     issues.exact_duplicates = exact_duplicates(df).first()["n_duplicates"]
-    issues.near_pairs = [r.asDict() for r in near_pairs(df, config=config, k=REPORTED_PAIRS).collect()]
+    pairs = issues.near_pairs_table = write_table(near_pairs(df, config=config))
+    issues.near_pairs = pairs.count()
+    if issues.near_pairs:
+        best = pairs.orderBy(F.col("score").desc(), "column_name", "a", "b").limit(SHOWN_PAIRS)
+        issues.near_pairs_shown = [r.asDict() for r in best.collect()]
     summary = (variant_groups(df).groupBy("column_name")
                .agg(F.count(F.lit(1)).alias("n_categories"), F.sum("n_variants").alias("n_variants")))
     for r in summary.collect():
@@ -75,6 +82,10 @@ def identify(df: DataFrame, config: Config = DEFAULT, as_of=None, examples: bool
         issues.outliers[r["column_name"]] = r.asDict()
     if examples:
         _add_examples(df, issues, config, as_of)
+        if issues.outliers and ROW_ID in df.columns:
+            only = {c: f for c, f in fences.items() if c in issues.outliers}
+            for r in outlier_examples(df, config.examples, config=config, fences=only).collect():
+                issues.outliers[r["column_name"]].setdefault("examples", []).append(r["value"])
     return issues
 
 
@@ -97,108 +108,13 @@ def _add_examples(df: DataFrame, issues: Issues, config: Config, as_of) -> None:
             entry.setdefault("examples", {}).setdefault(r["category"], []).append(r["variant"])
 
 
-@dataclass(frozen=True)
-class Decision:
-    issue: str
-    rule: str
-    rationale: str
-    tradeoff: str
-    decided_at: str = field(default_factory=lambda: datetime.now().isoformat(timespec="seconds"))
-
-    def as_dict(self) -> dict:
-        return asdict(self)
-
+def decisions_frame(spark, actions) -> DataFrame:
+    """(position, step, op, column_name, changed, retyped, evidence) of the
+    actions that had an effect, in the order in which they ran.
 
-@dataclass
-class Decisions:
-    entries: list[Decision] = field(default_factory=list)
-    assumptions: list[str] = field(default_factory=list)
-    risks: list[str] = field(default_factory=list)
-    unresolved: list[str] = field(default_factory=list)
-
-    def add(self, issue: str, rule: str, rationale: str, tradeoff: str) -> None:
-        self.entries.append(Decision(issue, rule, rationale, tradeoff))
-
-
-def imputation_strategy(share: float, config: Config) -> str:
-    """Mean for moderate gaps, median for small and for large ones."""
-    if share < config.median_below_share or share >= config.median_from_share:
-        return "median"
-    return "mean"
-
-
-def decide(df: DataFrame, issues: Issues, config: Config = DEFAULT) -> Decisions:
-    """One documented decision per issue; no data is read."""
-    types = field_types(df)
-    out = Decisions()
-    for column, m in issues.missing.items():
-        pct = m["pct_missing"]
-        if pct <= 0:
-            out.unresolved.append(f"missing::{column}: share rounds to zero, filled without a decision")
-            continue
-        if pct > config.missing_drop_share * 100:
-            out.add(f"missing::{column}", f"DROP column '{column}'",
-                    f"{pct}% of the values are missing; what is left is too little to use",
-                    "The whole column is lost")
-            out.assumptions.append(f"Column '{column}' was dropped because {pct}% of it is missing "
-                                   f"(limit {config.missing_drop_share:.0%}).")
-            continue
-        if is_numeric(types[column]):
-            how = imputation_strategy(pct / 100, config)
-            why = {"mean": "moderate gap; the mean keeps the column average",
-                   "median": "small or large gap; the median resists skew"}[how]
-            if pct > 20:
-                out.risks.append(f"'{column}': {pct}% of the values are imputed; use it with caution.")
-        else:
-            how, why = "mode", "not numeric; the most common value is the likeliest"
-        out.add(f"missing::{column}", f"IMPUTE '{column}' with {how}", why,
-                f"{pct}% of the values become synthetic and the spread shrinks")
-        out.assumptions.append(f"Column '{column}': {pct}% missing values are filled with the {how}.")
-    for issue in issues.formats:
-        if issue.endswith("_multiple_date_formats"):
-            out.add(f"format::{issue}", "STANDARDISE dates to ISO 8601 (YYYY-MM-DD)",
-                    "Mixed date layouts fail or mislead downstream parsers",
-                    "Ambiguous day and month are read month first")
-            out.assumptions.append("All date columns use ISO 8601.")
-            out.risks.append(f"Ambiguous dates behind '{issue}' should be spot-checked.")
-        elif issue.endswith("_multiple_numeric_formats"):
-            out.add(f"format::{issue}", "STRIP currency symbols and separators, keep the number",
-                    "Mixed number layouts block numeric types", "The currency is no longer recorded")
-        else:
-            out.unresolved.append(f"format::{issue}: values of several kinds, no automatic rule")
-    for key, b in issues.broken.items():
-        if b["rule"] in ("unparseable_dates", "future_birth_dates") and not config.nullify_bad_dates:
-            rule = f"NULLIFY impossible values in '{key}' where the date repair does not parse them"
-        else:
-            rule = f"NULLIFY impossible values in '{key}'"
-        out.add(f"broken::{key}", rule, "A value outside its domain is an error, not an outlier",
-                "The cell becomes missing")
-    if issues.exact_duplicates > 0:
-        out.add("duplicates::exact", "DROP exact duplicate rows, keep the first",
-                "Copies inflate counts and bias statistics",
-                "Legitimately repeated events are lost")
-        out.assumptions.append("Exact duplicate rows were removed, the first copy stays.")
-    if issues.near_pairs:
-        name = config.near_duplicate_column
-        out.add("duplicates::near",
-                f"FLAG near duplicates (score >= {config.similarity_threshold}) in '{name}'",
-                "Similar rows need a human decision; removing them could lose data",
-                "Flagged rows stay in the table")
-        out.risks.append(f"Rows flagged in '{name}' need review.")
-    for column in issues.outliers:
-        if config.has_role(column, SKIP_OUTLIER_WORDS):
-            continue
-        out.add(f"outlier::{column}", f"CAP '{column}' at the quartile fences x {config.iqr_multiplier}",
-                "Keeps the row and limits the pull of extremes", "Genuine extremes are altered")
-        out.risks.append(f"'{column}' was capped; review it if its extremes are genuine.")
-    for key in issues.contradictory:
-        out.add(f"case::{key}", "STANDARDISE text case by column role",
-                "Spelling variants act as separate categories",
-                "Abbreviations may be re-cased")
-    return out
-
-
-def decisions_frame(spark, decisions: Decisions) -> DataFrame:
-    return spark.createDataFrame(
-        [tuple(d.as_dict().values()) for d in decisions.entries],
-        "issue string, rule string, rationale string, tradeoff string, decided_at string")
+    ``changed`` counts cells, rows or columns, whichever the action works on.
+    """
+    rows = [(i, a.step, a.op, a.column, a.changed, a.retyped, a.evidence())
+            for i, a in enumerate(a for a in actions if a.effective)]
+    return spark.createDataFrame(rows, "position int, step string, op string, column_name string, changed bigint, "
+                                       "retyped string, evidence string")

@@ -18,14 +18,18 @@ from ..operators.quantiles import order_statistics, quantiles
 from ..operators.repairs import Action, apply_actions, snake_case_names
 from ..operators.rows import (aggregate_row, col, field_types, is_numeric,
                               is_temporal, value_counts)
-from .decisions import imputation_strategy
+
+
+def imputation_strategy(share: float, config: Config) -> str:
+    """Mean for moderate gaps, median for small and for large ones."""
+    if share < config.median_below_share or share >= config.median_from_share:
+        return "median"
+    return "mean"
 
 
 def fit_nulls(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
     return [Action("fix_missing", "null_placeholders", c,
-                   {"tokens": list(config.placeholders), "blanks": config.blank_cells_to_null},
-                   f"missing::{c}", f"NULL placeholders in '{c}'",
-                   "Words for 'no value' are not values", "A genuine value spelled like one is lost")
+                   {"tokens": list(config.placeholders), "blanks": config.blank_cells_to_null})
             for c, t in field_types(df).items()
             if isinstance(t, (T.StringType, T.DateType, T.DoubleType, T.FloatType))]
 
@@ -62,9 +66,7 @@ def fit_impute(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
             continue
         share = shares[c] = row[f"z{i}"] / n
         if share > config.missing_drop_share:
-            actions.append(Action(
-                "fix_missing", "drop_column", c, {"share": share}, f"missing::{c}",
-                f"DROP column '{c}'", f"{share:.1%} missing", "The whole column is lost"))
+            actions.append(Action("fix_missing", "drop_column", c, {"missing_share": share}))
         elif is_numeric(t):
             if imputation_strategy(share, config) == "mean":
                 fill[c] = ("mean", row[f"m{i}"])
@@ -90,10 +92,8 @@ def fit_impute(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
         if c in fill:
             how, value = fill[c]
             kind = {"mean": "number", "median": "number", "median_date": "micros", "mode": "text"}[how]
-            actions.append(Action(
-                "fix_missing", "fill", c, {"kind": kind, "value": value, "how": how, "share": shares[c]},
-                f"missing::{c}", f"IMPUTE '{c}' with {how} ({value})", f"{shares[c]:.2%} missing",
-                "Filled values are synthetic"))
+            actions.append(Action("fix_missing", "fill", c,
+                                  {"kind": kind, "value": value, "how": how, "missing_share": shares[c]}))
     return actions
 
 
@@ -104,10 +104,7 @@ def fit_missing(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
 
 def fit_encoding(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
     op = "fold_ascii" if config.fold_ascii else "strip"
-    return [Action("fix_formats", op, c, {}, f"encoding::{c}", f"TRIM '{c}'" + (" and drop non-ASCII" if config.fold_ascii else ""),
-                   "Outer blanks and stray encodings split equal values",
-                   "Accented letters are lost" if config.fold_ascii else "None")
-            for c, t in field_types(df).items() if isinstance(t, T.StringType)]
+    return [Action("fix_formats", op, c) for c, t in field_types(df).items() if isinstance(t, T.StringType)]
 
 
 def fit_formats(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
@@ -135,47 +132,36 @@ def fit_formats(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
         if dates is not None and dates / n > config.date_parse_share:
             actions.append(_date_action(c, dates, row[f"n{i}"], as_text))
         elif numbers is not None and numbers / n >= config.numeric_parse_share:
-            lost = row[f"n{i}"] - numbers
-            actions.append(Action(
-                "fix_formats", "to_number", c, {"parsed": numbers, "nulled": lost},
-                f"format::{c}", f"STRIP symbols in '{c}', keep the number",
-                f"{numbers / n:.1%} of the values are numeric", f"{lost} values become missing"))
+            actions.append(Action("fix_formats", "to_number", c, {"parsed": numbers, "nulled": row[f"n{i}"] - numbers}))
         elif dates is not None and dates / n > config.date_reparse_share:
             actions.append(_date_action(c, dates, row[f"n{i}"], as_text))
     if as_text:
-        actions += [Action("fix_formats", "to_date", c, {"as_text": True}, f"format::{c}",
-                           f"WRITE '{c}' as ISO 8601 text", "One date layout everywhere",
-                           "The time of day is lost")
-                    for c, t in types.items() if is_temporal(t)]
+        actions += [Action("fix_formats", "to_date", c, {"as_text": True}) for c, t in types.items() if is_temporal(t)]
     return actions
 
 
 def _date_action(c: str, parsed: int, present: int, as_text: bool) -> Action:
-    return Action("fix_formats", "to_date", c, {"as_text": as_text, "parsed": parsed, "nulled": present - parsed},
-                  f"format::{c}", f"STANDARDISE '{c}' to ISO 8601",
-                  f"{parsed} of {present} values are dates", f"{present - parsed} values become missing")
+    return Action("fix_formats", "to_date", c, {"as_text": as_text, "parsed": parsed, "nulled": present - parsed})
 
 
 def fit_domains(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
     """Nullify values outside the domain the column name implies; no scan."""
     actions = []
 
-    def add(op, c, params, what):
-        actions.append(Action("fix_broken_entries", op, c, params, f"broken::{c}",
-                              f"NULLIFY {what} in '{c}'", "Outside its domain, so an error",
-                              "The cell becomes missing"))
+    def add(op, c, params=None):
+        actions.append(Action("fix_broken_entries", op, c, params or {}))
 
     for c, t in field_types(df).items():
         if c == config.near_duplicate_column:
             continue
         if config.has_role(c, AGE_WORDS) and is_numeric(t):
-            add("null_age", c, {"range": list(config.age_repair_range)}, "impossible ages")
+            add("null_age", c, {"range": list(config.age_repair_range)})
         if config.has_role(c, EMAIL_WORDS):
-            add("null_email", c, {}, "invalid addresses")
+            add("null_email", c)
         if config.has_role(c, PHONE_REPAIR_WORDS):
-            add("null_phone", c, {}, "invalid phone numbers")
+            add("null_phone", c)
         if config.nullify_bad_dates and config.has_role(c, DATE_CHECK_WORDS) and isinstance(t, T.StringType):
-            add("null_bad_date", c, {}, "unreadable dates")
+            add("null_bad_date", c)
     return actions
 
 
@@ -209,10 +195,7 @@ def fit_caps(df: DataFrame, config: Config = DEFAULT, log: dict | None = None) -
     if log is not None:
         log.update({c: {"capped": beyond[c], "lower": round(lo, 4), "upper": round(hi, 4)}
                     for c, (lo, hi) in fences.items()})
-    return [Action("fix_broken_entries", "cap", c,
-                   {"lower": lo, "upper": hi, "capped": beyond[c]}, f"outlier::{c}",
-                   f"CAP '{c}' to [{lo:.4g}, {hi:.4g}]", f"{beyond[c]} values lie beyond the fences",
-                   "Genuine extremes are altered")
+    return [Action("fix_broken_entries", "cap", c, {"lower": lo, "upper": hi, "capped": beyond[c]})
             for c, (lo, hi) in fences.items()]
 
 
@@ -230,25 +213,18 @@ def fit_text_case(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
         op = ("title" if config.has_role(c, TITLE_WORDS)
               else "lower" if config.has_role(c, LOWER_WORDS) else None)
         if op:
-            actions.append(Action("fix_text_consistency", op, c, {}, f"case::{c}",
-                                  f"WRITE '{c}' in {op} case", "Case variants act as separate values",
-                                  "Abbreviations may be re-cased"))
+            actions.append(Action("fix_text_consistency", op, c))
     return actions
 
 
 def fit_duplicates(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
     from ..operators.similarity import name_columns
 
-    actions = [Action("fix_duplicates", "drop_duplicates", None, {}, "duplicates::exact",
-                      "DROP exact duplicate rows", "Copies inflate counts",
-                      "Legitimately repeated events are lost")]
+    actions = [Action("fix_duplicates", "drop_duplicates")]
     names = name_columns(df, config)
     if names:
-        actions.append(Action("fix_duplicates", "flag_near_duplicates", names[0],
-                              {"threshold": config.similarity_threshold,
-                               "window": config.near_duplicate_window},
-                              "duplicates::near", f"FLAG rows with a '{names[0]}' like an earlier one",
-                              "Similar rows need review", "Flagged rows stay"))
+        actions.append(Action("fix_duplicates", "flag_near_duplicates", None,
+                              {"columns": names, "threshold": config.similarity_threshold, "window": config.near_duplicate_window}))
     return actions
 
 
@@ -256,16 +232,13 @@ def fit_names(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
     """snake_case names, near-constant columns out, integral doubles to integers."""
     names = snake_case_names(field_types(df))
     renamed = df.toDF(*[names.get(c, c) for c in df.columns])
-    actions = [Action("fix_column_names", "rename", None, {"names": names}, "names",
-                      "RENAME columns to snake_case", "One naming style", "Old names are gone")]
+    actions = [Action("fix_column_names", "rename", None, {"names": names})]
     types = field_types(renamed)
     # The near-duplicate flag is a marker, not data.
     candidates = [c for c in types if c != config.near_duplicate_column]
     shares = top_shares(renamed, config, candidates)
     for c, share in shares.items():
-        actions.append(Action("fix_column_names", "drop_column", c, {"share": share}, f"constant::{c}",
-                              f"DROP near-constant column '{c}'", f"One value fills {share:.2%} of the rows",
-                              "The rare other values are lost"))
+        actions.append(Action("fix_column_names", "drop_column", c, {"constant_share": share}))
     actions += fit_integral(renamed, config, [c for c in candidates if c not in shares])
     return actions
 
@@ -282,8 +255,5 @@ def fit_integral(df: DataFrame, config: Config = DEFAULT, columns=None) -> list[
         whole = (values[c] == F.floor(values[c])) & (F.abs(values[c]) < 2.0 ** 63)
         aggregates += [F.count(values[c]).alias(f"n{i}"), F.coalesce(F.bool_and(whole), F.lit(False)).alias(f"w{i}")]
     row = aggregate_row(df, aggregates)
-    return [Action("fix_column_names", "to_long", c, {}, f"type::{c}", f"CAST '{c}' to integer",
-                   "All values are whole numbers", "None")
+    return [Action("fix_column_names", "to_long", c)
             for i, c in enumerate(columns) if row[f"n{i}"] and row[f"w{i}"]]
-
-

@@ -1,6 +1,6 @@
 """Load messy files of several layouts into typed or text tables.
 
-Only file names, sizes and the first few KB of each file are looked at on the
+Only file names, sizes and the first record of each file are looked at on the
 driver; the data is read by Spark, one scan per distinct header.
 """
 
@@ -9,9 +9,11 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -24,7 +26,8 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "n/a", "nan", "null")
 
 CORRUPT = "_corrupt_record"
-SNIFF_BYTES = 64 * 1024
+WHOLE = r"^[+-]?\d+$"
+READ_STEP = 64 * 1024
 FILE_TYPES = ("csv", "json", "txt")
 
 
@@ -62,20 +65,53 @@ def list_files(spark: SparkSession, directory: str, extension: str) -> list[tupl
     return sorted((r["path"], r["length"]) for r in listing.collect())
 
 
-def read_start(spark: SparkSession, path: str, n_bytes: int = SNIFF_BYTES) -> str:
-    """First bytes of a file as text, through the Hadoop file system."""
+def starts(spark: SparkSession, path: str, step: int = READ_STEP) -> Iterator[tuple[str, bool]]:
+    """Ever longer starts of a file as text, through the Hadoop file system,
+    and whether the file ends there.  Each start is twice as long as the last.
+    """
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+    data, want = b"", step
     try:
-        data = bytes(stream.readNBytes(n_bytes))
+        while True:
+            more = bytes(stream.readNBytes(want))
+            data += more
+            yield data.decode("utf-8", errors="ignore").removeprefix("\ufeff"), len(more) < want
+            if len(more) < want:
+                return
+            want = len(data)
     finally:
         stream.close()
-    return data.decode("utf-8", errors="ignore").removeprefix("\ufeff")
+
+
+def first_line(text: str, ended: bool = True) -> str | None:
+    """The first record of delimited text that isn't blank, with quoted line
+    breaks; None if it may go on beyond the text.
+    """
+    at = len(text) - len(text.lstrip("\r\n"))
+    for m in re.finditer(r"\r?\n", text[at:]):
+        record = text[at:at + m.start()]
+        if record.count('"') % 2 == 0 and record.strip():
+            return record
+    if not ended:
+        return None
+    rest = text[at:]
+    # A quote that never closes is no quote.
+    return rest if rest.count('"') % 2 == 0 else rest.splitlines()[0]
+
+
+def read_start(spark: SparkSession, path: str) -> str:
+    """The first record of a delimited file, however long."""
+    for text, ended in starts(spark, path):
+        record = first_line(text, ended)
+        if record is not None:
+            return record
+    return ""
 
 
 def sniff_separator(text: str) -> str:
-    """Separator of delimited text, judged by its first line."""
-    line = next((ln for ln in text.splitlines() if ln.strip()), "")
+    """Separator of delimited text, judged by its first record."""
+    line = first_line(text) or ""
     counts = {s: line.count(s) for s in ("\t", ";", "|", ",")}
     best = max(counts, key=counts.get)
     if counts[best]:
@@ -100,26 +136,53 @@ def header_names(text: str, separator: str) -> list[str]:
     return out
 
 
-def _touch(c):
+def _touch(c, dtype: T.DataType = T.StringType()):
     """Always true, but reads the column: Spark refuses queries that touch
     nothing but the corrupt-record column, as a plain count would."""
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(F.length(c), F.lit(0)) >= 0
     return F.coalesce(F.length(F.to_json(F.struct(c.alias("x")))), F.lit(0)) >= 0
 
 
+def _plain(path: str) -> str:
+    """One spelling of a path, whichever part of Spark spelled it."""
+    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", path)
+
+
+def with_quoted_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """The files in which some line holds an odd number of quotes: a quoted
+    value goes on in the next line.  One splittable scan, one row per file.
+    """
+    text = spark.read.text(list(paths))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = (text.select(F.col("_metadata.file_path").alias("path"), (quotes % 2 == 1).alias("odd"))
+             .groupBy("path").agg(F.max("odd").alias("odd")).filter("odd"))
+    odd = {_plain(unquote(r["path"])) for r in found.collect()}
+    return {p for p in paths if _plain(p) in odd}
+
+
 def read_delimited(spark: SparkSession, paths: Sequence[str], names: Sequence[str], separator: str = ",",
-                   multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+                   multi_line: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows as text, rejected lines) of files that share a header.
 
     Lines with too few fields are padded with NULL, lines with too many are
-    rejected.  ``multi_line`` allows line breaks inside quotes; switch it off
-    to let Spark split large files.
+    rejected.  Spark splits files into tasks unless a file holds quoted line
+    breaks, which a scan finds out; True or False for ``multi_line`` skips it.
     """
+    if multi_line is None:
+        whole = with_quoted_breaks(spark, paths)
+        if whole and len(whole) < len(paths):
+            parts = [read_delimited(spark, [p for p in paths if (p in whole) == m], names, separator, m) for m in (True, False)]
+            return parts[0][0].unionAll(parts[1][0]), parts[0][1].unionAll(parts[1][1])
+        multi_line = bool(whole)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
-    # Pruned columns would hide surplus fields from the parser.
+    # Pruned columns would hide surplus fields from the parser; lines have no
+    # length limit.
     raw = (spark.read.schema(schema).option("header", True).option("sep", separator)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+           .option("maxColumns", max(20480, 2 * len(names))).option("maxCharsPerColumn", -1)
            .option("columnPruning", False).csv(list(paths)))
     unquoted = F.regexp_replace(col(CORRUPT), r'"(?:[^"]|"")*"', "")
     n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
@@ -140,6 +203,9 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns whose every value is a whole number, number or boolean get
     that type.  One scan; a handful of counts per column reach the driver.
+
+    Whole numbers beyond 64 bits become decimals, beyond 38 digits they stay
+    text: no digit is lost.
     """
     types = field_types(df)
     columns = [c for c in (columns or types) if isinstance(types[c], T.StringType)]
@@ -149,7 +215,9 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     for i, c in enumerate(columns):
         s = strip(col(c))
         aggregates += [F.count(s).alias(f"n{i}"),
-                       F.count_if(s.rlike(r"^[+-]?\d{1,18}$")).alias(f"w{i}"),
+                       F.count_if(s.rlike(WHOLE)).alias(f"w{i}"),
+                       F.count_if(s.rlike(WHOLE) & s.try_cast("bigint").isNotNull()).alias(f"l{i}"),
+                       F.count_if(s.rlike(WHOLE) & s.try_cast("decimal(38,0)").isNotNull()).alias(f"e{i}"),
                        F.count(parse_number(s)).alias(f"v{i}"),
                        F.count_if(s.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}")]
     row = aggregate_row(df, aggregates)
@@ -159,7 +227,10 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         if n == 0:
             continue
         if row[f"w{i}"] == n:
-            cast[c] = strip(col(c)).cast("bigint")
+            if row[f"l{i}"] == n:
+                cast[c] = strip(col(c)).cast("bigint")
+            elif row[f"e{i}"] == n:
+                cast[c] = strip(col(c)).cast("decimal(38,0)")
         elif row[f"v{i}"] == n:
             cast[c] = parse_number(col(c))
         elif row[f"b{i}"] == n:
@@ -167,27 +238,60 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.select(*[cast[c].alias(c) if c in cast else col(c) for c in df.columns])
 
 
-def _json_layout(text: str) -> tuple[bool, list[str]]:
-    """(whole file is one document, key order of the first record)."""
-    start = text.lstrip()
-    if not start or start[0] not in "[{":
-        raise ValueError("not JSON")
-    if start[0] == "[":
-        body, whole = start[1:].lstrip(), True
-    else:
-        first, _, rest = start.partition("\n")
+def json_layout(pieces: Iterator[tuple[str, bool]]) -> tuple[str, list[str]]:
+    """("array", "lines", "document" or "columns", key order of the first
+    record), from ever longer starts of a file.
+
+    What follows the first whole value tells objects one per line from a
+    single object; an object of objects with the same inner keys is a table
+    written column by column.
+    """
+    decoder = json.JSONDecoder()
+    text, record, end = "", None, 0
+    for text, ended in pieces:
+        body = text.lstrip()
+        if not body:
+            if ended:
+                raise ValueError("empty file")
+            continue
+        if body[0] not in "[{":
+            raise ValueError("not JSON")
+        inner = body[1:].lstrip() if body[0] == "[" else body
+        if body[0] == "[" and inner[:1] == "]":
+            return "array", []
         try:
-            json.loads(first)
-            whole = False
+            record, end = decoder.raw_decode(inner)
         except ValueError:
-            whole = True
-        body = start
-    try:
-        record, _ = json.JSONDecoder().raw_decode(body)
-        keys = list(record) if isinstance(record, dict) else []
-    except ValueError:
-        keys = []
-    return whole, keys
+            if ended:
+                raise ValueError("no whole JSON value") from None
+            continue
+        if body[0] == "[":
+            return "array", list(record) if isinstance(record, dict) else []
+        if body[end:].strip() or ended:
+            break
+    keys = list(record)
+    if body[end:].strip():
+        if "\n" in body[:end].strip():
+            raise ValueError("several JSON documents over many lines each")
+        return "lines", keys
+    columns = [v for v in record.values() if isinstance(v, dict)]
+    # Not merely one object with nested ones: the inner keys are row labels.
+    if columns and len(columns) == len(record) and len({tuple(v) for v in columns}) == 1 and all(
+            k.isdigit() for k in columns[0]):
+        return "columns", keys
+    return ("document" if "\n" in body[:end].strip() else "lines"), keys
+
+
+def read_json_columns(spark: SparkSession, paths: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows, as text, of objects that map each column to {row label: value}.
+
+    Such a file is one value, so one task reads it; its rows spread afterwards.
+    """
+    schema = T.StructType([T.StructField(n, T.MapType(T.StringType(), T.StringType())) for n in names])
+    df = spark.read.schema(schema).option("multiLine", True).json(list(paths))
+    labels = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(col(n)), F.array().cast("array<string>")) for n in names])))
+    rows = df.select(F.explode(labels).alias("_label"), *[col(n) for n in names])
+    return rows.select(*[F.try_element_at(col(n), F.col("_label")).alias(n) for n in names])
 
 
 def read_json(spark: SparkSession, paths: Sequence[str], whole_file: bool, key_order: Sequence[str] = (),
@@ -236,11 +340,12 @@ def parse_date_keys(df: DataFrame) -> DataFrame:
 
 
 def load_directory(spark: SparkSession, directory: str, file_types: Sequence[str] = FILE_TYPES,
-                   infer: bool = True, multi_line: bool = True) -> LoadedTables:
+                   infer: bool = True, multi_line: bool | None = None) -> LoadedTables:
     """Read every file of the given types below a directory.
 
     Files are grouped by header, since one CSV read would apply the first
-    header to all.  A file whose start cannot be read is recorded and skipped.
+    header to all.  A file whose first record cannot be read is named in
+    ``failures``; lines that do not fit are in ``quarantine()``.
     """
     out = LoadedTables()
     for kind in file_types:
@@ -253,38 +358,37 @@ def load_directory(spark: SparkSession, directory: str, file_types: Sequence[str
             continue
         groups: dict[tuple, list[str]] = {}
 
-        def start(path):
+        def layout(path):
             try:
-                return path, read_start(spark, path), None
+                if kind == "json":
+                    form, keys = json_layout(starts(spark, path))
+                    return path, ("json", form, tuple(keys)), None
+                record = read_start(spark, path)
+                if not record.strip():
+                    raise ValueError("empty file")
+                sep = {"csv": ",", "tsv": "\t"}.get(kind) or sniff_separator(record)
+                return path, (kind, sep, tuple(header_names(record, sep))), None
             except Exception as e:  # noqa: BLE001 - any unreadable file is skipped and named
-                return path, "", str(e)
+                return path, None, str(e)
 
         with ThreadPoolExecutor(16) as pool:
-            starts = list(pool.map(start, [p for p, _ in files]))
-        for path, text, error in starts:
-            try:
-                if error:
-                    raise ValueError(error)
-                if not text.strip():
-                    raise ValueError("empty file")
-                if kind == "json":
-                    whole, keys = _json_layout(text)
-                    key = ("json", whole, tuple(keys))
-                else:
-                    sep = {"csv": ",", "tsv": "\t"}.get(kind) or sniff_separator(text)
-                    key = (kind, sep, tuple(header_names(text, sep)))
+            found = list(pool.map(layout, [p for p, _ in files]))
+        for path, key, error in found:
+            if error is not None:
+                out.failures.append((path, error))
+            else:
                 groups.setdefault(key, []).append(path)
-            except ValueError as e:
-                out.failures.append((path, str(e)))
         for (form, how, names), paths in groups.items():
-            if form == "json":
-                df = read_json(spark, paths, how, names)
+            if form == "json" and how == "columns":
+                df = read_json_columns(spark, paths, names)
+            elif form == "json":
+                df = read_json(spark, paths, how != "lines", names)
                 if CORRUPT in df.columns:
                     fields = [c for c in df.columns if c != CORRUPT]
                     if not fields:
                         out.failures += [(p, "no JSON records") for p in paths]
                         continue
-                    df = df.filter(_touch(col(fields[0])))
+                    df = df.filter(_touch(col(fields[0]), df.schema[fields[0]].dataType))
                     out.rejected.append(df.filter(col(CORRUPT).isNotNull()).select(
                         F.col("_metadata.file_path").alias("path"), col(CORRUPT).alias("record")))
                     df = df.filter(col(CORRUPT).isNull()).drop(CORRUPT)
@@ -301,7 +405,8 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of all columns in order of appearance, missing ones NULL.
 
     A column whose types disagree between frames becomes text everywhere, or
-    double when all are numeric; Spark alone would cast and fail at run time.
+    a wider number when all are numeric and no digit is lost by it; Spark
+    alone would cast and fail at run time.
     """
     if not frames:
         raise ValueError("no tables to combine")
@@ -316,6 +421,13 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
             number = all(isinstance(t, T.NumericType) for t in ts)
             target[c] = T.LongType() if whole else T.DoubleType() if number else T.StringType()
     out = None
+    for df in frames:
+        # Whole numbers beyond 2^53 are no doubles.
+        types = field_types(df)
+        at_risk = [c for c, t in target.items() if isinstance(t, T.DoubleType) and isinstance(types.get(c), (T.LongType, T.DecimalType))]
+        if at_risk:
+            row = aggregate_row(df, [F.max(F.abs(col(c).cast("decimal(38,0)"))).alias(f"m{i}") for i, c in enumerate(at_risk)])
+            target.update({c: T.StringType() for i, c in enumerate(at_risk) if (row[f"m{i}"] or 0) > 2 ** 53})
     for df in frames:
         types = field_types(df)
         aligned = df.drop(ROW_ID).select(*[
@@ -323,8 +435,3 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
             if c in target and target[c] != t else col(c) for c, t in types.items()])
         out = aligned if out is None else out.unionByName(aligned, allowMissingColumns=True)
     return out
-
-
-def preview(df: DataFrame, n: int = 10_000) -> DataFrame:
-    """First n rows in row order, for a look before a full run."""
-    return df.orderBy(ROW_ID).limit(n) if ROW_ID in df.columns else df.limit(n)

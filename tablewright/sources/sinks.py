@@ -43,7 +43,7 @@ def issues_frame(spark: SparkSession, issues: Issues) -> DataFrame:
     rows += [("format", k, len(v.split(", ")), v) for k, v in issues.formats.items()]
     rows += [("broken", k, b["count"], json.dumps(b)) for k, b in issues.broken.items()]
     rows += [("exact_duplicates", "rows", issues.exact_duplicates, json.dumps(issues.duplicate_rows))]
-    rows += [("near_duplicates", p["column_name"], p["score"], json.dumps(p)) for p in issues.near_pairs]
+    rows += [("near_duplicates", "pairs", issues.near_pairs, json.dumps(issues.near_pairs_shown))]
     rows += [("contradictory", k, v["n_categories"], json.dumps(v)) for k, v in issues.contradictory.items()]
     rows += [("outliers", c, o["n_iqr"], json.dumps(o)) for c, o in issues.outliers.items()]
     return spark.createDataFrame(rows, "kind string, key string, count bigint, detail string")
@@ -62,7 +62,16 @@ def save(result: CleanResult, directory: str, formats=("csv",), mode: str = "ove
     out["narrative"] = f"{base}/narrative"
     write_text(spark, result.narrative, out["narrative"], mode)
     out["log"] = f"{base}/cleaning_log"
-    write_log(spark, result.log + [dict(a.as_dict(), message=a.rule) for a in result.plan.actions], out["log"], mode)
+    write_log(spark, result.log, out["log"], mode)
+    out["decisions"] = f"{base}/decisions"
+    result.decisions.coalesce(1).write.mode(mode).json(out["decisions"])
+    out["near_pairs"] = f"{base}/near_pairs"
+    write_parquet(result.issues.near_pairs_table, out["near_pairs"], mode)
+    out["failures"] = f"{base}/unreadable_files"
+    spark.createDataFrame(result.failures, "path string, error string").coalesce(1).write.mode(mode).json(out["failures"])
+    if result.rejected is not None:
+        out["rejected"] = f"{base}/rejected_lines"
+        result.rejected.write.mode(mode).json(out["rejected"])
     out["summary"] = f"{base}/analysis_summary"
     issues_frame(spark, result.issues).coalesce(1).write.mode(mode).json(out["summary"])
     return out

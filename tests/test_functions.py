@@ -106,3 +106,19 @@ def test_name_matching():
     tokens = cfg.with_(name_matching="token")
     assert not tokens.has_role("page_id", ("age",))
     assert tokens.has_role("createdAt", ("at",)) and tokens.has_role("cust_age", ("age",))
+
+
+def test_zones_and_more_layouts(spark):
+    from tablewright.functions import parse_date
+
+    cases = {"2024-01-05T10:00:00Z": "2024-01-05 10:00:00", "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024-01-05 10:00 -0330": "2024-01-05 13:30:00",
+             "2024/1/5": "2024-01-05 00:00:00", "Jan 5, 2024": "2024-01-05 00:00:00", "january 5,2024": "2024-01-05 00:00:00", "5 January 2024": "2024-01-05 00:00:00",
+             "Jax 5, 2024": None, "2024-01-05T10:00:00+2": None, "2024/13/5": None, "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.d and str(r.d) for r in df.select("s", parse_date(df.s).alias("d")).collect()} == cases
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert str(df.filter("s LIKE '%+02:00'").select(parse_date(df.s)).first()[0]) == "2024-01-05 08:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

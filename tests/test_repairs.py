@@ -6,7 +6,7 @@ from tablewright import Config
 from tablewright.operators import repairs
 from tablewright.operators.repairs import apply_actions, clip, snake_case_names
 from tablewright.plans import cleaning, fitting
-from tablewright.plans.decisions import decide, identify
+from tablewright.plans.decisions import decisions_frame, identify
 
 
 def share(k, n=100):
@@ -71,15 +71,35 @@ def test_repairs_are_idempotent(messy):
         assert sorted(map(str, once.collect())) == sorted(map(str, fix(once).collect()))
 
 
-def test_decisions_cover_issues(messy):
+def test_decisions_are_the_measured_repairs(spark, messy):
     issues = identify(messy, as_of="2024-01-01")
-    found = decide(messy, issues)
-    rules = {d.issue: d.rule for d in found.entries}
-    assert rules["missing::salary"] == "IMPUTE 'salary' with mode"
-    assert "duplicates::exact" in rules and "case::department_case_inconsistencies" in rules
-    assert "broken::email_invalid_emails" in rules and "format::salary_multiple_numeric_formats" in rules
-    assert any("mixed_types" in u for u in found.unresolved)
     assert issues.total == sum(issues.counts().values())
+    actions = cleaning.decide(messy, order_by="id")
+    done = {(a.op, a.column): a for a in actions if a.effective}
+    assert done["fill", "salary"].params["how"] == "mode" and done["fill", "salary"].changed == 3
+    assert done["null_placeholders", "salary"].changed == 3 and done["drop_duplicates", None].changed == 1
+    assert done["to_number", "salary"].retyped == "string -> double"
+    assert done["null_email", "email"].changed == 3 and done["title", "department"].changed > 0
+    # A repair without effect is no decision.
+    assert ("null_placeholders", "email") not in done and ("null_placeholders", "email") in {(a.op, a.column) for a in actions}
+    rows = decisions_frame(spark, actions).collect()
+    assert [(r.op, r.column_name, r.changed) for r in rows] == [(a.op, a.column, a.changed) for a in actions if a.effective]
+
+
+def test_decisions_equal_a_comparison_of_tables(spark, messy):
+    from tablewright.operators.repairs import measured
+    from tablewright.operators.rows import with_row_id
+
+    df = with_row_id(messy.dropDuplicates(["id"]), "id")
+    for step in ("fix_missing", "fix_text_consistency"):
+        actions = measured(df, cleaning.STEPS[step](df))
+        before = {r.id: r for r in df.collect()}
+        after = {r.id: r for r in apply_actions(df, actions).collect()}
+        for column in df.columns[:-1]:
+            cells = sum(before[i][column] != after[i][column] for i in before)
+            # A placeholder that is filled afterwards is two changes of one cell.
+            most = sum(a.changed for a in actions if a.column == column)
+            assert cells <= most and (most == 0) == (cells == 0)
 
 
 def test_full_workflow_plan_and_stream(spark, messy, tmp_path):
@@ -88,19 +108,21 @@ def test_full_workflow_plan_and_stream(spark, messy, tmp_path):
 
     result = cleaning.clean(messy, order_by="id", as_of="2024-01-01")
     rows = {r.id: r for r in result.df.collect()}
-    assert len(rows) == 10 and result.summary()["rows_removed"] == 1
+    summary = result.summary()
+    assert len(rows) == 10 and summary["rows"] == {"before": 11, "after": 10} and summary["changed_by_repair"]["drop_duplicates"] == 1
+    assert summary["near_pairs"] == result.issues.near_pairs_table.count()
     assert rows[2].name == "Bea Stone" and rows[2].date_of_birth == "1987-03-25"
     assert rows[1].salary == 41000 and rows[7].department == "Design"
     assert all(v is not None for r in rows.values() for v in r)
-    assert "## 3. Decisions" in result.narrative and result.validation.missing == {}
-    # Every executed action is documented.
-    documented = {(d.issue, d.rule) for d in result.decisions.entries}
-    assert all((a.issue, a.rule) in documented for a in result.plan.actions)
+    assert "## By column" in result.narrative and result.validation.missing == {}
+    assert result.decisions.count() == sum(a.effective for a in result.plan.actions)
 
     paths = save(result, str(tmp_path / "out"), formats=("csv", "parquet"))
     assert spark.read.option("header", True).csv(paths["csv"]).count() == 10
     assert spark.read.json(paths["summary"]).filter("kind = 'exact_duplicates'").first()["count"] == 1
     assert spark.read.text(paths["report"]).count() > 5 and spark.read.json(paths["log"]).count() > 5
+    assert spark.read.json(paths["decisions"]).count() == result.decisions.count()
+    assert spark.read.parquet(paths["near_pairs"]).count() == summary["near_pairs"]
 
     messy.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(messy.schema).parquet(str(tmp_path / "in"))

@@ -105,7 +105,7 @@ def test_window_flags(spark, table, mode, window, blanks):
 
 def test_greedy_with_one_name_everywhere(spark):
     df = spark.createDataFrame([(i, "same") for i in range(500)], "_row_id bigint, name string")
-    cfg = Config(near_duplicate_window=7)
+    cfg = Config(near_duplicate_window=7, near_duplicate_mode="greedy")
     out = sim.window_flags(with_dense_index(df, "_idx"), "name", "_idx", cfg, block_rows=100)
     kept = set(range(500)) - {r._idx for r in out.collect()}
     assert kept == set(range(0, 500, 7))
@@ -123,3 +123,23 @@ def test_near_pairs_count_rows(spark):
     rows = [("John Smith",)] * 3 + [("smith john",)] + [("Jon Smith",)] * 2 + [("nobody else",), (None,)]
     out = sim.near_pairs(spark.createDataFrame(rows, "name string")).collect()
     assert [(r.a, r.b, r.score, r.rows_a, r.rows_b) for r in out] == [("John Smith", "Jon Smith", 95, 4, 2)]
+
+
+def test_whole_table_flags_all_columns(spark):
+    rows = [(i, f"item number {i % 40} {'abcdefghij'[i % 10] * 8}", "x" if i != 77 else "only a title here") for i in range(120)]
+    rows += [(500, "zzzz qqqq", "only a titel here"), (501, "", None), (502, "", None)]
+    df = spark.createDataFrame(rows, "_row_id bigint, name string, title string")
+    got = {r._row_id for r in sim.flag_near_duplicates(df).filter("_near_duplicate").collect()}
+    keys = [(i, *[" ".join(sorted((t or "").lower().split())) for t in texts]) for i, *texts in rows]
+
+    def alike(a, b):
+        if not a or not b:
+            return False
+        grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x, ca in enumerate(a):
+            for y, cb in enumerate(b):
+                grid[x + 1][y + 1] = grid[x][y] + 1 if ca == cb else max(grid[x][y + 1], grid[x + 1][y])
+        return round(200 * grid[-1][-1] / (len(a) + len(b))) >= 92
+
+    want = {i for k, (i, a, b) in enumerate(keys) if any(alike(a, c) or alike(b, d) for _, c, d in keys[:k])}
+    assert got == want and 500 in got

@@ -70,9 +70,73 @@ def test_directory_runs(spark, tmp_path):
     (tmp_path / "in" / "a.csv").write_text("id, The City;(x)\n1,paris\n2,PARIS\n2,PARIS\n")
     (tmp_path / "in" / "b.csv").write_text("id, The City;(x)\n3,Rome\n4,\n")
     result = clean_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_types=["csv"])
-    assert result.summary()["files_processed"] == 2 and result.df.count() == 4
+    assert result.summary()["input"] == {"files": 2, "unreadable_files": 0, "rejected_lines": 0} and result.df.count() == 4
     assert (tmp_path / "out" / "narrative").exists()
     issues, report = analyze_directory(spark, str(tmp_path / "in"))
     assert issues.exact_duplicates == 1 and "## Missing values" in report
     with pytest.raises(ValueError):
         clean_directory(spark, str(tmp_path / "in"), file_types=["json"])
+
+
+def test_losses_are_reported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,v\n1,x\n2,y,surplus\n3,z\n")
+    (tmp_path / "in" / "blank.csv").write_text("\n\n")
+    result = clean_directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), file_types=["csv"])
+    assert result.summary()["input"] == {"files": 1, "unreadable_files": 1, "rejected_lines": 1}
+    assert result.source.count() == 2
+    assert [r.record for r in spark.read.json(str(tmp_path / "out" / "rejected_lines")).collect()] == ["2,y,surplus"]
+    assert spark.read.json(str(tmp_path / "out" / "unreadable_files")).count() == 1
+    assert "could not be read" in result.narrative
+    assert "rejected lines: 1" in analyze_directory(spark, str(tmp_path / "in"), file_types=["csv"])[1]
+
+
+def test_header_longer_than_a_read(spark, tmp_path):
+    names = [f"column_number_{i}" for i in range(6000)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + "\n".join(",".join([str(r)] * 6000) for r in range(3)) + "\n")
+    df, = files.load_directory(spark, str(tmp_path), ["csv"], infer=False).frames()
+    assert len(df.columns) == 6000 and df.count() == 3
+
+
+def test_json_with_a_long_first_line(spark, tmp_path):
+    rows = [{"a": "x" * 100_000, "b": 1}] + [{"a": "y", "b": i} for i in range(99)]
+    (tmp_path / "long.json").write_text("\n".join(map(json.dumps, rows)))
+    df, = files.load_directory(spark, str(tmp_path), ["json"]).frames()
+    assert df.count() == 100
+
+
+def test_json_by_columns(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"a": {"0": 1, "1": 2, "2": 3}, "b": {"0": "x", "1": None, "2": "z"}}))
+    (tmp_path / "one.json").write_text(json.dumps({"a": {"k": 1}, "b": 5}))
+    (tmp_path / "bad.json").write_text('{"a": 1,')
+    loaded = files.load_directory(spark, str(tmp_path), ["json"])
+    tables = {df.count(): df for df in loaded.frames()}
+    assert sorted((r.a, r.b) for r in tables[3].collect()) == [(1, "x"), (2, None), (3, "z")]
+    assert dict(tables[3].dtypes)["a"] == "bigint" and 1 in tables
+    assert [p.rsplit("/", 1)[1] for p, _ in loaded.failures] == ["bad.json"]
+
+
+def test_long_whole_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("9007199254740993123", "9" * 25, "1" * 50, "1"), ("9007199254740993124", "5", "2", "2.5")],
+                               "a string, b string, c string, d string")
+    out = files.infer_types(df)
+    assert dict(out.dtypes) == {"a": "bigint", "b": "decimal(38,0)", "c": "string", "d": "double"}
+    assert out.select("a").distinct().count() == 2
+    big = spark.createDataFrame([(2 ** 53 + 1,)], "a bigint")
+    both = files.combine([big, spark.createDataFrame([(0.5,)], "a double")])
+    assert sorted(r.a for r in both.collect()) == ["0.5", str(2 ** 53 + 1)]
+
+
+def test_files_split_unless_quotes_span_lines(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "".join(f"{i},text {i}\n" for i in range(60_000)))
+    (tmp_path / "quoted.csv").write_text('a,b\n1,"x\ny"\n')
+    paths = [p for p, _ in files.list_files(spark, str(tmp_path), "csv")]
+    assert {p.rsplit("/", 1)[1] for p in files.with_quoted_breaks(spark, paths)} == {"quoted.csv"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        rows, _ = files.read_delimited(spark, paths, ["a", "b"])
+        assert rows.count() == 60_001 and rows.rdd.getNumPartitions() > 4
+        assert rows.filter("b = 'x\ny'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
