@@ -191,20 +191,16 @@ X1 = ", ".join(f"{null_out(c)} AS {c}" if c in DC_TEXT else c for c in DC_COLUMN
 EVENT_FENCES = fences("events", "value")
 
 
-def decision(issue: str, rule: str, when: str) -> str:
-    return f"SELECT '{issue}' AS issue, '{rule}' AS rule WHERE {when}"
-
-
 def exists(table: str, cond: str) -> str:
     return f"EXISTS (SELECT 1 FROM {table} t WHERE {cond})"
 
 
-def impute_rule(table: str, c: str, numeric: bool) -> str:
-    how = ("CASE WHEN p < 5 OR p >= 30 THEN 'median' ELSE 'mean' END" if numeric else "'mode'")
-    null = f"{c} IS NULL" if numeric else f"{c} IS NULL OR {strip(f'{c}::VARCHAR')} = '' OR lower({strip(f'{c}::VARCHAR')}) IN {TOKENS}"
-    return (f"SELECT 'missing::{c}' AS issue, CASE WHEN p > 60 THEN 'DROP column ''{c}''' "
-            f"ELSE concat('IMPUTE ''{c}'' with ', {how}) END AS rule FROM "
-            f"(SELECT round(count(*) FILTER ({null}) * 100.0::DOUBLE / count(*), 2) AS p FROM {table} t) WHERE p > 0")
+def imputation(table: str, c: str, how: str | None = None) -> str:
+    """What becomes of a column with gaps: dropped above 60 %, else filled."""
+    how = f"'{how}'" if how else "CASE WHEN p < 0.05 OR p >= 0.3 THEN 'median' ELSE 'mean' END"
+    return (f"SELECT CASE WHEN p > 0.6 THEN 'drop_column' ELSE 'fill' END AS op, '{c}' AS column_name, "
+            f"CASE WHEN p > 0.6 THEN 1 ELSE n END AS changed, CASE WHEN p <= 0.6 THEN {how} END AS how FROM "
+            f"(SELECT count(*) FILTER ({c} IS NULL) AS n, count(*) FILTER ({c} IS NULL) / count(*)::DOUBLE AS p FROM {table} t) WHERE n > 0")
 
 
 def has_outlier(c: str) -> str:
@@ -216,19 +212,39 @@ def has_variants(c: str) -> str:
             f"GROUP BY 1 HAVING count(DISTINCT {c}) > 1)")
 
 
-def nullify(key: str) -> str:
-    return f"NULLIFY impossible values in ''{key}''"
+DC_NUMBERS = [c for c in DC_COLUMNS if c not in DC_TEXT]
+
+
+def stage(name: str, source: str, changed: dict[str, str]) -> str:
+    """A CTE: the source with some columns replaced."""
+    return f"{name} AS (SELECT {', '.join(f'{changed[c]} AS {c}' if c in changed else c for c in DC_COLUMNS)} FROM {source} t)"
+
+
+def effect(step: str, op: str, c: str, before: str, after: str) -> str:
+    """Cells of a column that differ between two stages of the same rows."""
+    return (f"SELECT '{step}' AS step, '{op}' AS op, '{c}' AS column_name, count(*) AS changed, '' AS retyped "
+            f"FROM {before} a JOIN {after} b USING (c_custkey) WHERE a.{c} IS DISTINCT FROM b.{c} HAVING count(*) > 0")
 
 
-CAPPED = [c for c in DC_COLUMNS if c not in DC_TEXT and c != "c_custkey"]
-DECISIONS = union(
-    [impute_rule(DC, c, c not in DC_TEXT) for c in DC_COLUMNS]
-    + [decision(f"broken::{k}", nullify(k), exists(DC, bad)) for k, bad in (
-        ("cust_age_invalid_ages", BAD_AGE), ("contact_email_invalid_emails", BAD_EMAIL),
-        ("contact_email_invalid_phones", bad_phone("contact_email")),
-        ("contact_phone_invalid_phones", bad_phone("contact_phone")))]
-    + [decision(f"outlier::{c}", f"CAP ''{c}'' at the quartile fences x 1.5", has_outlier(c)) for c in CAPPED]
-    + [decision(f"case::{c}_case_inconsistencies", "STANDARDISE text case by column role", has_variants(c)) for c in DC_TEXT])
+STAGES = ", ".join([
+    f"x0 AS (SELECT * FROM {DC} t)",
+    stage("x1", "x0", {c: null_out(c) for c in DC_TEXT}),
+    stage("x2", "x1", {c: f"coalesce({c}, {mode('x1', c)})" for c in DC_TEXT}),
+    stage("x3", "x2", {c: f"nullif({strip(f'regexp_replace({c}, {chr(39)}[^\\x00-\\x7F]+{chr(39)}, {chr(39)*2}, {chr(39)}g{chr(39)})')}, 'nan')" for c in DC_TEXT}),
+    stage("x4", "x3", {"contact_email": f"CASE WHEN NOT ({BAD_EMAIL}) THEN contact_email END",
+                       "contact_phone": f"CASE WHEN NOT ({bad_phone('contact_phone')}) THEN contact_phone END",
+                       "cust_age": "CASE WHEN cust_age BETWEEN 0 AND 120 THEN cust_age END"}),
+    stage("x5", "x4", {"contact_email": "lower(contact_email)"})])
+DECISIONS = f"WITH {STAGES} " + union(
+    [effect("fix_missing", "null_placeholders", c, "x0", "x1") for c in DC_TEXT]
+    + [effect("fix_missing", "fill", c, "x1", "x2") for c in DC_TEXT]
+    + [effect("fix_formats", "fold_ascii", c, "x2", "x3") for c in DC_TEXT]
+    + [effect("fix_broken_entries", op, c, "x3", "x4") for op, c in
+       (("null_email", "contact_email"), ("null_phone", "contact_phone"), ("null_age", "cust_age"))]
+    + [f"SELECT 'fix_broken_entries', 'cap', '{c}', count(*), 'bigint -> double' FROM x4, ({fences('x4', c)}) q "
+       f"WHERE {c} < lo OR {c} > hi HAVING count(*) > 0" for c in DC_NUMBERS]
+    + [effect("fix_text_consistency", "lower", "contact_email", "x4", "x5"),
+       "SELECT 'fix_column_names', 'to_long', 'c_nationkey', 0, 'int -> bigint'"])
 
 
 def flag(cond: str) -> str:
@@ -352,8 +368,8 @@ ORACLES: dict[str, str] = {
     "c3_issue_count": (f"WITH c AS ({COUNTS}) " + union(f"SELECT '{k}' AS kind, {k} AS n FROM c" for k in KINDS)
                        + f" UNION ALL SELECT 'total', {' + '.join(KINDS)} FROM c"),
     "r1_r10_decisions": DECISIONS,
-    "r1_r3_missing_decisions": union([impute_rule(SE, c, True) for c in ("value", "value2", "value3", "value4")]
-                                     + [impute_rule(SE, "seen_at", False)]),
+    "r1_r3_missing_decisions": union([imputation(SE, c) for c in ("value", "value2", "value3", "value4")]
+                                     + [imputation(SE, "seen_at", "median_date")]),
     "x1_null_placeholders": f"SELECT {X1} FROM {DC} t",
     "x2_x3_impute_numeric": (f"SELECT event_id, event_type, {imputed('value', 'mean')}, {imputed('value2', 'median')}, "
                              f"{imputed('value4', 'median')} FROM {SE} t"),
