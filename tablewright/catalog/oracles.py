@@ -402,6 +402,17 @@ ORACLES: dict[str, str] = {
         f"UNION ALL SELECT key, key FROM keys WHERE key <> '') "
         f"SELECT p_partkey, p_name, EXISTS (SELECT 1 FROM np e JOIN hits ON hits.ka = e.key WHERE hits.kb = np.key "
         f"AND e.i < np.i AND e.i > np.i - 300) AS _near_duplicate FROM np"),
+    "x17_near_flags_greedy": (
+        f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key, row_number() OVER (ORDER BY p_partkey) AS i FROM {NP} t), "
+        f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "
+        f"UNION ALL SELECT key, key FROM keys WHERE key <> ''), "
+        f"like_before AS (SELECT l.i, list(e.i) AS who FROM np l JOIN hits ON hits.kb = l.key JOIN np e ON e.key = hits.ka "
+        f"AND e.i < l.i AND e.i > l.i - 300 GROUP BY l.i), "
+        f"rows_before AS (SELECT np.i, coalesce(who, []) AS who FROM np LEFT JOIN like_before USING (i)), "
+        f"walk AS (SELECT 1::BIGINT AS i, FALSE AS flagged, [1::BIGINT] AS kept UNION ALL "
+        f"SELECT b.i, list_has_any(b.who, w.kept), CASE WHEN list_has_any(b.who, w.kept) THEN w.kept "
+        f"ELSE list_append(list_filter(w.kept, lambda x: x > b.i - 300), b.i) END FROM walk w JOIN rows_before b ON b.i = w.i + 1) "
+        f"SELECT p_partkey, p_name, flagged AS _near_duplicate FROM np JOIN walk USING (i)"),
     "x17_near_flags_whole_table": (
         f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key FROM {NP} t), "
         f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "
@@ -425,6 +436,14 @@ ORACLES: dict[str, str] = {
         f"10::BIGINT AS columns_after, 1::BIGINT AS columns_removed, 0::BIGINT AS missing_before, 0::BIGINT AS missing_after, "
         f"nb - na AS duplicates_before, na - nd AS duplicates_after, "
         f"round(na * 100.0::DOUBLE / nb, 2) AS pct_data_retained FROM n"),
+    # The first pass, then the loop that fills what it nulled and caps what the fill left outside the fences.
+    "v5_clean_full": (
+        f"WITH {STAGES}, {stage('x6', 'x5', {c: null_out(c) for c in DC_TEXT})}, "
+        f"a AS (SELECT count(*) FILTER (cust_age IS NULL) / count(*)::DOUBLE AS p, quantile_cont(cust_age, 0.5) AS med, avg(cust_age) AS mu FROM x6), "
+        f"x7 AS (SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal, {', '.join(f'coalesce({c}, {mode("x6", c)}) AS {c}' for c in DC_TEXT)}, "
+        f"coalesce(cust_age::DOUBLE, CASE WHEN p < 0.05 OR p >= 0.3 THEN med ELSE mu END) AS cust_age FROM x6, a) "
+        f"SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, contact_email, contact_phone, greatest(lo, least(hi, cust_age)) AS cust_age "
+        f"FROM x7, ({fences('x7', 'cust_age')}) q"),
     "v6_v7_summary": (
         f"WITH b AS (SELECT o_orderkey FROM {DP} t) SELECT count(*) AS rows_before, count(DISTINCT o_orderkey) AS rows_after, "
         f"count(*) - count(DISTINCT o_orderkey) AS rows_removed, count(*) - count(DISTINCT o_orderkey) AS exact_duplicates, "

@@ -11,8 +11,8 @@ from tools.check_queries import rows_of
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
-# Whole runs are covered by the workflow tests.
-SLOW = {"v5_clean_full", "v5_clean_recommended", "v8_n1_analyze"}
+# Whole runs without SQL are covered by the workflow tests.
+SLOW = {"v5_clean_recommended", "v8_n1_analyze"}
 
 
 @pytest.fixture(scope="module")
