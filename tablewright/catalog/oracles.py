@@ -301,11 +301,14 @@ def text_bytes() -> str:
 
 
 SHARE = "round(max(n)::DOUBLE / sum(n), 6)"
+IMPUTED = (f"SELECT event_id, event_type, {imputed('value', 'mean')}, {imputed('value2', 'median')}, {imputed('value4', 'median')}, "
+           f"coalesce(seen_at, (SELECT list_sort(list(seen_at))[CAST(count(*) // 2 + 1 AS BIGINT)] FROM {SE} m WHERE seen_at IS NOT NULL)) AS seen_at FROM {SE} t")
+
 ORACLES: dict[str, str] = {
     "s1_s2_csv_round_trip": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "s3_csv_na_tokens": f"SELECT c_custkey, CASE WHEN c_mktsegment IN ('', 'N/A') THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM {DC} t",
+    "s3_csv_na_tokens": f"SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal, contact_email, contact_phone, cust_age, CASE WHEN c_mktsegment IN ('', 'N/A') THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM {DC} t",
     "s4_json_round_trip": "SELECT event_id, event_type, value, ts AS created_at FROM events",
-    "s5_delimited_text": "SELECT p_partkey, p_name, p_retailprice FROM part",
+    "s5_delimited_text": "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part",
     "s8_union_files": ("SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_totalprice, NULL::VARCHAR AS o_orderstatus FROM orders "
                        "UNION ALL SELECT o_orderkey, o_custkey::VARCHAR, NULL, o_orderstatus FROM orders"),
     "k1_parquet_sink": f"SELECT * FROM {DO} t",
@@ -359,7 +362,7 @@ ORACLES: dict[str, str] = {
     "o3_iqr_outliers": outlier_rows(IQR),
     "o3_iqr_outliers_refined": outlier_rows(IQR),
     "o4_outlier_counts": union(f"({outlier_count(c)})" for c in ("event_id", "value", "value2", "value3", "value4")),
-    "o4_outlier_examples": union(f"({outlier_examples(c)})" for c in ("value", "value2")),
+    "o4_outlier_examples": union(f"({outlier_examples(c)})" for c in ("value", "value2", "value3", "value4")),
     "c1_case_variants": variants(DC, DC_TEXT, lower_strip),
     "c1_variant_groups": (f"SELECT column_name, category, count(*) AS n_variants, sum(n)::BIGINT AS n_rows FROM "
                           f"({variants(NP, ['p_name'], lower_strip)}) GROUP BY 1, 2"),
@@ -371,30 +374,28 @@ ORACLES: dict[str, str] = {
     "r1_r3_missing_decisions": union([imputation(SE, c) for c in ("value", "value2", "value3", "value4")]
                                      + [imputation(SE, "seen_at", "median_date")]),
     "x1_null_placeholders": f"SELECT {X1} FROM {DC} t",
-    "x2_x3_impute_numeric": (f"SELECT event_id, event_type, {imputed('value', 'mean')}, {imputed('value2', 'median')}, "
-                             f"{imputed('value4', 'median')} FROM {SE} t"),
-    "x3_impute_numeric_refined": f"SELECT event_id, {imputed('value4', 'median')} FROM {SE} t",
+    "x2_x3_impute_numeric": IMPUTED,
+    "x3_impute_numeric_refined": IMPUTED,
     "x4_impute_dates": (f"SELECT event_id, coalesce(seen_at, (SELECT list_sort(list(seen_at))[CAST(count(*) // 2 + 1 AS BIGINT)] "
                         f"FROM {SE} m WHERE seen_at IS NOT NULL)) AS seen_at FROM {SE} t"),
-    "x5_impute_mode": (f"WITH x AS (SELECT c_custkey, {null_out('c_mktsegment')} AS c_mktsegment FROM {DC} t) "
-                       f"SELECT c_custkey, coalesce(c_mktsegment, {mode('x', 'c_mktsegment')}) AS c_mktsegment FROM x"),
-    "x6_ascii_fold": ("SELECT doc_id, nullif(trim(regexp_replace(text, '[^\\x00-\\x7F]+', '', 'g'), ' \t\n\r\x0b\x0c'), 'nan') AS text "
+    "x5_impute_mode": f"WITH {STAGES} SELECT * FROM x2",
+    "x6_ascii_fold": ("SELECT doc_id, lang, source, n_chars, nullif(trim(regexp_replace(text, '[^\\x00-\\x7F]+', '', 'g'), ' \t\n\r\x0b\x0c'), 'nan') AS text "
                       "FROM documents"),
-    "x7_iso_dates": f"SELECT o_orderkey, strftime({parse_date('order_date')}, '%Y-%m-%d') AS order_date FROM {DO} t",
+    "x7_iso_dates": f"SELECT o_orderkey, strftime({parse_date('order_date')}, '%Y-%m-%d') AS order_date, amount, o_orderpriority FROM {DO} t",
     "x8_normalise_numbers": (f"SELECT p_partkey, p_name, {money('p_brand')} AS p_brand, p_type, p_size, p_retailprice FROM part"),
     "x9_timestamps_to_iso": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS ts FROM events",
     "x10_nullify_broken": f"SELECT * FROM {fixed_customer()} t",
-    "x11_cap_outliers": f"SELECT event_id, round(greatest(lo, least(hi, value)), 4) AS value FROM events, ({EVENT_FENCES}) f",
+    "x11_cap_outliers": f"SELECT event_id, ts, user_id, event_type, props, round(greatest(lo, least(hi, value)), 4) AS value FROM events, ({EVENT_FENCES}) f",
     "x12_text_case": (f"SELECT \"Part Key\" AS key, {TITLE.format(c='\"p-name\"')} AS value FROM {MN} t "
                       f"UNION ALL SELECT page_id, lower(upper(url)) FROM pages"),
     "x13_snake_case": ("SELECT \"Part Key\" AS part_key, \"p-name\" AS p_name, \"p.name\" AS p_name_2, \" Brand \" AS brand, "
-                       f"\"Half  Full\" AS half_full, size, p_retailprice FROM {MN} t"),
+                       f"\"Half  Full\" AS half_full, nothing, size, p_retailprice FROM {MN} t"),
     "x13_x15_column_names": ("SELECT \"Part Key\" AS part_key, \"p-name\" AS p_name, \"p.name\" AS p_name_2, "
                              f"\"Half  Full\" AS half_full, size::BIGINT AS size, p_retailprice FROM {MN} t"),
     "x14_constant_shares": union(
         f"SELECT '{c}' AS column_name, {SHARE} AS share FROM (SELECT count(*) AS n FROM {MN} t GROUP BY \"{c}\") HAVING max(n) >= 0.995 * sum(n)"
         for c in (" Brand ", "Half  Full", "nothing", "size")),
-    "x15_integral_cast": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS l_quantity, l_tax FROM lineitem",
+    "x15_integral_cast": "SELECT * REPLACE (l_linenumber::BIGINT AS l_linenumber, l_quantity::BIGINT AS l_quantity) FROM lineitem",
     "x16_drop_duplicates": f"SELECT DISTINCT * FROM {DP} t",
     "x17_near_flags_any_earlier": (
         f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key, row_number() OVER (ORDER BY p_partkey) AS i FROM {NP} t), "
@@ -419,12 +420,12 @@ ORACLES: dict[str, str] = {
         f"UNION ALL SELECT key, key FROM keys WHERE key <> ''), "
         f"firsts AS (SELECT hits.kb AS key, min(e.p_partkey) AS first FROM np e JOIN hits ON hits.ka = e.key GROUP BY 1) "
         f"SELECT p_partkey, p_name, coalesce(first < p_partkey, FALSE) AS _near_duplicate FROM np LEFT JOIN firsts USING (key)"),
-    "x18_money": f"SELECT o_orderkey, {money('amount')} AS amount FROM {DO} t",
+    "x18_money": f"SELECT o_orderkey, order_date, o_orderpriority, {money('amount')} AS amount FROM {DO} t",
     "x19_canonical_spelling": (
         f"WITH s AS (SELECT lower(o_orderpriority) AS k, o_orderpriority AS v, count(*) AS n FROM {DO} t GROUP BY ALL), "
         f"b AS (SELECT k, v FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, v) = 1) "
-        f"SELECT o_orderkey, b.v AS o_orderpriority FROM {DO} t JOIN b ON b.k = lower(o_orderpriority)"),
-    "x20_parse_dates": f"SELECT o_orderkey, {parse_date('order_date')} AS order_date FROM {DO} t",
+        f"SELECT o_orderkey, order_date, amount, b.v AS o_orderpriority FROM {DO} t JOIN b ON b.k = lower(o_orderpriority)"),
+    "x20_parse_dates": f"SELECT o_orderkey, amount, o_orderpriority, {parse_date('order_date')} AS order_date FROM {DO} t",
     "x22_recheck": (f"WITH x AS (SELECT {X1} FROM {DC} t) SELECT count(*) AS n_rows, "
                     f"CAST(sum({' + '.join(f'CAST({c} IS NULL AS BIGINT)' for c in DC_COLUMNS)}) AS BIGINT) AS missing_cells FROM x"),
     "v1_v3_validate": validated(),

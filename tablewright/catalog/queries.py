@@ -50,8 +50,7 @@ def s1_s2_csv_round_trip(spark, sf):
 @query
 def s3_csv_na_tokens(spark, sf):
     path = scratch(spark, "na")
-    dirty = view(spark, sf, "dirty_customer").select("c_custkey", "c_mktsegment")
-    sinks.write_csv(dirty, path)
+    sinks.write_csv(view(spark, sf, "dirty_customer"), path)
     return files.combine(files.load_directory(spark, path, ["csv"]).frames())
 
 
@@ -66,8 +65,7 @@ def s4_json_round_trip(spark, sf):
 @query
 def s5_delimited_text(spark, sf):
     path = scratch(spark, "txt")
-    (table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
-     .write.option("header", True).option("sep", ";").csv(path))
+    (table(spark, sf, "part").write.option("header", True).option("sep", ";").csv(path))
     paths = [p for p, _ in files.list_files(spark, path, "csv")]
     record = files.read_start(spark, paths[0])
     separator = files.sniff_separator(record)
@@ -142,8 +140,7 @@ def m1_m4_missing_profile(spark, sf):
 
 @query
 def m6_missing_examples(spark, sf):
-    df = with_row_id(view(spark, sf, "dirty_customer"), "c_custkey")
-    return missing.missing_examples(df.select(ROW_ID, "c_mktsegment", "contact_email"))
+    return missing.missing_examples(with_row_id(view(spark, sf, "dirty_customer"), "c_custkey"))
 
 
 # --- formats -----------------------------------------------------------------
@@ -155,12 +152,12 @@ def f2_lexical_types(spark, sf):
 
 @query
 def f3_date_format_mix(spark, sf):
-    return formats.format_counts(view(spark, sf, "dirty_orders").select("order_date"), checks=("multiple_date_formats",))
+    return formats.format_counts(view(spark, sf, "dirty_orders"), checks=("multiple_date_formats",))
 
 
 @query
 def f4_date_separators(spark, sf):
-    return formats.format_counts(view(spark, sf, "dirty_orders").select("order_date"), checks=("date_separators",))
+    return formats.format_counts(view(spark, sf, "dirty_orders"), checks=("date_separators",))
 
 
 @query
@@ -274,8 +271,7 @@ def o4_outlier_counts(spark, sf):
 
 @query
 def o4_outlier_examples(spark, sf):
-    df = with_row_id(view(spark, sf, "sparse_events").select("event_id", "value", "value2"), "event_id")
-    return outliers.outlier_examples(df)
+    return outliers.outlier_examples(with_row_id(view(spark, sf, "sparse_events"), "event_id"))
 
 
 # --- categories, whole scan, decisions -----------------------------------------
@@ -322,14 +318,12 @@ def x1_null_placeholders(spark, sf):
 
 @query
 def x2_x3_impute_numeric(spark, sf):
-    df = view(spark, sf, "sparse_events").drop("seen_at")
-    return rounded(cleaning.fix_missing(df), "value", "value2", "value4")
+    return rounded(cleaning.fix_missing(view(spark, sf, "sparse_events")), "value", "value2", "value4")
 
 
 @query
 def x3_impute_numeric_refined(spark, sf):
-    df = view(spark, sf, "sparse_events").select("event_id", "value4")
-    return rounded(cleaning.fix_missing(df, REFINE), "value4")
+    return rounded(cleaning.fix_missing(view(spark, sf, "sparse_events"), REFINE), "value", "value2", "value4")
 
 
 @query
@@ -339,18 +333,18 @@ def x4_impute_dates(spark, sf):
 
 @query
 def x5_impute_mode(spark, sf):
-    return cleaning.fix_missing(view(spark, sf, "dirty_customer").select("c_custkey", "c_mktsegment"))
+    return cleaning.fix_missing(view(spark, sf, "dirty_customer"))
 
 
 @query
 def x6_ascii_fold(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "text")
+    df = table(spark, sf, "documents")
     return apply_actions(df, fitting.fit_encoding(df))
 
 
 @query
 def x7_iso_dates(spark, sf):
-    return cleaning.fix_formats(view(spark, sf, "dirty_orders").select("o_orderkey", "order_date"))
+    return cleaning.fix_formats(view(spark, sf, "dirty_orders"))
 
 
 @query
@@ -371,7 +365,7 @@ def x10_nullify_broken(spark, sf):
 
 @query
 def x11_cap_outliers(spark, sf):
-    return rounded(cleaning.fix_broken_entries(table(spark, sf, "events").select("event_id", "value")), "value")
+    return rounded(cleaning.fix_broken_entries(table(spark, sf, "events")), "value")
 
 
 @query
@@ -384,7 +378,7 @@ def x12_text_case(spark, sf):
 
 @query
 def x13_snake_case(spark, sf):
-    return repairs.snake_case(view(spark, sf, "messy_names").drop("nothing"))
+    return repairs.snake_case(view(spark, sf, "messy_names"))
 
 
 @query
@@ -400,7 +394,7 @@ def x14_constant_shares(spark, sf):
 
 @query
 def x15_integral_cast(spark, sf):
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax")
+    df = table(spark, sf, "lineitem")
     return apply_actions(df, fitting.fit_integral(df))
 
 
@@ -429,18 +423,17 @@ def x17_near_flags_greedy(spark, sf):
 
 @query
 def x18_money(spark, sf):
-    return repairs.normalise_money(view(spark, sf, "dirty_orders").select("o_orderkey", "amount"))
+    return repairs.normalise_money(view(spark, sf, "dirty_orders"))
 
 
 @query
 def x19_canonical_spelling(spark, sf):
-    return categories.apply_canonical_spelling(view(spark, sf, "dirty_orders").select("o_orderkey", "o_orderpriority"),
-                                               "o_orderpriority")
+    return categories.apply_canonical_spelling(view(spark, sf, "dirty_orders"), "o_orderpriority")
 
 
 @query
 def x20_parse_dates(spark, sf):
-    return repairs.parse_dates(view(spark, sf, "dirty_orders").select("o_orderkey", "order_date"))
+    return repairs.parse_dates(view(spark, sf, "dirty_orders"))
 
 
 @query
@@ -480,7 +473,7 @@ def v5_clean_recommended(spark, sf):
 
 @query
 def v6_v7_summary(spark, sf):
-    df = duplicated(spark, sf, "dup_orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    df = duplicated(spark, sf, "dup_orders")
     s = cleaning.clean(df, as_of=AS_OF).summary()
     return spark.createDataFrame(
         [(s["rows"]["before"], s["rows"]["after"], s["rows"]["before"] - s["rows"]["after"], s["duplicate_rows"], s["rows_kept_pct"])],
