@@ -290,14 +290,15 @@ def archive_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     payload = F.coalesce(col(html_col).cast("string"), F.lit(""))
     seen = revisits(df.select(col(id_col).alias("page_id"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest")))
-    seen = seen.select(F.col("page_id").cast("string").alias("_key"), F.hex("digest").alias("_digest"), F.col("first_id").cast("string").alias("_first"),
+    # One key for join and window: payloads cross the network once.
+    key = lambda page, digest: F.struct(page.cast("string").alias("page"), digest.alias("digest"))
+    seen = seen.select(key(F.col("page_id"), F.hex("digest")).alias("_key"), F.col("first_id").cast("string").alias("_first"),
                        F.col("page_id").eqNullSafe(F.col("first_id")).alias("_is_first"))
     records = convert_arc(pages_to_arc(df, id_col, url_col, html_col))
-    records = records.withColumn("_sha", F.upper(F.sha1("payload")))
-    records = records.join(seen, F.col("page_key").eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_digest")), "left")
-    nth = F.row_number().over(Window.partitionBy("page_key", "_sha").orderBy("record_id"))
-    again = F.col("_digest").isNotNull() & (~F.col("_is_first") | (nth > 1))
-    records = records.withColumn("again", again).withColumn("refers_to", F.when(F.col("again"), F.col("_first"))).drop("_sha", "_key", "_digest", "_first", "_is_first")
+    records = records.withColumn("_key", key(F.col("page_key"), F.upper(F.sha1("payload")))).join(seen, "_key", "left")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("record_id"))
+    again = F.col("_is_first").isNotNull() & (~F.col("_is_first") | (nth > 1))
+    records = records.withColumn("again", again).withColumn("refers_to", F.when(F.col("again"), F.col("_first"))).drop("_key", "_first", "_is_first")
     write_warc(records, path)
     return (read_archives(spark, path)
             .select(F.col("page_key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "uri", "date"))
