@@ -220,9 +220,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["order", "y", "x"])
 
     rows = sorted(sample.mapInArrow(pool, "order bigint, y double, x binary").collect(), key=lambda r: (r["order"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64).reshape(len(rows), vectors.shape[1] * 2 + 1)
     if not len(x):
-        x = np.zeros((0, vectors.shape[1] * 2 + 1))
         return QualityModel(vectors, Network(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0))
     return QualityModel(vectors, fit_network(x, np.array([r["y"] for r in rows])))
 
@@ -239,8 +238,8 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
 
     def scores(column):
         vectors, parameters = shipped.value
-        x = np.array([pooled(t.as_py(), vectors) for t in column], np.float64).reshape(len(column), -1)
-        return Network(**parameters).probabilities(x) if len(x) else np.zeros(0)
+        x = np.array([pooled(t.as_py(), vectors) for t in column], np.float64).reshape(len(column), vectors.shape[1] * 2 + 1)
+        return Network(**parameters).probabilities(x)
 
     def run(batches):
         for batch in batches:
