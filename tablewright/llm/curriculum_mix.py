@@ -140,9 +140,8 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .agg(F.min("start").alias("start"), F.sum("part_words").alias("parts"), F.first("full_copies").alias("full_copies"),
                  F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("place").alias("place"))
             .select(F.struct(*keys).alias("_key"), "start", "parts", "full_copies", "target", "source_size", "place"))
-    text = text_of(col(text_col))
     rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), col(id_col).alias("doc_id"),
-                     col(source_col).cast("string").alias("source"), word_count(text).alias("size"), text.alias("_text"))
+                     col(source_col).cast("string").alias("source"), word_count(text_of(col(text_col))).alias("size"))
     # One key for join and window, never null itself: texts cross the network once before the sort.
     rows = rows.withColumn("_key", F.struct(*keys)).join(plan, "_key")
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) - 1
@@ -155,7 +154,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share = start / F.greatest(F.round("target").cast("bigint"), F.lit(1))
     rows = rows.withColumn("_position", time_of_demand(share, F.col("place"), schedules))
     is_cut = (F.col("_copy") == F.col("full_copies")) & (F.col("_part") < F.col("size"))
-    words = F.regexp_extract_all(F.col("_text"), F.lit(WORD_PATTERN), F.lit(0))
+    words = F.regexp_extract_all(text_of(F.col("_row")[text_col]), F.lit(WORD_PATTERN), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), " ")
     out = []
     for c in df.columns:
@@ -165,4 +164,6 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         elif c == "n_chars" and "n_chars" not in (id_col, source_col):
             value = F.when(is_cut, F.length(cut).cast(df.schema[c].dataType)).otherwise(value)
         out.append(value.alias(c))
-    return rows.orderBy("_position", "doc_id").select(*out)
+    # What the sort carries is a row and its place, the text once.
+    ready = rows.select(F.struct(*out).alias("_row"), "_position", F.col("doc_id").alias("_id"))
+    return ready.orderBy("_position", "_id").select("_row.*")
