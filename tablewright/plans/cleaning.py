@@ -221,11 +221,12 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
         seen.add(checked.fingerprint())
         before = len(plan.actions)
         repaired = step(step(current, "fix_missing"), "fix_broken_entries")
+        if not any(a.effective for a in plan.actions[before:]):
+            # Nothing moved: what remains has no repair.
+            break
         loop += 1
-        moved = any(a.effective for a in plan.actions[before:])
-        # Without a change the rows are what they were, duplicates included.
-        checked = validate(original, repaired, loop, config, as_of, None if moved else checked.before_after["duplicates_after"])
-        current = repaired
+        current = write_table(repaired)
+        checked = validate(original, current, loop, config, as_of)
 
     return CleanResult(current.drop(ROW_ID), plan, issues, log, checked, report,
                        narrative(plan.actions, checked, len(failures)), source, config, files, list(failures), rejected)

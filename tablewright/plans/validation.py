@@ -78,12 +78,12 @@ def compare(before: dict[str, int], after: dict[str, int]) -> dict:
 
 
 def validate(before: DataFrame | dict, after: DataFrame, loop: int = 1, config: Config = DEFAULT,
-             as_of=None, duplicates: int | None = None) -> Validation:
+             as_of=None) -> Validation:
     """Run the missing, broken and outlier detectors again and decide whether
     another loop is called for.
 
     ``before`` may be the metrics of the original table, so that a loop does
-    not read it again; ``duplicates`` the number of duplicate rows, if known.
+    not read it again.
     """
     data = after.drop(*[c for c in (config.near_duplicate_column,) if c in after.columns])
     scan = scan_table(data, config, as_of, formats=False)
@@ -92,7 +92,7 @@ def validate(before: DataFrame | dict, after: DataFrame, loop: int = 1, config:
     fences = fit_fences(data, config, basics=scan.numeric)
     outliers = {r["column_name"]: r.asDict() for r in outlier_counts(data, config, fences=fences).collect()}
     now = {"rows": scan.n_rows, "columns": len(field_types(after)), "missing": scan.null_cells,
-           "duplicates": exact_duplicates(after).first()["n_duplicates"] if duplicates is None else duplicates}
+           "duplicates": exact_duplicates(after).first()["n_duplicates"]}
     original = before if isinstance(before, dict) else metrics_of(before)
     remain = bool(missing or broken or any(o["n_iqr"] for o in outliers.values()))
     facts = scan.info()
