@@ -92,10 +92,10 @@ def test_losses_are_reported(spark, tmp_path):
 
 
 def test_header_longer_than_a_read(spark, tmp_path):
-    names = [f"column_number_{i}" for i in range(6000)]
-    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + "\n".join(",".join([str(r)] * 6000) for r in range(3)) + "\n")
+    names = [f"column_{'x' * 400}_{i}" for i in range(300)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + "\n".join(",".join([str(r)] * 300) for r in range(3)) + "\n")
     df, = files.load_directory(spark, str(tmp_path), ["csv"], infer=False).frames()
-    assert len(df.columns) == 6000 and df.count() == 3
+    assert len(df.columns) == 300 and df.count() == 3
 
 
 def test_json_with_a_long_first_line(spark, tmp_path):
