@@ -21,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import col, ship_with_tasks, write_table
@@ -54,18 +54,23 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS, seed: i
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text: Column) -> Column:
+    """64-bit hash that tells apart the texts under one id."""
+    return F.xxhash64(text.cast("string"))
+
+
 def with_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      words_in_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, hash, fp) for each row; hash is the text's, fp the fingerprint as a signed 64-bit integer."""
     ids = df.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words_in_shingle, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words_in_shingle, seed) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "hash", "fp"])
 
-    rows = df.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {ids.simpleString()}, fp bigint")
+    rows = df.select(col(id_col).alias("doc_id"), text_hash(col(text_col)).alias("hash"), col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {ids.simpleString()}, hash bigint, fp bigint")
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +195,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _labelled(df: DataFrame, id_col: str, text_col: str, radius: int, words_in_shingle: int, tile: int) -> DataFrame:
+    """(doc_id, hash, fp, root, component_id) for each row; root is one fingerprint of the component."""
+    docs = write_table(with_fingerprint(df, id_col, text_col, words_in_shingle))
+    points = write_table(docs.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
+    roots = components(near_links(points, radius, tile))
+    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    return docs.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
                 words_in_shingle: int = SHINGLE_WORDS, tile: int = TILE) -> DataFrame:
     """One row for each input row: ``doc_id, fingerprint (16 hex digits), component_id``.
@@ -201,27 +216,30 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     are a component id unless the component has only null ids.  Repeated rows each get a row.  An empty table gives
     an empty result; further columns are ignored.
     """
-    docs = write_table(with_fingerprint(df, id_col, text_col, words_in_shingle))
-    points = write_table(docs.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
-    roots = components(near_links(points, radius, tile))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    labels = rooted.join(ids, "root").select("fp", "component_id")
-    return docs.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
+    rows = _labelled(df, id_col, text_col, radius, words_in_shingle, tile)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component: one for each component.
 
-    Rows that share an id count as one document, of which one row stays.  Columns keep their names and values.
-    """
+def first_of_each(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for each root in ``rows`` (doc_id, hash, root): the one with the smallest id, null last, then the smallest hash."""
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
     # One key for join and window, never null: texts cross the network once.
-    key = lambda c: F.struct(c.alias("doc")).alias("_key")
-    keep = (near_groups(df, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(key(F.col("doc_id"))).distinct())
-    both = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), key(col(id_col)), F.xxhash64(col(text_col)).alias("_hash")).join(keep, "_key")
-    once = F.row_number().over(Window.partitionBy("_key").orderBy("_hash"))
+    key = lambda c, h: F.struct(c.alias("doc"), h.alias("hash")).alias("_key")
+    keep = first.select(key(F.col("first.doc_id"), F.col("first.hash")))
+    both = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), key(col(id_col), text_hash(col(text_col)))).join(keep, "_key")
+    # Rows that repeat id and text all match; the join has them side by side already.
+    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     return both.withColumn("_nth", once).where("_nth = 1").select("_row.*")
 
 
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+                     words_in_shingle: int = SHINGLE_WORDS, tile: int = TILE) -> DataFrame:
+    """One row of ``df`` for each component, that with the smallest id.
+
+    Rows that repeat an id, or have none, are judged text by text: each component keeps a row of its own.  Columns
+    keep their names and values.
+    """
+    return first_of_each(df, _labelled(df, id_col, text_col, radius, words_in_shingle, tile), id_col, text_col)
+
+
 ship_with_tasks(__name__)

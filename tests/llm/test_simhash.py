@@ -115,3 +115,12 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert s.near_groups(empty).count() == 0
     assert s.drop_near_copies(empty).count() == 0
+
+
+def test_repeated_and_null_ids_keep_each_text(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 6) for _ in range(80)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:7]] + [(6, texts[7]), (7, texts[7]), (7, texts[8]), (None, texts[8]), (5, texts[4])]
+    kept = s.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:7]] + [(6, texts[7]), (7, texts[8])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
