@@ -112,6 +112,8 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             skip, depth, others = name, 1, bool(_HOLDS_ARTICLES.search(attrs))
             continue
         if name in ("article", "main"):
+            # What is marked and what isn't are bodies of their own.
+            end_line(WINDOW)
             articles = max(0, articles + (-1 if closing else 1))
             seen = seen or not closing
         elif name == "a":
@@ -146,15 +148,20 @@ def main_text(page: str | None, window: int = WINDOW, dense: int = DENSE) -> str
     """The article of a whole page: its blocks in page order, one newline between them."""
     lines, marked = lines_of(page or "")
     texts = [" ".join(entities.unescape("".join(line.raw)).split()) for line in lines]
-    if marked:
-        lengths = [len(t) if line.inside else 0 for t, line in zip(texts, lines)]
-    else:
-        lengths = [max(0, len(t) - line.linked) for t, line in zip(texts, lines)]
+    # Short lines and links count where an article is marked, so that it stays whole.
+    lengths = [len(t) if line.inside else max(0, len(t) - line.linked) for t, line in zip(texts, lines)]
     found = bodies(lengths, window)
-    if not marked and found:
-        enough = min(dense, max(peak for _, _, peak in found))
-        found = [b for b in found if b[2] >= enough]
-    keep = [t for lo, hi, _ in found for t, line in zip(texts[lo:hi], lines[lo:hi]) if t and (line.inside or not marked)]
+    own = [any(line.inside for line in lines[lo:hi]) for lo, hi, _ in found]
+    sizes = [sum(lengths[lo:hi]) for lo, hi, _ in found]
+    enough = min(dense, max((peak for _, _, peak in found), default=0))
+    # The marked part is the article unless another dense body is larger than all of it.
+    main = sum(n for n, o in zip(sizes, own) if o)
+    rest = max((n for n, o, (_, _, peak) in zip(sizes, own, found) if not o and peak >= enough), default=0)
+    whole = marked and main >= rest
+    keep = []
+    for (lo, hi, peak), o in zip(found, own):
+        if o if whole else peak >= enough:
+            keep += [t for t in texts[lo:hi] if t]
     return "\n".join(keep)
 
 

@@ -142,3 +142,14 @@ def test_regression_learns_the_table(spark, model):
 def test_fit_skips_nulls(spark):
     rows = u.labelled_table()[::6] + u.labelled_table()[1::6] + [(None, 1), ("http://x.org/", None)]
     assert u.fit_urls(spark.createDataFrame(rows, "url string, label int")).numFeatures == u.FEATURES
+
+
+def test_text_outside_small_article_markers_is_kept():
+    from tablewright.llm.html_blocks import main_text
+
+    body = [f"Paragraph {i} of the real story says a good deal more than any teaser on this page does, and goes on." for i in range(6)]
+    page = ("<body><div>" + "".join(f"<div>{t}</div>" for t in body) + "</div>"
+            '<article class="card">Another story</article><article class="card">One more</article></body>')
+    assert main_text(page).split("\n") == body
+    # A marked article that outweighs the rest stays whole, short lines included.
+    assert main_text("<div>" + body[0] + "</div><article><h1>Hi</h1>" + "".join(f"<p>{t}" for t in body[1:]) + "</article>").split("\n") == ["Hi", *body[1:]]
