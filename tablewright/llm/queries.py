@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, curriculum_mix, divergence_rules, entropy_secrets, exact_merge, group_packing, html_blocks, quality_classifier, simhash_tiles, url_logistic
+from . import arc_to_warc, conversation_trie, curriculum_mix, divergence_rules, entropy_secrets, exact_merge, group_packing, html_blocks, quality_classifier, simhash_tiles, url_logistic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op10_curriculum_mix(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def op12_conversation_trie(spark, sf_dir):
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_arc_to_warc, op3_html_blocks, op4_exact_merge, op5_simhash_tiles, op6_divergence_rules,
-                                   op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix)}
+                                   op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix, op12_conversation_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BIT = " + ".join(f"substr(bits, i * 5 + {k + 1}, 1)::int * {16 >> k}" for k in range(5))
@@ -100,4 +104,28 @@ ORACLES = {
                     WHEN share * 0.9375 <= 0.3125 THEN {_ROOT.format(t0=0, t1=0.5, w=0.5, slope=0.5, rest="share * 0.9375")}
                     ELSE {_ROOT.format(t0=0.5, t1=1, w=0.75, slope=2, rest="share * 0.9375 - 0.3125")} END::double AS position
         FROM u""",
+    "op12_conversation_trie": """
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+                          xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)),
+                              lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                  lambda u, v: xor(u >> 1, CASE WHEN u % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+                   FROM (SELECT DISTINCT conv_id FROM t)),
+             b AS (SELECT c.conv_id, t.nth AS d, r, x FROM c JOIN t ON t.conv_id = c.base AND t.nth <= c.h),
+             k AS (SELECT c.conv_id, h, (SELECT count(*) FROM t WHERE t.conv_id = c.base AND t.nth <= c.h) AS used FROM c),
+             rb AS (SELECT * FROM b UNION ALL SELECT k.conv_id, used + nth - h, r, x FROM k JOIN t ON t.conv_id = k.conv_id AND nth > h),
+             p AS (SELECT conv_id, d, length(x) AS len,
+                          md5(string_agg(length(r) || ':' || r || length(x) || ':' || x, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM rb
+                   UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+             q AS (SELECT *, lag(key) OVER w AS parent, max(d) OVER (PARTITION BY conv_id) AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+             n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(len) AS len, any_value(parent) AS parent,
+                          string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE last = d) AS ends FROM q GROUP BY d, key),
+             kids AS (SELECT d - 1 AS d, parent AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+             m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, key)),
+             s AS (SELECT p.d, p.key, sum((m.n_convs - 1) * m.len) AS saved, count(*) FILTER (WHERE m.n_children = 0) AS leaves
+                   FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY p.d, p.key)
+        SELECT m.conv_id, m.d::bigint AS depth, up.conv_id AS parent_conv_id, m.n_convs::bigint AS n_convs, m.n_children::bigint AS n_children,
+               s.leaves::bigint AS n_leaves, s.saved::bigint AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+        FROM m JOIN s USING (d, key) LEFT JOIN n AS up ON up.d = m.d - 1 AND up.key = m.parent""",
 }
