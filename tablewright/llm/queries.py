@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, conversation_trie, curriculum_mix, divergence_rules, entropy_secrets, exact_merge, group_packing, html_blocks, quality_classifier, simhash_tiles, url_logistic
+from . import arc_to_warc, conversation_trie, curriculum_mix, divergence_rules, entropy_secrets, exact_merge, group_packing, html_blocks, phrase_streams, quality_classifier, simhash_tiles, url_logistic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op12_conversation_trie(spark, sf_dir):
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_streams(spark, sf_dir):
+    return phrase_streams.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_arc_to_warc, op3_html_blocks, op4_exact_merge, op5_simhash_tiles, op6_divergence_rules,
-                                   op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix, op12_conversation_trie)}
+                                   op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix, op12_conversation_trie, op13_phrase_streams)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BIT = " + ".join(f"substr(bits, i * 5 + {k + 1}, 1)::int * {16 >> k}" for k in range(5))
@@ -128,4 +132,23 @@ ORACLES = {
         SELECT m.conv_id, m.d::bigint AS depth, up.conv_id AS parent_conv_id, m.n_convs::bigint AS n_convs, m.n_children::bigint AS n_children,
                s.leaves::bigint AS n_leaves, s.saved::bigint AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
         FROM m JOIN s USING (d, key) LEFT JOIN n AS up ON up.d = m.d - 1 AND up.key = m.parent""",
+    "op13_phrase_streams": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+             g AS (SELECT lang, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS phrase
+                   FROM w, (VALUES (1), (2), (3)) AS o(n) WHERE len(w) >= n),
+             f AS (SELECT lang, n, phrase, count(*)::hugeint AS c FROM g GROUP BY ALL),
+             t AS (SELECT lang, sum(c)::bigint AS total FROM f WHERE n = 1 GROUP BY lang),
+             c AS (SELECT lang, n, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND c >= 10),
+             h AS (SELECT lang, n, phrase, a, unnest(range(1, n)) AS k, w FROM c),
+             e AS (SELECT lang, n, phrase, a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : n], ' ') AS rp FROM h),
+             k AS (SELECT e.lang, e.n, e.phrase, a, l.c AS l, r.c AS r, (1000000 * a * a) // (l.c * r.c) AS score, k
+                   FROM e JOIN f AS l ON l.lang = e.lang AND l.phrase = lp JOIN f AS r ON r.lang = e.lang AND r.phrase = rp),
+             b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             o AS (SELECT lang, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase, a AS longer FROM c WHERE n = 3),
+             m AS (SELECT lang, phrase, max(longer) AS longer FROM o GROUP BY ALL),
+             s AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+                   FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase AND b.n = 2 WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT s.lang, rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, total AS n, score::bigint AS score
+        FROM s JOIN t ON t.lang = s.lang WHERE rank <= 2000""",
 }
