@@ -27,7 +27,7 @@ SCALE = 1_000_000
 COVER = 50
 NO_LANG = "und"
 #: Bytes of text counted at once in a task, and bits of the filter of frequent pairs.
-CHUNK, FILTER_BITS = 16 << 20, 25
+CHUNK, FILTER_BITS = 5 << 20, 25
 _BREAK, _BLANK = 2, 1
 #: Bytes that end a piece, and those that part words within one.
 _KIND = np.zeros(256, np.uint8)
@@ -112,6 +112,7 @@ def _counted(table: pa.Table, orders: list[int], seen: np.ndarray | None):
         h, hl = _hash(vocabulary), _hash(langs.dictionary.cast(pa.large_string()))
     # Number the phrases of each order by sorting; a phrase of n words is one of n - 1 and a word.
     at, number = np.arange(len(word)), lang_id * width + word
+    del lang, table, texts
     for n in range(1, max(orders) + 1):
         if n > 1:
             joined = _grams(word, piece, n)
