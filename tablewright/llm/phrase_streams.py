@@ -148,13 +148,18 @@ def _count(orders: list[int], shared=None):
                     yield batch.slice(i, 1 << 16)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            size += batch.nbytes
-            if size >= CHUNK:
-                yield from slices(_counted(pa.Table.from_batches(waiting), orders, seen))
-                waiting, size = [], 0
+            # Spark's batches have a number of rows, not of bytes: cut them where a chunk is full.
+            total = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < batch.num_rows:
+                before = total[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(total, before + CHUNK - size)))
+                waiting.append(batch.slice(begin, end - begin))
+                size += int(total[end - 1] - before)
+                begin = end
+                if size >= CHUNK or end < batch.num_rows:
+                    yield from slices(_counted(pa.Table.from_batches(waiting), orders, seen))
+                    waiting, size = [], 0
         if waiting:
             yield from slices(_counted(pa.Table.from_batches(waiting), orders, seen))
 
