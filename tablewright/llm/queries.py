@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, conversation_trie, curriculum_mix, divergence_rules, entropy_secrets, exact_merge, group_packing, html_blocks, phrase_streams, quality_classifier, simhash_tiles, url_logistic
+from . import arc_to_warc, conversation_trie, curriculum_mix, divergence_rules, entropy_secrets, exact_merge, group_packing, html_blocks, phrase_streams, quality_classifier, simhash_tiles, suffix_repeats, url_logistic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op10_curriculum_mix(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken", "position"))
 
 
+def op11_suffix_repeats(spark, sf_dir):
+    return (suffix_repeats.drop_repeats(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op12_conversation_trie(spark, sf_dir):
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -63,7 +68,7 @@ def op13_phrase_streams(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_arc_to_warc, op3_html_blocks, op4_exact_merge, op5_simhash_tiles, op6_divergence_rules,
-                                   op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix, op12_conversation_trie, op13_phrase_streams)}
+                                   op7_group_packing, op8_entropy_secrets, op9_url_logistic, op10_curriculum_mix, op11_suffix_repeats, op12_conversation_trie, op13_phrase_streams)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BIT = " + ".join(f"substr(bits, i * 5 + {k + 1}, 1)::int * {16 >> k}" for k in range(5))
@@ -108,6 +113,21 @@ ORACLES = {
                     WHEN share * 0.9375 <= 0.3125 THEN {_ROOT.format(t0=0, t1=0.5, w=0.5, slope=0.5, rest="share * 0.9375")}
                     ELSE {_ROOT.format(t0=0.5, t1=1, w=0.75, slope=2, rest="share * 0.9375 - 0.3125")} END::double AS position
         FROM u""",
+    "op11_suffix_repeats": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS x FROM documents),
+             p AS (SELECT r, o, x, unnest(range(0, length(x) // 2 - 49)) AS p FROM d),
+             w AS (SELECT r, o, p, substr(x, 2 * p + 1, 100) AS s FROM p),
+             f AS (SELECT s, min(o) AS first FROM w GROUP BY s HAVING min(o) < max(o)),
+             t AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM w JOIN f USING (s) WHERE first < o),
+             g AS (SELECT r, p, count(*) FILTER (WHERE gap IS NULL OR gap > 50) OVER (PARTITION BY r ORDER BY p) AS nth FROM t),
+             u AS (SELECT r, nth, min(p) AS s, max(p) + 50 AS e FROM g GROUP BY r, nth),
+             k AS (SELECT d.r, u.nth, substr(x, 2 * lag(e, 1, 0) OVER (PARTITION BY d.r ORDER BY u.nth) + 1,
+                                             2 * (s - lag(e, 1, 0) OVER (PARTITION BY d.r ORDER BY u.nth))) AS part FROM u JOIN d USING (r)),
+             a AS (SELECT r, string_agg(part, '' ORDER BY nth) AS kept FROM k GROUP BY r),
+             b AS (SELECT r, sum(e - s) AS removed, count(*) AS spans, max(e) AS last FROM u GROUP BY r)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(removed, 0)::bigint AS n_removed, coalesce(spans, 0)::bigint AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN a USING (r) LEFT JOIN b USING (r)""",
     "op12_conversation_trie": """
         WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM conversations WHERE conv_id IS NOT NULL),
