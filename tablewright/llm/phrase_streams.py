@@ -27,7 +27,7 @@ SCALE = 1_000_000
 COVER = 50
 NO_LANG = "und"
 #: Bytes of text counted at once in a task, and bits of the filter of frequent pairs.
-CHUNK, FILTER_BITS = 5 << 20, 25
+CHUNK, FILTER_BITS = 3 << 20, 25
 _BREAK, _BLANK = 2, 1
 #: Bytes that end a piece, and those that part words within one.
 _KIND = np.zeros(256, np.uint8)
@@ -50,11 +50,11 @@ def _tokens(texts: pa.Array, langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.
     at_text = at_text[at_text < len(data)]
     starts_here[at_text] |= inside[at_text]
     starts = np.flatnonzero(starts_here)
-    breaks = (kind == _BREAK).astype(np.int32)
+    breaks = (kind == _BREAK).astype(np.int8)
     breaks[at_text] += 1
-    piece = np.cumsum(breaks)[starts]
-    kept = np.concatenate([[0], np.cumsum(inside)])
-    token_offsets = np.append(kept[starts], kept[-1]).astype(np.int64)
+    piece = np.cumsum(breaks, dtype=np.int32)[starts]
+    kept = np.cumsum(inside, dtype=np.int32)
+    token_offsets = np.append(kept[starts] - 1, kept[-1:]).astype(np.int64) if len(starts) else np.zeros(1, np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(token_offsets), pa.py_buffer(data[inside]))
     coded = words.dictionary_encode()
     lang = langs.take(pa.array(np.searchsorted(ends, starts, "right")))
