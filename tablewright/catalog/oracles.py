@@ -357,6 +357,18 @@ ORACLES: dict[str, str] = {
                           "WHERE o_orderkey % 50 = 0) ORDER BY _row_id LIMIT 20"),
     "d4_near_pairs": near_pairs(NP, "p_name"),
     "d4_near_pairs_customers": near_pairs("customer", "c_name"),
+    # Every pair of texts that share a 5-word shingle, compared on whole sets; then the groups of the links of 0.8 or more.
+    "d4_near_texts": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+             g AS (SELECT a AS doc_id, min(b) AS group_id FROM r GROUP BY a)
+        SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_rows FROM g""",
     "d5_key_repeats": f"SELECT 'p_name' AS column_name, p_name AS value, count(*) AS n FROM {NP} t GROUP BY p_name HAVING count(*) > 1",
     "o2_zscore_outliers": outlier_rows(Z),
     "o3_iqr_outliers": outlier_rows(IQR),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
 from ..operators import (broken, categories, constants, duplicates, formats, missing,
-                         outliers, profile, repairs, similarity)
+                         outliers, profile, repairs, similarity, text_lsh)
 from ..operators.repairs import Action, apply_actions
 from ..operators.rows import ROW_ID, col, with_row_id
 from ..plans import cleaning, decisions, fitting, validation
@@ -242,6 +242,11 @@ def d4_near_pairs_customers(spark, sf):
     return similarity.near_pairs(table(spark, sf, "customer"))
 
 
+@query
+def d4_near_texts(spark, sf):
+    return text_lsh.near_text_groups(table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query
 def d5_key_repeats(spark, sf):
     return duplicates.key_repeats(view(spark, sf, "near_part"))

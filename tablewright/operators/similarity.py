@@ -20,6 +20,7 @@ from ..functions import token_sort_key
 from ..functions.lcs import lcs_lengths
 from ..session import cut_lineage, ship_with_tasks
 from .rows import ROW_ID, col, string_columns, with_dense_index
+from .text_lsh import near_text_groups
 
 ship_with_tasks(__name__)
 
@@ -419,6 +420,8 @@ def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, columns=None)
     columns = name_columns(df, config) if columns is None else list(columns)
     if not columns:
         return df
+    if config.near_duplicate_mode == "lsh":
+        return _flag_near_texts(df, columns, config)
     if config.near_duplicate_window is None:
         row = ROW_ID if ROW_ID in df.columns else "_idx"
         placed = df if row == ROW_ID else with_dense_index(df, "_idx", None)
@@ -441,3 +444,16 @@ def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, columns=None)
     return (placed.join(flags, "_idx", "left")
             .withColumn(config.near_duplicate_column, F.coalesce("flagged", F.lit(False)))
             .drop("_idx", "flagged"))
+
+
+def _flag_near_texts(df: DataFrame, columns, config: Config) -> DataFrame:
+    """Flags for long texts: a row is flagged if an earlier one is in its group of near copies (``text_lsh``)."""
+    row = ROW_ID if ROW_ID in df.columns else "_idx"
+    placed = df if row == ROW_ID else with_dense_index(df, "_idx", None)
+    flag = F.lit(False)
+    for i, c in enumerate(columns):
+        groups = near_text_groups(placed, row, c).where(F.col("group_id") < F.col(row)).select(row, F.lit(True).alias(f"_later{i}"))
+        placed = placed.join(groups, row, "left")
+        flag = flag | F.coalesce(F.col(f"_later{i}"), F.lit(False))
+    flagged = cut_lineage(placed.withColumn(config.near_duplicate_column, flag).drop(*[f"_later{i}" for i in range(len(columns))], "_idx"))
+    return flagged if flagged.filter(col(config.near_duplicate_column)).head(1) else flagged.drop(config.near_duplicate_column)
