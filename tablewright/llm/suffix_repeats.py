@@ -6,26 +6,26 @@ interval's suffixes.  Every group comes with all of its occurrences, so it is kn
 
 One suffix array of a whole corpus is cut up by content.  Every string of ``window`` bytes names an anchor in it, the place
 of its smallest hash of a short gram, so equal strings name the same anchor at the same offset; the strings in a row that
-name one anchor form a stretch of about 65 bytes.  Equal stretches are one row with the smallest and largest document.
-All stretches of one gram are a bucket with a suffix array of its own.
+name one anchor form a stretch of about 65 bytes.  All stretches of one gram are a bucket with a suffix array of its own; where a bucket
+holds one stretch only, that is the repeat.
 
-Buckets are range-sorted by gram and what follows it, so that one that half of the corpus shares is dealt to many
-tasks.  A string that may go on in the neighbouring task, because the bucket is cut within its right part, is settled by
-an aggregation over the few strings at such cuts; all others are settled where they lie.
+Buckets are range-sorted by gram, what follows it and what stands before it, so that one that half of the corpus shares is
+dealt to many tasks.  A string that may go on in the neighbouring task, because the bucket is cut within its right part, is
+settled by an aggregation over the few strings at such cuts; all others are settled where they lie.
 
-Three fixed-size filters of hash bits keep out grams that occur once, stretches and documents that hold no repeat.  A full
-filter lets everything pass, which changes the cost and never the result.
+Of equal texts only the first is searched; the others go as a whole.  Two fixed-size filters of hash bits keep out texts
+without a copy and grams that occur in one document.  A full filter lets everything pass, which changes the cost and never the result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import col, ship_with_tasks, write_table
 
@@ -58,7 +58,7 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 def anchors(pieces: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """(gram hash, anchor, start, end, piece) of each stretch, positions in the joined pieces."""
-    gram = max(1, window * 2 // 5)
+    gram = _gram(window)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(lengths)
@@ -84,13 +84,18 @@ def anchors(pieces: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return hashes[anchor[new]], anchor[new], start, last + window, np.searchsorted(ends, start, "right")
 
 
-def _chunks(batches, window: int):
+def _gram(window: int) -> int:
+    return max(1, window * 2 // 5)
+
+
+def _chunks(batches, window: int, skip=None):
     """(texts joined by piece, row of each piece, its place in the row's text, batch): texts longer than a chunk are cut, and
-    pieces overlap so that no string of ``window`` bytes is lost."""
+    pieces overlap so that no string of ``window`` bytes is lost.  ``skip`` is a filter of texts to leave out."""
     for batch in batches:
         pieces, rows, places, size = [], [], [], 0
-        for i, text in enumerate(batch.column(batch.num_columns - 1)):
-            raw = memoryview(text.as_buffer()) if text.is_valid else b""
+        out = _passes(skip.value, batch.column(1).to_numpy().view(np.uint64)) if skip is not None else np.zeros(batch.num_rows, bool)
+        for i, text in enumerate(batch.column(2)):
+            raw = memoryview(text.as_buffer()) if text.is_valid and not out[i] else b""
             for at in range(0, max(0, len(raw) - window + 1), CHUNK):
                 piece = bytes(raw[at:at + CHUNK + window - 1])
                 pieces.append(piece), rows.append(i), places.append(at)
@@ -102,11 +107,6 @@ def _chunks(batches, window: int):
             yield pieces, np.array(rows), np.array(places), batch
 
 
-def _stretch_key(left: bytes, right: bytes) -> int:
-    """Signed 64-bit hash of a stretch, beside the gram's own."""
-    return xxhash.xxh64_intdigest(left + b"|" + right, seed=len(left)) - (1 << 63)
-
-
 def _filter(bits: DataFrame) -> np.ndarray:
     """A filter of 2^FILTER_BITS bits, 8 MB whatever the number of rows, with the bits in column ``bit`` set."""
     number = F.col("bit") + 1
@@ -128,25 +128,58 @@ def _passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (known[bit >> 3] >> (bit & 7) & 1).astype(bool)
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    x = hashes * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
-
-
-def repeated_grams(texts: DataFrame, window: int) -> np.ndarray:
-    """The filter of the anchors' grams that occur twice or more.  32 bits of each are sent, dealt by the bits above."""
-    spark = texts.sparkSession
-    parts_log = min(22, max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
-
-    def deal(batches):
-        for pieces, _, _, _ in _chunks(batches, window):
-            hashes, n = np.unique(anchors(pieces, window)[0] >> np.uint64(32 - parts_log), return_counts=True)
-            part, rest = hashes >> np.uint64(32), hashes.astype(np.uint32)
-            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
-            # Two of a kind are enough to know that it repeats.
-            blocks = [np.repeat(r, c).tobytes() for r, c in zip(np.split(rest, cuts[1:]), np.split(np.minimum(n, 2), cuts[1:]))]
-            if len(cuts):
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "block"])
+class Texts:
+    """What is searched: texts without a copy where they lie, and the first of each group of equal ones as a table."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str):
+        spark = df.sparkSession
+        text = col(text_col).cast("string")
+        self.all = df.select(F.coalesce(col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
+        # A second hash beside the first: a group is a group of equal texts.
+        narrow = self.all.select("doc", "hash", F.xxhash64(F.lit(1), "text").alias("more"), F.octet_length("text").cast("bigint").alias("n"))
+        groups = write_table(narrow.groupBy("hash", "more").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+        self.copies = (narrow.join(groups, ["hash", "more"]).where("doc > first")
+                       .select("doc", "hash", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end")))
+        self.skip = spark.sparkContext.broadcast(_filter(groups.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit"))))
+        skip = self.skip
+
+        def repeated(batches):
+            for batch in batches:
+                kept = batch.filter(pa.array(_passes(skip.value, batch.column(1).to_numpy().view(np.uint64))))
+                for i in range(0, kept.num_rows, 256):
+                    yield kept.slice(i, 256)
+
+        own = self.all.mapInArrow(repeated, "doc bigint, hash bigint, text string").withColumn("more", F.xxhash64(F.lit(1), "text"))
+        # Texts that pass a filled filter though they have no copy are in no group: they come back as they are.
+        joined = own.join(groups.select("hash", "more", "first"), ["hash", "more"], "left").where("first is null or first = doc")
+        self.firsts = write_table(joined.dropDuplicates(["doc", "hash", "more"]).select("doc", "hash", "text"))
+
+    def scan(self, task, schema: str) -> DataFrame:
+        """``task(skip)`` over all texts that are searched."""
+        return self.all.mapInArrow(task(self.skip), schema).unionAll(self.firsts.mapInArrow(task(None), schema))
+
+
+def repeated_grams(texts: Texts, window: int) -> np.ndarray:
+    """The filter of the anchors' grams that occur in two documents or more.  32 bits of each are sent, dealt by the bits above."""
+    spark = texts.all.sparkSession
+    parts_log = min(11, max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    low = np.uint64(20)
+
+    def deal(skip):
+        def run(batches):
+            for pieces, _, _, _ in _chunks(batches, window, skip):
+                gram, _, _, _, piece = anchors(pieces, window)
+                # Once for each piece: 20 bits for its number are left below the hash.
+                once = np.unique(gram >> np.uint64(32 - parts_log) << low | piece.astype(np.uint64) & np.uint64((1 << 20) - 1)) if len(gram) else gram
+                hashes, n = np.unique(once >> low, return_counts=True)
+                part, rest = hashes >> np.uint64(32), hashes.astype(np.uint32)
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+                # Two of a kind are enough to know that it repeats.
+                blocks = [np.repeat(r, c).tobytes() for r, c in zip(np.split(rest, cuts[1:]), np.split(np.minimum(n, 2), cuts[1:]))]
+                if len(cuts):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "block"])
+
+        return run
 
     def count(batches):
         part, blocks = None, []
@@ -166,32 +199,41 @@ def repeated_grams(texts: DataFrame, window: int) -> np.ndarray:
         if blocks:
             yield done()
 
-    dealt = texts.mapInArrow(deal, "part int, block binary").repartition("part").sortWithinPartitions("part")
+    dealt = texts.scan(deal, "part int, block binary").repartition("part").sortWithinPartitions("part")
     return _filter(dealt.mapInArrow(count, "bit bigint"))
 
 
-def stretches(texts: DataFrame, window: int, known) -> DataFrame:
-    """(gram, right, left, low, high): stretches around repeated grams, with the smallest and largest document of a chunk."""
-    def run(batches):
-        for pieces, rows, _, batch in _chunks(batches, window):
-            gram, anchor, start, end, piece = anchors(pieces, window)
-            at = np.flatnonzero(_passes(known.value, gram))
-            data, ids = b"".join(pieces), batch.column(0).to_numpy()[rows]
-            found: dict = {}
-            for g, a, s, e, d in zip(gram[at].view(np.int64).tolist(), anchor[at].tolist(), start[at].tolist(), end[at].tolist(), ids[piece[at]].tolist()):
-                own = found.setdefault((g, data[a:e], data[s:a]), [d, d])
-                if d < own[0]:
-                    own[0] = d
-                elif d > own[1]:
-                    own[1] = d
-            if found:
-                keys, ends = list(zip(*found)), list(zip(*found.values()))
-                made = pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1], pa.binary()), pa.array(keys[2], pa.binary()), pa.array(ends[0]), pa.array(ends[1])],
-                                                  ["gram", "right", "left", "low", "high"])
-                for i in range(0, made.num_rows, 1 << 15):
-                    yield made.slice(i, 1 << 15)
-
-    return texts.mapInArrow(run, "gram bigint, right binary, left binary, low bigint, high bigint")
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    lengths = end - begin
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    index = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[index])])
+
+
+STRETCH = "gram bigint, right binary, left binary, doc bigint, hash bigint, anchor bigint"
+
+
+def stretches(texts: Texts, window: int, known) -> DataFrame:
+    """(gram, right, left, doc, hash, anchor): what stands behind and before each anchor whose gram may repeat."""
+    size = _gram(window)
+
+    def task(skip):
+        def run(batches):
+            for pieces, rows, places, batch in _chunks(batches, window, skip):
+                gram, anchor, start, end, piece = anchors(pieces, window)
+                at = np.flatnonzero(_passes(known.value, gram))
+                data = np.frombuffer(b"".join(pieces), np.uint8)
+                lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                place = anchor - (np.cumsum(lengths) - lengths)[piece] + places[piece]
+                for part in np.split(at, range(1 << 15, len(at), 1 << 15)):
+                    row = pa.array(rows[piece[part]])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gram[part].view(np.int64)), _slices(data, anchor[part] + size, end[part]), _slices(data, start[part], anchor[part]),
+                         batch.column(0).take(row), batch.column(1).take(row), pa.array(place[part])], ["gram", "right", "left", "doc", "hash", "anchor"])
+
+        return run
+
+    return texts.scan(task, STRETCH)
 
 
 def _common(a: bytes, b: bytes, least: int = 0) -> int:
@@ -225,115 +267,126 @@ def maximal_repeats(strings: list[bytes], window: int):
             stack.append((length, begin))
 
 
-def _settle(bucket: list, window: int, first: bytes | None, last: bytes | None):
-    """What each string in a bucket's stretches has as its smallest document.
+def least_documents(kinds: list[tuple[bytes, bytes, int]], window: int) -> list[list[int]]:
+    """For each (right, left, smallest document) of a bucket the smallest document of each of its strings, from the left."""
+    # Bytes that no text holds stand for the gram, so that strings are alike only at the same offset.
+    size = _gram(window)
+    least = [[low] * (len(left) + size + len(right) - window + 1) for right, left, low in kinds]
+    for length, members in maximal_repeats([left + b"\xff" * size + right for right, left, _ in kinds], window) if len(kinds) > 1 else ():
+        low = min(kinds[i][2] for i, _ in members)
+        for i, p in members:
+            own = least[i]
+            for q in range(p, p + length - window + 1):
+                if low < own[q]:
+                    own[q] = low
+    return least
 
-    ``bucket`` holds (right, left, low, high); ``first`` and ``last`` are the right parts at cuts of the table, if the bucket lies
-    at one.  Yields (stretch, start, end, smallest) for runs of strings and (stretch, start, None, smallest) for open ones.
-    """
-    least = [[low] * (len(left) + len(right) - window + 1) for right, left, low, _ in bucket]
-    if len(bucket) > 1:
-        for length, members in maximal_repeats([left + right for right, left, _, _ in bucket], window):
-            low = min(bucket[i][2] for i, _ in members)
-            for i, p in members:
-                own = least[i]
-                for q in range(p, p + length - window + 1):
-                    if low < own[q]:
-                        own[q] = low
-    for i, (right, left, _, high) in enumerate(bucket):
-        shared = max((_common(right, edge) for edge in (first, last) if edge is not None), default=-1)
-        # The string at q has window - (len(left) - q) bytes of the right part.
-        begin = 0
-        for q, low in enumerate(least[i]):
-            if shared >= 0 and window - len(left) + q <= shared:
-                yield i, q, None, low
-                begin = q + 1
-            elif q + 1 == len(least[i]) or least[i][q + 1] != low:
-                if low < high:
-                    yield i, begin, q + window, low
-                begin = q + 1
 
+class _Found:
+    """Rows that a task returns: spans (0), strings at a cut (1), and places of stretches that have such (2)."""
 
-def _scan(window: int):
-    """Repeats in sorted (gram, right, left, low, high) rows, the buckets at both ends of the task as open ones."""
-    names = ["gram", "stretch", "start", "end", "low", "high", "string"]
+    SCHEMA = "kind int, doc bigint, hash bigint, start bigint, end bigint, gram bigint, stretch bigint, string binary"
+    TYPES = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
 
-    def entries(bucket, gram, first, last):
-        for i, start, end, low in _settle(bucket, window, first, last):
-            right, left, _, high = bucket[i]
-            key = (left + right)[start:start + window] if end is None else None
-            yield gram, _stretch_key(left, right), start - len(left), (start + window if end is None else end) - len(left), low, high, key
+    def __init__(self):
+        self.rows: list[tuple] = []
 
-    def run(batches):
-        rows = (r for b in batches for r in zip(*[b.column(k).to_pylist() for k in range(5)]))
-        waiting, made, first = None, [], None
-
-        def batch():
-            columns = list(zip(*made))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-        for gram, found in groupby(rows, key=lambda r: r[0]):
-            bucket = [r[1:] for r in found]
-            if waiting is not None:
-                made.extend(entries(*waiting, first, None))
-                first = None
-            else:
-                first = bucket[0][0]
-            waiting = (bucket, gram)
-            if len(made) >= 1 << 14:
-                yield batch()
-                made = []
-        if waiting is not None:
-            made.extend(entries(*waiting, first, waiting[0][-1][0]))
-        if made:
-            yield batch()
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), self.TYPES)], [c.split()[0] for c in self.SCHEMA.split(", ")])
 
-    return run
 
+def _spans(doc, hash_, start, end) -> pa.RecordBatch:
+    n = len(doc)
+    columns = [pa.array(np.zeros(n, np.int32)), doc, hash_, pa.array(start), pa.array(end), *[pa.nulls(n, t) for t in _Found.TYPES[5:]]]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _Found.SCHEMA.split(", ")])
 
-def repeats(texts: DataFrame, window: int) -> DataFrame:
-    """(gram, stretch, start, end, low) of the repeats within each stretch that some document has before another; places count from the anchor."""
-    sc = texts.sparkSession.sparkContext
-    known = sc.broadcast(repeated_grams(texts, window))
-    order = ["gram", "right", "left"]
-    rows = stretches(texts, window, known).repartitionByRange(*order)
-    # The range partitioning already brings equal stretches together.
-    once = rows.groupBy(*order).agg(F.min("low").alias("low"), F.max("high").alias("high")).sortWithinPartitions(*order)
-    found = write_table(once.mapInArrow(_scan(window), "gram bigint, stretch bigint, start int, end int, low bigint, high bigint, string binary"))
-    open_rows = found.where("string is not null")
-    least = open_rows.groupBy("gram", "string").agg(F.min("low").alias("least"))
-    settled = open_rows.join(least, ["gram", "string"]).where("least < high").select("gram", "stretch", "start", "end", F.col("least").alias("low"))
-    return found.where("string is null").select("gram", "stretch", "start", "end", "low").unionAll(settled)
 
+def _scan(window: int):
+    """Spans of repeats in rows sorted by (gram, right, left, doc); the buckets at both ends of a task may go on next door."""
+    size = _gram(window)
+
+    def bucket(table: pa.Table, first: bytes | None, last: bytes | None, out: _Found) -> None:
+        gram = table["gram"][0].as_py()
+        kinds, members = [], []
+        for right, left, *place in zip(*[table[c].to_pylist() for c in ("right", "left", "doc", "hash", "anchor")]):
+            if not kinds or kinds[-1][:2] != (right, left):
+                kinds.append((right, left, place[0]))
+                members.append([])
+            members[-1].append(place)
+        for (right, left, _), own, least in zip(kinds, members, least_documents(kinds, window)):
+            shared = max((_common(right, edge) for edge in (first, last) if edge is not None), default=-1)
+            # The string at q has window - size - (len(left) - q) bytes of the right part: open ones come first.
+            cut = max(0, min(len(least), shared - window + size + len(left) + 1)) if shared >= 0 else 0
+            if cut:
+                key = xxhash.xxh64_intdigest(left + b"|" + right, seed=len(left)) - (1 << 63)
+                whole = left + b"\xff" * size + right
+                out.rows.extend((1, least[q], None, q - len(left), q - len(left) + window, gram, key, whole[q:q + window]) for q in range(cut))
+                out.rows.extend((2, doc, hash_, anchor, None, gram, key, None) for doc, hash_, anchor in own)
+            high, ranges = own[-1][0], {}
+            for q in range(cut, len(least)):
+                if least[q] < high:
+                    ranges[least[q]] = (ranges.get(least[q], (q,))[0], q + window)
+            # Strings of one stretch overlap, so those of one document and all between them are one span.
+            for low, (begin, end) in ranges.items():
+                out.rows.extend((0, doc, hash_, anchor + begin - len(left), anchor + end - len(left), None, None, None) for doc, hash_, anchor in own if doc > low)
 
-def _occurrences(texts: DataFrame, window: int, grams, known) -> DataFrame:
-    """(gram, stretch, doc, hash, anchor) wherever a document may hold one of the known stretches."""
     def run(batches):
-        for pieces, rows, places, batch in _chunks(batches, window):
-            gram, anchor, start, end, piece = anchors(pieces, window)
-            at = np.flatnonzero(_passes(grams.value, gram))
-            data = b"".join(pieces)
-            keys = np.fromiter((_stretch_key(data[s:a], data[a:e]) for s, a, e in zip(start[at].tolist(), anchor[at].tolist(), end[at].tolist())), np.int64, len(at))
-            kept = _passes(known.value, _mixed(keys.view(np.uint64)))
-            at, keys = at[kept], keys[kept]
-            if not len(at):
-                continue
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            own = piece[at]
-            place = anchor[at] - (np.cumsum(lengths) - lengths)[own] + places[own]
-            row = rows[own]
-            made = pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(keys), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
-                                               pa.array(place)], ["gram", "stretch", "doc", "hash", "anchor"])
-            for i in range(0, made.num_rows, 1 << 16):
-                yield made.slice(i, 1 << 16)
-
-    return texts.mapInArrow(run, "gram bigint, stretch bigint, doc bigint, hash bigint, anchor bigint")
-
-
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = col(text_col).cast("string")
-    return df.select(F.coalesce(col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
+        out, carry, first = _Found(), None, True
+
+        def settle(table: pa.Table, done: bool):
+            """The buckets of a table, but for the last one unless no more rows come."""
+            nonlocal carry, first
+            grams = table["gram"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(grams)]])
+            carry = None if done else table.slice(edges[-2])
+            begin = 0 if done or len(edges) > 2 else None
+            if begin is None:
+                return
+            low, high = list(edges[:-1]), list(edges[1:])
+            if not done:
+                low, high = low[:-1], high[:-1]
+            if first:
+                last = table["right"][int(high[0]) - 1].as_py() if done and len(low) == 1 else None
+                bucket(table.slice(low[0], high[0] - low[0]), table["right"][0].as_py(), last, out)
+                first, low, high = False, low[1:], high[1:]
+            if done and low:
+                bucket(table.slice(low[-1], high[-1] - low[-1]), None, table["right"][len(table) - 1].as_py(), out)
+                low, high = low[:-1], high[:-1]
+            if not low:
+                return
+            # Buckets of one document have nothing; those of one stretch are settled side by side.
+            inner = table.slice(low[0], high[-1] - low[0]).combine_chunks()
+            doc = inner["doc"].to_numpy()
+            low, high = np.array(low) - low[0], np.array(high) - low[0]
+            same = np.append(True, np.logical_and(*[pc.equal(inner[c].slice(1), inner[c].slice(0, len(inner) - 1)).to_numpy() for c in ("right", "left")]))
+            same[low] = True
+            alike = np.logical_and.reduceat(same, low)
+            several = np.minimum.reduceat(doc, low) < np.maximum.reduceat(doc, low)
+            whole = np.flatnonzero(alike & several)
+            if len(whole):
+                lows = np.repeat(doc[low[whole]], (high - low)[whole])
+                rows = np.repeat(low[whole] - np.concatenate([[0], np.cumsum((high - low)[whole])[:-1]]), (high - low)[whole]) + np.arange(len(lows))
+                rows = rows[doc[rows] > lows]
+                picked = inner.take(pa.array(rows))
+                left, right = (pc.binary_length(picked[c]).to_numpy().astype(np.int64) for c in ("left", "right"))
+                anchor = picked["anchor"].to_numpy()
+                yield _spans(picked["doc"].combine_chunks(), picked["hash"].combine_chunks(), anchor - left, anchor + size + right)
+            for i in np.flatnonzero(~alike & several):
+                bucket(inner.slice(low[i], high[i] - low[i]), None, None, out)
+                if len(out.rows) >= 1 << 15:
+                    yield out.batch()
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                yield from settle(table if carry is None else pa.concat_tables([carry, table]), False)
+        if carry is not None:
+            yield from settle(carry, True)
+        if out.rows:
+            yield out.batch()
+
+    return run
 
 
 def earlier_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -341,25 +394,19 @@ def earlier_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``hash`` tells apart the texts under one id.  Spans may overlap.
     """
-    spark: SparkSession = df.sparkSession
-    texts = _texts(df, id_col, text_col)
-    found = write_table(repeats(texts, window))
-    signed = F.col("stretch")
-
-    def bits(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(_mixed(batch.column(0).to_numpy().view(np.uint64)))))], ["bit"])
-
-    known = spark.sparkContext.broadcast(_filter(found.select(signed).mapInArrow(bits, "bit bigint")))
-
-    def gram_bits(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(batch.column(0).to_numpy().view(np.uint64))))], ["bit"])
-
-    grams = spark.sparkContext.broadcast(_filter(found.select("gram").mapInArrow(gram_bits, "bit bigint")))
-    places = _occurrences(texts, window, grams, known)
-    return (places.join(found, ["gram", "stretch"]).where(F.col("low") < F.col("doc"))
-            .select("doc", "hash", (F.col("anchor") + F.col("start")).cast("int").alias("start"), (F.col("anchor") + F.col("end")).cast("int").alias("end")))
+    texts = Texts(df, id_col, text_col)
+    known = df.sparkSession.sparkContext.broadcast(repeated_grams(texts, window))
+    order = ["gram", "right", "left", "doc"]
+    rows = stretches(texts, window, known).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = write_table(rows.mapInArrow(_scan(window), _Found.SCHEMA))
+    place = ["doc", "hash", "start", "end"]
+    # At a cut: the smallest document of each string, then one span for each stretch and document.
+    strings = found.where("kind = 1").select("gram", "stretch", "start", "end", "string", F.col("doc").alias("low"))
+    least = strings.groupBy("gram", "string").agg(F.min("low").alias("least"))
+    ranges = strings.join(least, ["gram", "string"]).groupBy("gram", "stretch", "least").agg(F.min("start").alias("begin"), F.max("end").alias("stop"))
+    cut = (found.where("kind = 2").select("gram", "stretch", "doc", "hash", F.col("start").alias("anchor")).join(ranges, ["gram", "stretch"]).where("least < doc")
+           .select("doc", "hash", (F.col("anchor") + F.col("begin")).alias("start"), (F.col("anchor") + F.col("stop")).alias("end")))
+    return found.where("kind = 0").select(*place).unionAll(cut).unionAll(texts.copies.where(F.col("end") >= window))
 
 
 def _cut_out(batches):
@@ -404,6 +451,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
     own = df.select(F.coalesce(col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(col(text_col).cast("string")).alias("hash"),
                     col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
+    # Every text crosses the network once, to meet its spans.
     both = own.join(listed, ["doc", "hash"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>")
 
