@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, col, text_of, word_count, write_table
+from .common import col, text_of, word_count, write_table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -130,8 +130,9 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
     """The mix itself: a row with the columns of ``df`` for each time a document is taken, range-sorted by position.
 
-    The one document of a source in which the last pass ends is cut to the words taken; all other copies are whole.
-    Nulls, repeats and empty tables as in :func:`mix`; a column of ``df`` keeps its values whatever its name.
+    Documents are taken whole: the one of a source in which the last pass ends is taken once more, so a source exceeds its
+    target by less than one document.  Nulls, repeats and empty tables as in :func:`mix`; a column of ``df`` keeps its
+    values whatever its name.
     """
     keys = ("doc_id", "source", "size")
     plan = mix(df, id_col, text_col, source_col, weights, max_repeats, schedules)
@@ -153,17 +154,6 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     start = F.col("start") + F.col("_nth") * F.col("size") + F.col("_copy") * F.col("source_size")
     share = start / F.greatest(F.round("target").cast("bigint"), F.lit(1))
     rows = rows.withColumn("_position", time_of_demand(share, F.col("place"), schedules))
-    is_cut = (F.col("_copy") == F.col("full_copies")) & (F.col("_part") < F.col("size"))
-    words = F.regexp_extract_all(text_of(F.col("_row")[text_col]), F.lit(WORD_PATTERN), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), " ")
-    out = []
-    for c in df.columns:
-        value = F.col("_row")[c]
-        if c == text_col:
-            value = F.when(is_cut, cut).otherwise(value)
-        elif c == "n_chars" and "n_chars" not in (id_col, source_col):
-            value = F.when(is_cut, F.length(cut).cast(df.schema[c].dataType)).otherwise(value)
-        out.append(value.alias(c))
     # What the sort carries is a row and its place, the text once.
-    ready = rows.select(F.struct(*out).alias("_row"), "_position", F.col("doc_id").alias("_id"))
+    ready = rows.select("_row", "_position", F.col("doc_id").alias("_id"))
     return ready.orderBy("_position", "_id").select("_row.*")

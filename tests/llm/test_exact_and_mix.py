@@ -144,15 +144,16 @@ def test_positions_follow_the_schedule(spark):
         assert integral(t) / integral(1.0) == pytest.approx(u, abs=1e-9)
 
 
-def test_mixed_documents_hold_the_taken_words(spark):
-    rows = [(i, " ".join(f"w{k}" for k in range(5 + i % 9)), f"s{i % 4}", str(i)) for i in range(200)] + [(7, "twin words here", "s0", "t")] * 3
+def test_mixed_documents_are_whole(spark):
+    rows = [(i, "\n".join(f"w{k}" for k in range(5 + i % 9)), f"s{i % 4}", str(i)) for i in range(200)] + [(7, "twin words here", "s0", "t")] * 3
     df = spark.createDataFrame(rows, SCHEMA)
-    plan = curriculum_mix.mix(df)
-    want = {(r.doc_id, r.source, r.size): r.taken for r in plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken")).collect() if r.taken}
+    plan = curriculum_mix.mix(df).withColumn("times", F.col("full_copies") + (F.col("part_words") > 0).cast("int"))
+    want = {(r.doc_id, r.source, r.size): r.times for r in plan.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times")).collect() if r.times}
     mixed = curriculum_mix.mixed_documents(df)
     assert mixed.columns == df.columns
-    have = Counter()
-    full = {(r[0], r[2], r[3]): len(words(r[1])) for r in rows}
+    have, texts = Counter(), {(r[0], r[1], r[2], r[3]) for r in rows}
     for r in mixed.collect():
-        have[(r.doc_id, r.source, full[(r.doc_id, r.source, r["size"])])] += len(words(r.text))
+        assert tuple(r) in texts
+        have[(r.doc_id, r.source, len(words(r.text)))] += 1
     assert dict(have) == want
+    assert max(have.values()) <= 3 * 3

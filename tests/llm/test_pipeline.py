@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as p
-from tablewright.llm import exact_merge, quality_classifier, simhash_tiles
+from tablewright.llm import curriculum_mix, exact_merge, quality_classifier
 from tablewright.llm.common import write_table
+from test_overlap import brute_kept
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -23,10 +24,12 @@ def test_stages(spark):
     predicted = quality_classifier.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1")
     assert {r.doc_id for r in good} == {r.doc_id for r in predicted.collect()}
     assert Counter(r.doc_id for r in once) == Counter(r.doc_id for r in exact_merge.exact_groups(tables[1]).where("kept").collect())
-    groups = simhash_tiles.near_groups(tables[2]).collect()
-    assert sorted(r.doc_id for r in far) == sorted({r.component_id for r in groups})
-    whole = {r.doc_id: r.text for r in far}
-    assert mixed and all(whole[r.doc_id] == r.text or whole[r.doc_id].split()[:len(r.text.split())] == r.text.split() for r in mixed)
+    # One document of each group that links of brute-force similarity connect.
+    assert sorted(r.doc_id for r in far) == brute_kept([(r.doc_id, r.text) for r in once])
+    whole = {r.doc_id: r for r in far}
+    assert mixed and all(whole[r.doc_id] == r for r in mixed)
+    taken = {r.doc_id: r.full_copies + (r.part_words > 0) for r in curriculum_mix.mix(tables[3]).collect() if r.size}
+    assert Counter(r.doc_id for r in mixed) == Counter({d: n for d, n in taken.items() if n})
     packed = p.STAGES[-1][1](spark, tables[-1], SF).collect()
     assert sum(r.piece == 0 for r in packed) == len(mixed)
     assert len(p.run(spark, SF).collect()) == len(packed)
