@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..config import EMAIL_PATTERN, PHONE_PATTERN, PLACEHOLDERS
+from ..sources.files import NA_TOKENS
 from .views import view_sql
 
 DC, DO, SE, NP = (view_sql(v) for v in ("dirty_customer", "dirty_orders", "sparse_events", "near_part"))
@@ -29,6 +30,10 @@ def money(c: str) -> str:
     return f"TRY_CAST(nullif(regexp_replace({c}, '[^0-9.\\-]+', '', 'g'), '') AS DOUBLE)"
 
 
+def null_token(c: str) -> str:
+    return f"CASE WHEN {c} NOT IN ({', '.join(repr(t) for t in NA_TOKENS)}) THEN {c} END AS {c}"
+
+
 def null_out(c: str) -> str:
     return f"CASE WHEN {c} = '' OR lower({strip(c)}) IN {TOKENS} THEN NULL ELSE {c} END"
 
@@ -307,7 +312,10 @@ IMPUTED = (f"SELECT event_id, event_type, {imputed('value', 'mean')}, {imputed('
 ORACLES: dict[str, str] = {
     "s1_s2_csv_round_trip": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "s3_csv_na_tokens": f"SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal, contact_email, contact_phone, cust_age, CASE WHEN c_mktsegment IN ('', 'N/A') THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM {DC} t",
-    "s4_json_round_trip": "SELECT event_id, event_type, value, ts AS created_at FROM events",
+    "s2_csv_quoted_breaks": f"SELECT doc_id, {null_token('text')}, {null_token('lang')}, {null_token('source')}, n_chars FROM documents",
+    "s4_json_round_trip": "SELECT event_id, ts AS created_at, user_id, event_type, value, props FROM events",
+    "s4_json_array": "SELECT event_id, ts AS created_at, user_id, event_type, value, props FROM events",
+    "s4_json_columns": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "s5_delimited_text": "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part",
     "s8_union_files": ("SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_totalprice, NULL::VARCHAR AS o_orderstatus FROM orders "
                        "UNION ALL SELECT o_orderkey, o_custkey::VARCHAR, NULL, o_orderstatus FROM orders"),

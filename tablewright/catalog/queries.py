@@ -57,20 +57,37 @@ def s3_csv_na_tokens(spark, sf):
 @query
 def s4_json_round_trip(spark, sf):
     path = scratch(spark, "json")
-    (table(spark, sf, "events").select("event_id", "event_type", "value", F.col("ts").cast("string").alias("created_at"))
-     .write.json(path))
+    table(spark, sf, "events").withColumn("ts", F.col("ts").cast("string")).withColumnRenamed("ts", "created_at").write.json(path)
+    return files.combine(files.load_directory(spark, path, ["json"]).frames())
+
+
+@query
+def s2_csv_quoted_breaks(spark, sf):
+    path = scratch(spark, "quoted")
+    (table(spark, sf, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return files.combine(files.load_directory(spark, path, ["csv"]).frames())
+
+
+@query
+def s4_json_array(spark, sf):
+    path = scratch(spark, "array")
+    sinks.write_json_array(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("string")).withColumnRenamed("ts", "created_at"), path)
+    return files.combine(files.load_directory(spark, path, ["json"]).frames())
+
+
+@query
+def s4_json_columns(spark, sf):
+    path = scratch(spark, "columns")
+    sinks.write_json_columns(table(spark, sf, "customer"), path)
     return files.combine(files.load_directory(spark, path, ["json"]).frames())
 
 
 @query
 def s5_delimited_text(spark, sf):
     path = scratch(spark, "txt")
-    (table(spark, sf, "part").write.option("header", True).option("sep", ";").csv(path))
-    paths = [p for p, _ in files.list_files(spark, path, "csv")]
-    record = files.read_start(spark, paths[0])
-    separator = files.sniff_separator(record)
-    rows, _ = files.read_delimited(spark, paths, files.header_names(record, separator), separator)
-    return files.infer_types(rows)
+    sinks.write_delimited_text(table(spark, sf, "part"), path, ";")
+    return files.combine(files.load_directory(spark, path, ["txt"]).frames())
 
 
 @query

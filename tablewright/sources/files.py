@@ -1,7 +1,8 @@
 """Load messy files of several layouts into typed or text tables.
 
 Only file names, sizes and the first record of each file are looked at on the
-driver; the data is read by Spark, one scan per distinct header.
+driver; the data is read by Spark, one scan per distinct header, and every
+file splits into tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import as_text, parse_date, parse_number, strip
 from ..operators.rows import ROW_ID, aggregate_row, col, field_types
+from ..session import write_table
+from . import splits
 
 # Tokens that a CSV reader turns into missing values at load.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -28,6 +31,8 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 CORRUPT = "_corrupt_record"
 WHOLE = r"^[+-]?\d+$"
 READ_STEP = 64 * 1024
+#: Most bytes of a file that its layout is judged by, but for a first line longer than that.
+READ_LIMIT = 1024 * 1024
 FILE_TYPES = ("csv", "json", "txt")
 
 
@@ -84,24 +89,36 @@ def starts(spark: SparkSession, path: str, step: int = READ_STEP) -> Iterator[tu
         stream.close()
 
 
-def first_line(text: str, ended: bool = True) -> str | None:
+def first_line(text: str, ended: bool = True, separator: str | None = None) -> str | None:
     """The first record of delimited text that isn't blank, with quoted line
     breaks; None if it may go on beyond the text.
+
+    A quote opens a value only at its beginning, behind any separator unless
+    one is given.  One that isn't closed within ``READ_LIMIT`` is no quote.
     """
     at = len(text) - len(text.lstrip("\r\n"))
-    for m in re.finditer(r"\r?\n", text[at:]):
-        record = text[at:at + m.start()]
-        if record.count('"') % 2 == 0 and record.strip():
-            return record
-    if not ended:
+    if not text[at:]:
+        return "" if ended else None
+    lines, taken = text[at:].split("\n"), []
+    scans = [splits.csv_scan(s) for s in (separator or ",;|\t")]
+    states = [False] * len(scans)
+    for i, line in enumerate(lines):
+        if i == len(lines) - 1 and not ended:
+            break
+        states = [scan(line, state)[0] for scan, state in zip(scans, states)]
+        taken.append(line)
+        if not all(states):
+            record = "\n".join(taken).rstrip("\r")
+            if record.strip():
+                return record
+            taken, states = [], [False] * len(scans)
+    if not ended and (len(text) <= READ_LIMIT or not taken):
         return None
-    rest = text[at:]
-    # A quote that never closes is no quote.
-    return rest if rest.count('"') % 2 == 0 else rest.splitlines()[0]
+    return lines[0].rstrip("\r")
 
 
 def read_start(spark: SparkSession, path: str) -> str:
-    """The first record of a delimited file, however long."""
+    """The first record of a delimited file: its first line, or up to ``READ_LIMIT`` where quoted breaks follow."""
     for text, ended in starts(spark, path):
         record = first_line(text, ended)
         if record is not None:
@@ -166,8 +183,9 @@ def read_delimited(spark: SparkSession, paths: Sequence[str], names: Sequence[st
     """(rows as text, rejected lines) of files that share a header.
 
     Lines with too few fields are padded with NULL, lines with too many are
-    rejected.  Spark splits files into tasks unless a file holds quoted line
-    breaks, which a scan finds out; True or False for ``multi_line`` skips it.
+    rejected.  Spark splits files into tasks; where a scan finds that quoted
+    values hold line breaks, records are cut by their quotes, in as many tasks.
+    True or False for ``multi_line`` skips that scan.
     """
     if multi_line is None:
         whole = with_quoted_breaks(spark, paths)
@@ -175,18 +193,18 @@ def read_delimited(spark: SparkSession, paths: Sequence[str], names: Sequence[st
             parts = [read_delimited(spark, [p for p in paths if (p in whole) == m], names, separator, m) for m in (True, False)]
             return parts[0][0].unionAll(parts[1][0]), parts[0][1].unionAll(parts[1][1])
         multi_line = bool(whole)
+    if multi_line:
+        return _read_quoted(spark, paths, names, separator)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
     # Pruned columns would hide surplus fields from the parser; lines have no
     # length limit.
     raw = (spark.read.schema(schema).option("header", True).option("sep", separator)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+           .option("quote", '"').option("escape", '"')
            .option("maxColumns", max(20480, 2 * len(names))).option("maxCharsPerColumn", -1)
            .option("columnPruning", False).csv(list(paths)))
-    unquoted = F.regexp_replace(col(CORRUPT), r'"(?:[^"]|"")*"', "")
-    n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
-    surplus = F.coalesce(n_fields > len(names), F.lit(False))
+    surplus = F.coalesce(_n_fields(col(CORRUPT), separator) > len(names), F.lit(False))
     raw = raw.filter(_touch(col(names[0])))
     kept = raw.filter(~surplus).select(*[col(n) for n in names])
     rejected = raw.filter(surplus).select(F.col("_metadata.file_path").alias("path"),
@@ -194,6 +212,32 @@ def read_delimited(spark: SparkSession, paths: Sequence[str], names: Sequence[st
     return kept, rejected
 
 
+def _read_quoted(spark: SparkSession, paths: Sequence[str], names: Sequence[str], separator: str) -> tuple[DataFrame, DataFrame]:
+    """``read_delimited`` for files with line breaks in quoted values."""
+    found = splits.cut_records(spark, paths, "\n", splits.csv_scan(separator))
+    # A quote that never closes is no quote: what it swallowed are lines.
+    lines = found.select("path", "block", "nth", F.posexplode(F.when(F.col("whole"), F.array("record")).otherwise(F.split("record", "\n"))).alias("line", "record"))
+    lines = lines.withColumn("record", F.regexp_replace("record", r"\r$", "")).where(F.trim("record") != "")
+    header = lines.groupBy("path").agg(F.min(F.struct("block", "nth", "line")).alias("at"))
+    rows = lines.join(header, "path").where(F.struct("block", "nth", "line") != F.col("at"))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"sep": separator, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"',
+               "maxColumns": str(max(20480, 2 * len(names))), "maxCharsPerColumn": "-1"}
+    ddl = ", ".join("`" + f.name.replace("`", "``") + "` string" for f in schema.fields)
+    parsed = rows.select("path", "record", F.from_csv("record", ddl, options).alias("row"))
+    n_fields = _n_fields(F.col("record"), separator)
+    kept = parsed.where(n_fields <= len(names)).select(*[F.col("row")[n].alias(n) for n in names])
+    return kept, parsed.where(n_fields > len(names)).select("path", "record")
+
+
+def _n_fields(record, separator: str):
+    """Number of values in a line: separators outside of quotes that open a value, plus one."""
+    # Doubled quotes first: what is left opens and closes.  No pattern loops over a group, which Java would do on its stack.
+    single = F.replace(record, F.lit('""'), F.lit("\u0001"))
+    unquoted = F.regexp_replace(single, rf'(?<![^{re.escape(separator)}\u0001])"[^"]*"', "")
+    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
+
+
 def null_tokens(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Text equal to one of the load-time NA tokens becomes NULL."""
     return df.select(*[F.when(~col(c).isin(*tokens), col(c)).alias(c) if isinstance(t, T.StringType)
@@ -238,20 +282,24 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.select(*[cast[c].alias(c) if c in cast else col(c) for c in df.columns])
 
 
+#: An object of objects whose inner keys are row labels, as far as its beginning tells.
+_BY_COLUMNS = re.compile(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{\s*"\d+"\s*:', re.S)
+
+
 def json_layout(pieces: Iterator[tuple[str, bool]]) -> tuple[str, list[str]]:
     """("array", "lines", "document" or "columns", key order of the first
-    record), from ever longer starts of a file.
+    record), from ever longer starts of a file, up to ``READ_LIMIT``.
 
     What follows the first whole value tells objects one per line from a
     single object; an object of objects with the same inner keys is a table
     written column by column.
     """
     decoder = json.JSONDecoder()
-    text, record, end = "", None, 0
     for text, ended in pieces:
         body = text.lstrip()
+        last = ended or len(text) >= READ_LIMIT
         if not body:
-            if ended:
+            if last:
                 raise ValueError("empty file")
             continue
         if body[0] not in "[{":
@@ -264,39 +312,82 @@ def json_layout(pieces: Iterator[tuple[str, bool]]) -> tuple[str, list[str]]:
         except ValueError:
             if ended:
                 raise ValueError("no whole JSON value") from None
-            continue
+            if not last:
+                continue
+            if body[0] == "[":
+                return "array", []
+            if _BY_COLUMNS.match(body):
+                return "columns", []
+            return ("document" if re.match(r"\{\s*\n", body) else "lines"), []
         if body[0] == "[":
             return "array", list(record) if isinstance(record, dict) else []
-        if body[end:].strip() or ended:
-            break
-    keys = list(record)
-    if body[end:].strip():
-        if "\n" in body[:end].strip():
-            raise ValueError("several JSON documents over many lines each")
-        return "lines", keys
-    columns = [v for v in record.values() if isinstance(v, dict)]
-    # Not merely one object with nested ones: the inner keys are row labels.
-    if columns and len(columns) == len(record) and len({tuple(v) for v in columns}) == 1 and all(
-            k.isdigit() for k in columns[0]):
-        return "columns", keys
-    return ("document" if "\n" in body[:end].strip() else "lines"), keys
-
-
-def read_json_columns(spark: SparkSession, paths: Sequence[str], names: Sequence[str]) -> DataFrame:
+        if not (body[end:].strip() or last):
+            continue
+        keys = list(record)
+        if body[end:].strip():
+            if "\n" in body[:end].strip():
+                raise ValueError("several JSON documents over many lines each")
+            return "lines", keys
+        columns = [v for v in record.values() if isinstance(v, dict)]
+        # Not merely one object with nested ones: the inner keys are row labels.
+        if columns and len(columns) == len(record) and len({tuple(v) for v in columns}) == 1 and all(k.isdigit() for k in columns[0]):
+            return "columns", []
+        return ("document" if "\n" in body[:end].strip() else "lines"), keys
+    raise ValueError("empty file")
+
+
+def json_records(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """((path, record) of the objects in JSON arrays, what the end of a file cuts off): each array is cut up in many tasks."""
+    found = splits.cut_records(spark, paths, "}", splits.json_scan)
+    text = F.regexp_extract("record", r"(?s)(\{.*)", 1)
+    rows = found.where(F.contains("record", F.lit("{"))).select("path", "whole", F.concat(text, F.when(F.col("whole"), "}").otherwise("")).alias("record"))
+    return rows.where("whole").drop("whole"), rows.where("not whole").drop("whole")
+
+
+def read_json_array(spark: SparkSession, paths: Sequence[str], key_order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, (path, record) of what isn't a whole object) of files that are JSON arrays of objects."""
+    records, cut_off = json_records(spark, paths)
+    strings = getattr(records.select("record")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    schema = T._parse_datatype_json_string(spark._jsparkSession.read().option("columnNameOfCorruptRecord", CORRUPT).json(strings).schema().json())
+    fields = [f for f in schema.fields if f.name != CORRUPT]
+    full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = records.select("path", F.from_json("record", full, {"columnNameOfCorruptRecord": CORRUPT}).alias("row"))
+    bad = F.col("row")[CORRUPT]
+    order = sorted((f.name for f in fields), key=lambda n: list(key_order).index(n) if n in key_order else len(key_order))
+    rows = parsed.where(bad.isNull()).select(*[F.col("row")[n].alias(n) for n in order])
+    return rows, parsed.where(bad.isNotNull()).select("path", bad.alias("record")).unionAll(cut_off)
+
+
+def read_json_columns(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Rows, as text, of objects that map each column to {row label: value}.
 
-    Such a file is one value, so one task reads it; its rows spread afterwards.
+    Such a file is one value; it is cut at the commas between its cells, in
+    many tasks, and the cells are brought together by row label.
     """
-    schema = T.StructType([T.StructField(n, T.MapType(T.StringType(), T.StringType())) for n in names])
-    df = spark.read.schema(schema).option("multiLine", True).json(list(paths))
-    labels = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(col(n)), F.array().cast("array<string>")) for n in names])))
-    rows = df.select(F.explode(labels).alias("_label"), *[col(n) for n in names])
-    return rows.select(*[F.try_element_at(col(n), F.col("_label")).alias(n) for n in names])
+    cells = splits.cut_records(spark, paths, ",", splits.json_entry_scan, level=2)
+    string = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+    parts = rf'(?s)^\s*\{{?\s*(?:({string})\s*:\s*\{{)?\s*({string})\s*:\s*(.*?)\s*$'
+    as_text = lambda c: F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+    split = cells.select("path", "block", "nth", *[F.regexp_extract("record", parts, i).alias(n) for i, n in ((1, "name"), (2, "label"), (3, "value"))]).where("label <> ''")
+    # What closes the column, or the whole object, follows the value.
+    bare = F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), '"[^"]*"', "")
+    surplus = F.length(F.translate(bare, "{[", "")) - F.length(F.translate(bare, "}]", ""))
+    split = split.withColumn("value", F.when(surplus == 2, F.regexp_replace("value", r"(?s)\s*\}\s*\}\s*$", ""))
+                             .when(surplus == 1, F.regexp_replace("value", r"(?s)\s*\}\s*$", "")).otherwise(F.col("value")))
+    split = write_table(split)
+    starts_ = split.where("name <> ''").select("path", "block", "nth", as_text(F.col("name")).alias("name"))
+    # One row for each column of a file, gathered for its cells.
+    heads = starts_.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "nth", "name"))).alias("heads"))
+    names = [r["name"] for r in starts_.groupBy("name").agg(F.min(F.struct("path", "block", "nth")).alias("at")).orderBy("at").collect()]
+    own = F.element_at(F.filter("heads", lambda h: F.struct(h["block"], h["nth"]) <= F.struct(F.col("block"), F.col("nth"))), -1)["name"]
+    placed = split.join(heads, "path").select("path", as_text(F.col("label")).alias("label"), own.alias("name"), as_text(F.col("value")).alias("value"))
+    return (placed.groupBy("path", "label").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"c{i}") for i, n in enumerate(names)])
+            .select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]))
 
 
 def read_json(spark: SparkSession, paths: Sequence[str], whole_file: bool, key_order: Sequence[str] = (),
               schema: T.StructType | str | None = None) -> DataFrame:
-    """Records of JSON arrays (``whole_file``) or of one object per line.
+    """Records of one object per line, or of one object in all (``whole_file``).
 
     Without a schema Spark infers one with a scan of its own; fields keep the
     order of the first record.
@@ -380,7 +471,14 @@ def load_directory(spark: SparkSession, directory: str, file_types: Sequence[str
                 groups.setdefault(key, []).append(path)
         for (form, how, names), paths in groups.items():
             if form == "json" and how == "columns":
-                df = read_json_columns(spark, paths, names)
+                df = read_json_columns(spark, paths)
+            elif form == "json" and how == "array":
+                df, bad = read_json_array(spark, paths, names)
+                if not df.columns:
+                    out.failures += [(p, "no JSON records") for p in paths]
+                    continue
+                out.rejected.append(bad)
+                df = parse_date_keys(df)
             elif form == "json":
                 df = read_json(spark, paths, how != "lines", names)
                 if CORRUPT in df.columns:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..plans.cleaning import CleanResult
 from ..plans.decisions import Issues
+from ..session import ship_with_tasks
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -20,6 +22,67 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+def _framed(lines: DataFrame, before: str, between: str, after: str) -> DataFrame:
+    """Lines with something before the first and after the last of each task, and at the end of all others."""
+    def run(batches):
+        held, started = None, False
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                if held is not None:
+                    out.append(held + between)
+                held = text if started else before + text
+                started = True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + after], pa.string())], ["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
+def _text_as_json(lines: DataFrame, path: str, mode: str) -> None:
+    """Write lines as they are, in files named as JSON: Spark's text writer has one ending only."""
+    lines.write.mode(mode).text(path)
+    spark = lines.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".json"))
+
+
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON array of objects for each task."""
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    _text_as_json(_framed(lines, "[", ",", "]"), path, mode)
+
+
+def write_json_columns(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON object for each task that maps every column to {row label: value}; a task holds its rows at once."""
+    names = df.columns
+
+    def run(batches):
+        cells: list[list[str]] = [[] for _ in names]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for own, value in zip(cells, json.loads(text).values()):
+                    own.append(json.dumps(value))
+        if cells and cells[0]:
+            columns = (f"{json.dumps(n)}:{{{','.join(f'\"{i}\":{v}' for i, v in enumerate(own))}}}" for n, own in zip(names, cells))
+            yield pa.RecordBatch.from_arrays([pa.array(["{" + ",".join(columns) + "}"], pa.string())], ["value"])
+
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    _text_as_json(lines.mapInArrow(run, "value string"), path, mode)
+
+
+def write_delimited_text(df: DataFrame, path: str, separator: str = "\t", mode: str = "overwrite") -> None:
+    """Text files with a header line and values between separators."""
+    lines = df.select(F.to_csv(F.struct("*"), {"sep": separator, "escape": '"'}).alias("value"))
+    _framed(lines, separator.join(df.columns) + "\n", "", "").write.mode(mode).text(path)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
@@ -75,3 +138,6 @@ def save(result: CleanResult, directory: str, formats=("csv",), mode: str = "ove
     out["summary"] = f"{base}/analysis_summary"
     issues_frame(spark, result.issues).coalesce(1).write.mode(mode).json(out["summary"])
     return out
+
+
+ship_with_tasks(__name__)

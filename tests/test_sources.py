@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 
@@ -140,3 +142,86 @@ def test_files_split_unless_quotes_span_lines(spark, tmp_path):
         assert rows.filter("b = 'x\ny'").count() == 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.fixture
+def small_blocks(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_quoted_breaks_split_like_a_csv_reader(spark, tmp_path, small_blocks):
+    rng = random.Random(4)
+    values = ["plain", 'with "quotes"', "two\nlines", "comma, inside", 'a 5" pipe', "", "\n\n", '"', "x\r\ny", "é\n" * 40, "long " * 900 + "\n" + "tail " * 700, '",\n"']
+    rows = [(str(i), rng.choice(values), rng.choice(values)) for i in range(400)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["id", "first value", "b"])
+        w.writerows(rows)
+        f.write("900,a 5\" pipe,not quoted\n901,surplus,b,c\n\n902,short\n")
+    paths = [p for p, _ in files.list_files(spark, str(tmp_path), "csv")]
+    records = files.splits.cut_records(spark, paths, "\n", files.splits.csv_scan(","))
+    assert files.splits.pieces(spark, paths, "\n").rdd.getNumPartitions() > 20
+    kept, rejected = files.read_delimited(spark, paths, ["id", "first value", "b"])
+    want = [(a, b or None, c or None) for a, b, c in rows] + [("900", 'a 5" pipe', "not quoted"), ("902", "short", None)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    assert [r.record for r in rejected.collect()] == ["901,surplus,b,c"]
+    assert records.where("not whole").count() == 0
+    # As many records as Spark's reader of whole files finds.
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
+    assert kept.count() + 1 == whole.count()
+
+
+def test_a_quote_that_never_closes_loses_no_line(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,"never closed\n' + "".join(f"{i},plain text {i}\n" for i in range(3, 2000)))
+    kept, _ = files.read_delimited(spark, [p for p, _ in files.list_files(spark, str(tmp_path), "csv")], ["a", "b"], multi_line=True)
+    rows = {r.a: r.b for r in kept.collect()}
+    assert rows["1"] == "x\ny" and rows["1999"] == "plain text 1999" and len(rows) == 1999
+
+
+def test_a_stray_quote_in_the_header_reads_little(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,"b\n' + "1,2\n" * 600_000)
+    read = []
+    for text, ended in files.starts(spark, str(tmp_path / "a.csv")):
+        read.append(len(text))
+        if files.first_line(text, ended) is not None:
+            break
+    assert max(read) <= 2 * files.READ_LIMIT + files.READ_STEP
+    assert files.read_start(spark, str(tmp_path / "a.csv")) == 'a,"b'
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_arrays_split(spark, tmp_path, small_blocks, indent):
+    rng = random.Random(6)
+    texts = ["plain", 'quote " and } brace', "back\\slash\\", "{[", "}" * 30, "é" * 200, "x, y", "", None]
+    rows = [{"id": i, "t": rng.choice(texts), "deep": {"k": {"v": rng.choice(texts), "n": [1, {"z": i}]}}} for i in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=indent))
+    (tmp_path / "b.json").write_text(json.dumps(rows[:2], indent=indent)[:-5])
+    loaded = files.load_directory(spark, str(tmp_path), ["json"])
+    df, = loaded.frames()
+    got = {(r.id, r.t, r.deep.k.v, r.deep.k.n[1]) for r in df.collect()}
+    plain = lambda n: json.dumps(n, separators=(",", ":"))
+    assert {(i, t, v, n.replace(" ", "")) for i, t, v, n in got} == {(r["id"], r["t"], r["deep"]["k"]["v"], plain(r["deep"]["k"]["n"][1])) for r in rows}
+    assert df.count() == 301 and loaded.quarantine().count() == 1
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_columns_split(spark, tmp_path, small_blocks, indent):
+    rng = random.Random(7)
+    texts = ["plain", 'quote " and } brace', "a, b", "{", "[,", "\\", "é" * 50, "", None]
+    table = {"a b": {str(i): i for i in range(500)}, "c": {str(i): rng.choice(texts) for i in range(500)}, "d}": {str(i): None if i % 7 else i / 2 for i in range(500)}}
+    (tmp_path / "a.json").write_text(json.dumps(table, indent=indent))
+    df, = files.load_directory(spark, str(tmp_path), ["json"]).frames()
+    assert df.columns == ["a b", "c", "d}"] and dict(df.dtypes)["a b"] == "bigint"
+    assert {tuple(r) for r in df.collect()} == {(i, table["c"][str(i)], table["d}"][str(i)]) for i in range(500)}
+
+
+def test_layout_of_long_json_is_judged_by_its_start():
+    big = '{"a":{"0":' + "1" * (2 * files.READ_LIMIT)
+    assert files.json_layout(iter([(big[:files.READ_STEP], False), (big, False)])) == ("columns", [])
+    assert files.json_layout(iter([('{"a":"' + "x" * files.READ_LIMIT, False)])) == ("lines", [])
+    assert files.json_layout(iter([('[{"a":"' + "x" * files.READ_LIMIT, False)])) == ("array", [])
