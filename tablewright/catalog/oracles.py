@@ -434,6 +434,17 @@ ORACLES: dict[str, str] = {
         f"SELECT b.i, list_has_any(b.who, w.kept), CASE WHEN list_has_any(b.who, w.kept) THEN w.kept "
         f"ELSE list_append(list_filter(w.kept, lambda x: x > b.i - 300), b.i) END FROM walk w JOIN rows_before b ON b.i = w.i + 1) "
         f"SELECT p_partkey, p_name, flagged AS _near_duplicate FROM np JOIN walk USING (i)"),
+    # Distinct keys in row order; each is kept unless it is like one kept before.
+    "x17_near_flags_greedy_table": (
+        f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key FROM {NP} t), "
+        f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION SELECT kb, ka FROM scores WHERE score >= 92), "
+        f"f AS (SELECT key, min(p_partkey) AS first, row_number() OVER (ORDER BY min(p_partkey)) AS i FROM np WHERE key <> '' GROUP BY key), "
+        f"near AS (SELECT b.i, list(a.i) AS who FROM hits JOIN f a ON a.key = ka JOIN f b ON b.key = kb AND a.i < b.i GROUP BY b.i), "
+        f"walk AS (SELECT 0::BIGINT AS i, [0::BIGINT] AS kept UNION ALL SELECT f.i, CASE WHEN list_has_any(coalesce(who, []), w.kept) THEN w.kept "
+        f"ELSE list_append(w.kept, f.i) END FROM walk w JOIN f ON f.i = w.i + 1 LEFT JOIN near ON near.i = f.i), "
+        f"k AS (SELECT unnest(kept) AS i FROM walk QUALIFY row_number() OVER (ORDER BY walk.i DESC) = 1) "
+        f"SELECT p_partkey, p_name, coalesce(f.i IS NOT NULL AND (f.i NOT IN (SELECT i FROM k) OR f.first < p_partkey), FALSE) AS _near_duplicate "
+        f"FROM np LEFT JOIN f USING (key)"),
     "x17_near_flags_whole_table": (
         f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key FROM {NP} t), "
         f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "

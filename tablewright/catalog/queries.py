@@ -443,6 +443,12 @@ def x17_near_flags_greedy(spark, sf):
     return similarity.flag_near_duplicates(df, Config(near_duplicate_mode="greedy", near_duplicate_window=300)).drop(ROW_ID)
 
 
+@query
+def x17_near_flags_greedy_table(spark, sf):
+    df = with_row_id(view(spark, sf, "near_part"), "p_partkey")
+    return similarity.flag_near_duplicates(df, Config(near_duplicate_mode="greedy")).drop(ROW_ID)
+
+
 @query
 def x18_money(spark, sf):
     return repairs.normalise_money(view(spark, sf, "dirty_orders"))

@@ -83,7 +83,7 @@ class Config:
     near_duplicate_column: str = "_near_duplicate"
     # Rows back that a row is compared with; None for the whole table before it.
     near_duplicate_window: int | None = None
-    near_duplicate_mode: str = "any_earlier"   # with a window also "greedy"; "lsh" for long texts
+    near_duplicate_mode: str = "any_earlier"   # or "greedy"; "lsh" for long texts
     blanks_match: bool = False
 
     examples: int = 5

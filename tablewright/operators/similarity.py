@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..config import DEFAULT, NEAR_DUPLICATE_WORDS, Config
 from ..functions import token_sort_key
 from ..functions.lcs import lcs_lengths
-from ..session import cut_lineage, ship_with_tasks
+from ..session import cut_lineage, ship_with_tasks, write_table
 from .rows import ROW_ID, col, string_columns, with_dense_index
 from .text_lsh import near_text_groups
 
@@ -89,13 +89,8 @@ def _short_limit(lengths: list[int], threshold: int) -> int:
     return limit
 
 
-def _short_pairs(keys: DataFrame, lengths: list[int], limit: int, threshold: int) -> DataFrame:
-    """Pairs up to the length limit, joined on a common subsequence.
-
-    Every joined pair that passes the length test is a result, so the join is
-    as large as its output and frequent words cost nothing.  The longest
-    shared subsequence is the LCS itself.
-    """
+def _subsequences(keys: DataFrame, lengths: list[int], limit: int, threshold: int) -> DataFrame:
+    """(columns of keys, z, size): each key up to the length limit with the subsequences that a partner of it may share."""
     lengths = [n for n in lengths if n <= limit]
     size = F.length("key")
     depth = {n: max((d for m in lengths for d in (_deletions(n, m, threshold),) if d is not None),
@@ -104,14 +99,26 @@ def _short_pairs(keys: DataFrame, lengths: list[int], limit: int, threshold: int
     variants = F.concat(*[
         F.when(size.isin([n for n in lengths if depth[n] >= d]), _variants(F.col("key"), d)).otherwise(none)
         for d in range(max(depth.values()) + 1)])
-    emitted = (keys.filter(size <= limit).select("key", F.explode(variants).alias("z"))
-               .withColumn("size", F.length("key")))
+    return keys.filter(size <= limit).select("*", F.explode(variants).alias("z")).withColumn("size", F.length("key"))
+
+
+def _enough(shared: Column, total: Column, threshold: int) -> Column:
+    """Whether a subsequence of that length makes two strings of that joint length alike."""
+    bound = (2 * threshold - 1) * total
+    return 400 * shared > bound if threshold % 2 else 400 * shared >= bound
+
+
+def _short_pairs(keys: DataFrame, lengths: list[int], limit: int, threshold: int) -> DataFrame:
+    """Pairs up to the length limit, joined on a common subsequence.
+
+    Every joined pair that passes the length test is a result, so the join is
+    as large as its output and frequent words cost nothing.  The longest
+    shared subsequence is the LCS itself.
+    """
+    emitted = _subsequences(keys.select("key"), lengths, limit, threshold)
     a = emitted.select("z", F.col("key").alias("key_a"), F.col("size").alias("la"))
     b = emitted.select("z", F.col("key").alias("key_b"), F.col("size").alias("lb"))
-    total = F.col("la") + F.col("lb")
-    enough = 400 * F.length("z") >= (2 * threshold - 1) * total
-    if threshold % 2:
-        enough = 400 * F.length("z") > (2 * threshold - 1) * total
+    enough = _enough(F.length("z"), F.col("la") + F.col("lb"), threshold)
     joined = a.join(b, "z").filter((F.col("key_a") < F.col("key_b")) & enough)
     return (joined.groupBy("key_a", "key_b").agg(F.max(F.length("z")).alias("lcs")))
 
@@ -212,8 +219,7 @@ def similar_keys(keys: DataFrame, threshold: int = 92) -> DataFrame:
 
     ``keys`` holds distinct, non-empty comparison keys in column ``key``.
     """
-    lengths = sorted(r["n"] for r in keys.select(F.length("key").alias("n")).distinct().collect())
-    pairs = None
+    lengths, pairs = _key_lengths(keys), None
     if lengths:
         limit = _short_limit(lengths, threshold)
         if limit:
@@ -396,18 +402,70 @@ def window_flags(df: DataFrame, column: str, index: str, config: Config = DEFAUL
     return settled.select(F.explode("flagged").alias(index), F.lit(True).alias("flagged"))
 
 
+def _key_lengths(keys: DataFrame) -> list[int]:
+    return sorted(r["n"] for r in keys.select(F.length("key").alias("n")).distinct().collect())
+
+
 def first_alikes(df: DataFrame, column: str, row: str, config: Config = DEFAULT) -> DataFrame:
-    """(key, first): the first row whose value is like the key, itself included."""
+    """(key, first): the first row whose value is like the key, itself included.
+
+    Short keys meet in their subsequences: each holds the smallest row for
+    every length, so a key finds its first match without a pair being built and the join
+    is as large as the number of subsequences.  Only longer keys are paired.
+    """
+    threshold = config.similarity_threshold
     keys = (df.select(F.coalesce(token_sort_key(col(column)), F.lit("")).alias("key"), F.col(row).alias("row"))
             .groupBy("key").agg(F.min("row").alias("first")))
     keys = cut_lineage(keys if config.blanks_match else keys.filter("key <> ''"))
-    pairs = similar_keys(keys.filter("key <> ''").select("key"), config.similarity_threshold)
-    both = pairs.select("key_a", "key_b").unionAll(pairs.select("key_b", "key_a"))
-    met = (both.join(keys.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key"))
-           .agg(F.min("first").alias("met")))
+    named = keys.filter("key <> ''")
+    lengths, met = _key_lengths(named), None
+    limit = _short_limit(lengths, threshold) if lengths else 0
+    if limit:
+        emitted = _subsequences(named, lengths, limit, threshold)
+        low = (emitted.groupBy("z", "size").agg(F.min("first").alias("low"))
+               .groupBy("z").agg(F.collect_list(F.struct("size", "low")).alias("lows")))
+        fits = F.filter("lows", lambda x: _enough(F.length("z"), x["size"] + F.col("size"), threshold))
+        met = emitted.join(low, "z").groupBy("key").agg(F.min(F.array_min(F.transform(fits, lambda x: x["low"]))).alias("met"))
+    if lengths and lengths[-1] > limit:
+        pairs = _long_pairs(named.select("key"), limit, lengths[-1], threshold)
+        both = pairs.select("key_a", "key_b").unionAll(pairs.select("key_b", "key_a"))
+        longer = (both.join(keys.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key"))
+                  .agg(F.min("first").alias("met")))
+        met = longer if met is None else met.unionByName(longer).groupBy("key").agg(F.min("met").alias("met"))
+    if met is None:
+        return keys
     return keys.join(met, "key", "left").select("key", F.coalesce(F.least("first", "met"), "first").alias("first"))
 
 
+def greedy_keys(df: DataFrame, column: str, row: str, config: Config = DEFAULT) -> DataFrame:
+    """(key, first): the key's first row if that is kept, null if all rows of the key are flagged.
+
+    Rows are taken in order and one is flagged if it is like an earlier row
+    that is kept.  Rows of one key share their fate but for the first, so this is
+    the first independent set, in row order, over the links between distinct keys.  In each round
+    keys without an undecided earlier neighbour are kept and their neighbours
+    flagged; a column with one value has no link and needs no round.
+    """
+    keys = (df.select(F.coalesce(token_sort_key(col(column)), F.lit("")).alias("key"), F.col(row).alias("row"))
+            .groupBy("key").agg(F.min("row").alias("first")))
+    keys = cut_lineage(keys if config.blanks_match else keys.filter("key <> ''"))
+    pairs = similar_keys(keys.filter("key <> ''").select("key"), config.similarity_threshold)
+    place = lambda side: keys.select(F.col("key").alias(f"key_{side}"), F.col("first").alias(side))
+    links = write_table(pairs.join(place("a"), "key_a").join(place("b"), "key_b")
+                        .select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")))
+    flagged = None
+    while not links.isEmpty():
+        kept = links.select("low").distinct().join(links.select(F.col("high").alias("low")), "low", "left_anti")
+        gone = write_table(links.join(kept, "low").select("high").distinct())
+        flagged = gone if flagged is None else flagged.unionAll(gone)
+        # Links of flagged keys bind no one; those of kept ones have done so.
+        links = write_table(links.join(gone, "high", "left_anti").join(gone.select(F.col("high").alias("low")), "low", "left_anti"))
+    if flagged is None:
+        return keys
+    out = flagged.select(F.col("high").alias("first"), F.lit(True).alias("gone"))
+    return keys.join(out, "first", "left").select("key", F.when(F.col("gone").isNull(), F.col("first")).alias("first"))
+
+
 def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, columns=None) -> DataFrame:
     """Add the near-duplicate flag column if any row earns it.
 
@@ -426,10 +484,14 @@ def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, columns=None)
         row = ROW_ID if ROW_ID in df.columns else "_idx"
         placed = df if row == ROW_ID else with_dense_index(df, "_idx", None)
         flag, extra = F.lit(False), []
+        greedy = config.near_duplicate_mode == "greedy"
         for i, c in enumerate(columns):
-            firsts = first_alikes(placed, c, row, config).withColumnsRenamed({"key": f"_key{i}", "first": f"_first{i}"})
+            firsts = (greedy_keys if greedy else first_alikes)(placed, c, row, config).withColumnsRenamed({"key": f"_key{i}", "first": f"_first{i}"})
             placed = placed.join(firsts, F.coalesce(token_sort_key(col(c)), F.lit("")) == F.col(f"_key{i}"), "left")
-            flag = flag | F.coalesce(F.col(f"_first{i}") < F.col(row), F.lit(False))
+            first = F.col(f"_first{i}")
+            later = F.coalesce(first < F.col(row), F.lit(False))
+            # Greedy: a key without a kept row is flagged whole.
+            flag = flag | (later | (F.col(f"_key{i}").isNotNull() & first.isNull()) if greedy else later)
             extra += [f"_key{i}", f"_first{i}"]
         flagged = cut_lineage(placed.withColumn(config.near_duplicate_column, flag).drop(*extra, "_idx"))
         return flagged if flagged.filter(col(config.near_duplicate_column)).head(1) else flagged.drop(config.near_duplicate_column)

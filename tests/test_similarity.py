@@ -143,3 +143,51 @@ def test_whole_table_flags_all_columns(spark):
 
     want = {i for k, (i, a, b) in enumerate(keys) if any(alike(a, c) or alike(b, d) for _, c, d in keys[:k])}
     assert got == want and 500 in got
+
+
+@pytest.mark.parametrize("threshold, blanks", [(92, False), (85, True)])
+def test_greedy_flags_of_the_whole_table(spark, table, threshold, blanks):
+    df, keys = table
+    kept, want = [], []
+    for k in keys:
+        if k == "" and not blanks:
+            want.append(False)
+            continue
+        alike = any(k == other or (k and other and score(k, other) >= threshold) for other in kept)
+        want.append(alike)
+        if not alike:
+            kept.append(k)
+    out = sim.flag_near_duplicates(df, Config(near_duplicate_mode="greedy", similarity_threshold=threshold, blanks_match=blanks))
+    assert [r._near_duplicate for r in out.orderBy("_row_id").collect()] == want
+
+
+def test_greedy_rounds(spark, monkeypatch):
+    """A constant column needs no round; a chain, each like the next one only, is settled from its beginning."""
+    rounds = []
+    write = sim.write_table
+    monkeypatch.setattr(sim, "write_table", lambda df: rounds.append(1) or write(df))
+    same = spark.createDataFrame([(i, "one and the same name") for i in range(500)], "_row_id bigint, name string")
+    flags = sim.flag_near_duplicates(same, Config(near_duplicate_mode="greedy"))
+    assert flags.filter("_near_duplicate").count() == 499 and len(rounds) == 1
+    text = "abcdefghijklmnopqrstuvwxyz0123456789"
+    chain = [text[:i] + text[i + 2:] if i else text for i in range(0, 16, 2)]
+    df = spark.createDataFrame(list(enumerate(chain)), "_row_id bigint, name string")
+    kept, want = [], []
+    for k in chain:
+        want.append(any(score(k, other) >= 92 for other in kept))
+        kept += [] if want[-1] else [k]
+    assert [r._near_duplicate for r in sim.flag_near_duplicates(df, Config(near_duplicate_mode="greedy")).orderBy("_row_id").collect()] == want
+
+
+def test_first_alikes_build_no_pairs(spark, table):
+    """Short keys: as many joined rows as subsequences, whatever the number of alike keys."""
+    df, keys = table
+    firsts = {}
+    for i, k in enumerate(keys):
+        firsts.setdefault(k, i)
+    want = {k: min([f, *(firsts[o] for o in firsts if o and k and score(o, k) >= 92)]) for k, f in firsts.items() if k}
+    got = {r.key: r.first for r in sim.first_alikes(df, "name", "_row_id").collect()}
+    assert got == want
+    many = spark.createDataFrame([(i, f"item {i:05d}") for i in range(3000)], "_row_id bigint, name string")
+    plan = sim.first_alikes(many, "name", "_row_id")._jdf.queryExecution().toString()
+    assert "key_a" not in plan
