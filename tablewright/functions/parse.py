@@ -19,6 +19,8 @@ US_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 US_DASH = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
 DAY_MONTH = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$"
 MONTH_DAY = r"^([A-Za-z]{3,9}) (\d{1,2}), ?(\d{4})$"
+# What every layout begins with.
+DATE_START = r"^(?:\d{1,4}[-/ ]|[A-Za-z]{3,9} \d)"
 
 
 def parse_number(c: Column) -> Column:
@@ -64,7 +66,8 @@ def parse_date(c: Column) -> Column:
     timed = F.regexp_replace(s, r"^([^ T]+[ T]\d{1,2}:\d{2})(?= ?[ZU+-])", "$1:00")
     point = F.regexp_replace(timed, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2").try_cast("timestamp")
     zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), point.cast("timestamp_ntz"))
-    return F.when(s.rlike(ISO_ZONED), zoned).otherwise(iso.try_cast("timestamp_ntz"))
+    # The first characters tell whether a layout is worth trying; a zone only where no plain layout fits.
+    return F.when(s.rlike(DATE_START), F.coalesce(iso.try_cast("timestamp_ntz"), F.when(s.rlike(ISO_ZONED), zoned)))
 
 
 def iso_day(ts: Column) -> Column:

@@ -12,14 +12,15 @@ import re
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..config import DEFAULT, EMAIL_PATTERN, PHONE_PATTERN, Config
-from ..functions import (ascii_fold, as_text, iso_day, null_out, parse_date,
+from ..functions import (ascii_fold, as_text, is_null, iso_day, null_out, parse_date,
                          strip, strip_to_number, title_case)
+from ..session import write_table
 from .broken import as_number, out_of_range
 from .duplicates import drop_duplicates
-from .rows import aggregate_row, col, field_types, is_temporal
+from .rows import AGGREGATES_PER_PASS, aggregate_row, col, field_types, is_temporal
 from .similarity import flag_near_duplicates
 
 
@@ -98,20 +99,12 @@ def differs(before: Column, after: Column, types: tuple[T.DataType, T.DataType])
     return ~as_text(before, types[0]).eqNullSafe(as_text(after, types[1]))
 
 
-def measured(df: DataFrame, actions, config: Config = DEFAULT) -> list[Action]:
-    """The actions with the number of cells or columns that each changes.
-
-    One scan for all column actions.  Actions that remove or flag rows are
-    measured where their result is stored.
-    """
-    marks: dict[int, tuple[str, str]] = {}
-    wide = apply_actions(df, [a for a in actions if a.op not in ROW_OPS], config, marks)
-    row = aggregate_row(wide, [F.count_if(F.col(m)).alias(m) for m, _ in marks.values()]) if marks else {}
+def _with_counts(actions, marks: dict[int, tuple[str, str]], counts: dict) -> list[Action]:
     out = []
     for a in actions:
         if id(a) in marks:
             mark, retyped = marks[id(a)]
-            a = replace(a, changed=row[mark], retyped=retyped)
+            a = replace(a, changed=counts[mark], retyped=retyped)
         elif a.op == "rename":
             a = replace(a, changed=sum(old != new for old, new in a.params["names"].items()))
         elif a.op == "drop_column":
@@ -120,6 +113,49 @@ def measured(df: DataFrame, actions, config: Config = DEFAULT) -> list[Action]:
     return out
 
 
+def measured(df: DataFrame, actions, config: Config = DEFAULT) -> list[Action]:
+    """The actions with the number of cells or columns that each changes.
+
+    One scan for all column actions.  Actions that remove or flag rows are
+    measured where their result is stored.
+    """
+    marks: dict[int, tuple[str, str]] = {}
+    wide = apply_actions(df, [a for a in actions if a.op not in ROW_OPS], config, marks)
+    row = aggregate_row(wide, [F.count_if(F.col(m)).alias(m) for m, _ in marks.values()]) if marks else {}
+    return _with_counts(actions, marks, row)
+
+
+def applied(df: DataFrame, actions, config: Config = DEFAULT, rows_before: int | None = None) -> tuple[DataFrame, list[Action], dict]:
+    """(repaired table, actions with what they changed, its row and null-cell counts).
+
+    The table is written once; what the actions changed and what the table
+    then holds is observed by the job that writes it, so nothing is scanned
+    for the counts.
+    """
+    marks: dict[int, tuple[str, str]] = {}
+    by_row = any(a.op in ROW_OPS for a in actions)
+    wide = apply_actions(df, actions, config, None if by_row else marks)
+    found = [m for m, _ in marks.values()]
+    names = [c for c in wide.columns if c not in found]
+    types, flag = field_types(wide), config.near_duplicate_column
+    flagged = F.count_if(F.coalesce(col(flag), F.lit(False)) if by_row and flag in names else F.lit(False))
+    metrics = [F.count(F.lit(1)).alias("rows"), flagged.alias("flagged"), *[F.count_if(F.col(m)).alias(m) for m in found],
+               *[F.count_if(is_null(col(c), types[c])).alias(f"null{i}") for i, c in enumerate(n for n in names if n in types)]]
+    seen = []
+    for i in range(0, len(metrics), AGGREGATES_PER_PASS):
+        seen.append(Observation())
+        wide = wide.observe(seen[-1], *metrics[i:i + AGGREGATES_PER_PASS])
+    out = write_table(wide.select(*[col(c) for c in names]))
+    counts: dict = {}
+    for o in seen:
+        counts.update(o.get)
+    done = _with_counts(actions, marks, counts)
+    if by_row:
+        removed = (df.count() if rows_before is None else rows_before) - counts["rows"]
+        done = [replace(a, changed={"drop_duplicates": removed, "flag_near_duplicates": counts["flagged"]}.get(a.op, a.changed)) for a in done]
+    return out, done, {"rows": counts["rows"], "missing_cells": sum(v for k, v in counts.items() if k.startswith("null"))}
+
+
 def apply_actions(df: DataFrame, actions, config: Config = DEFAULT, marks: dict | None = None) -> DataFrame:
     """Run actions in order; neighbouring column actions share a projection.
 

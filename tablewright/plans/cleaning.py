@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Config
 from ..operators.missing import missing_examples
-from ..operators.profile import info, observe
-from ..operators.repairs import Action, apply_actions, measured
+from ..operators.profile import observe
+from ..operators.repairs import Action, applied, apply_actions, measured
 from ..operators.rows import ROW_ID, col, field_types, with_row_id
 from ..session import write_table
 from . import fitting
@@ -106,26 +106,23 @@ def run_step(df: DataFrame, step: str, config: Config = DEFAULT) -> tuple[DataFr
     return apply_actions(df, actions, config), actions
 
 
-def fit_step(df: DataFrame, step: str, config: Config = DEFAULT) -> tuple[DataFrame, list[Action]]:
-    """As :func:`run_step`, with what each action changes; removed and flagged
-    rows are written once and counted there.
+def fit_step(df: DataFrame, step: str, config: Config = DEFAULT, facts: dict | None = None) -> tuple[DataFrame, list[Action], dict]:
+    """(repaired table, actions with what each changes, row and null-cell counts).
+
+    A step with actions is written once, and counted by that job; ``facts``
+    are the counts before, which a step without any, or that only renames, leaves as they are.
     """
-    actions = measured(df, STEPS[step](df, config), config)
-    out = apply_actions(df, actions, config)
-    if step == "fix_duplicates":
-        out = write_table(out)
-        flag = config.near_duplicate_column
-        count = out.agg(F.count(F.lit(1)).alias("n"), (F.count_if(col(flag)) if flag in out.columns else F.lit(0)).alias("flagged")).first()
-        removed = df.count() - count["n"]
-        actions = [replace(a, changed={"drop_duplicates": removed, "flag_near_duplicates": count["flagged"]}.get(a.op, a.changed)) for a in actions]
-    return out, actions
+    actions = STEPS[step](df, config)
+    if facts is not None and all(a.op == "rename" for a in actions):
+        return apply_actions(df, actions, config), measured(df, actions, config), facts
+    return applied(df, actions, config, (facts or {}).get("rows"))
 
 
 def decide(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None) -> list[Action]:
     """The repairs that :func:`clean` makes in its first pass, fitted and measured."""
-    current, actions = write_table(with_row_id(df, order_by)), []
+    current, actions, facts = write_table(with_row_id(df, order_by)), [], None
     for name in ORDERS[config.order]:
-        current, fitted = fit_step(current, name, config)
+        current, fitted, facts = fit_step(current, name, config, facts)
         actions += fitted
     return actions
 
@@ -164,13 +161,6 @@ def _entry(step: str, before: DataFrame, after: DataFrame, actions: list[Action]
             "timestamp": datetime.now().isoformat(timespec="seconds")}
 
 
-def recheck(df: DataFrame) -> dict:
-    """Rows and null cells of the table as it is now; one scan."""
-    facts = info(df)
-    n = facts["shape"][0]
-    return {"rows": n, "missing_cells": sum(n - v for v in facts["non_null"].values())}
-
-
 def analyze(df: DataFrame, config: Config = DEFAULT, as_of=None, order_by: str | None = None):
     """Detect only: issues, report and overview; nothing is repaired."""
     df = with_row_id(df, order_by)
@@ -189,26 +179,25 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
     """Run the full workflow on a table.
 
     Statistics reach the driver, rows never do.  The source is written once
-    with its row ids, as Parquet below the checkpoint folder, and so are the
-    deduplicated rows; the many scans in between read single columns of
-    those.  Each repair that is fitted is applied and logged with what it
+    with its row ids, as Parquet below the checkpoint folder, and so is the
+    result of each step that changes cells or rows; the many scans in between
+    read single columns of those.  Each repair that is fitted is applied and logged with what it
     changed; nothing else is.  Validation loops run until nothing remains or
-    nothing moves.  ``recheck_steps`` adds a scan per step for row and null
-    counts.
+    nothing moves.  ``recheck_steps`` adds row and null counts to the log, which
+    the jobs that write the steps have observed.
     """
     source = write_table(with_row_id(df, order_by))
     issues, report = analyze(source, config, as_of)
     original = {"rows": issues.n_rows, "columns": len(field_types(source)),
                 "missing": issues.scan.null_cells, "duplicates": issues.exact_duplicates}
     plan, log = CleaningPlan(), []
+    facts = {"rows": issues.n_rows, "missing_cells": issues.scan.null_cells}
 
     def step(frame: DataFrame, name: str) -> DataFrame:
-        out, actions = fit_step(frame, name, config)
+        nonlocal facts
+        out, actions, facts = fit_step(frame, name, config, facts)
         plan.actions += actions
-        entry = _entry(name, frame, out, actions)
-        if recheck_steps:
-            entry.update(recheck(out))
-        log.append(entry)
+        log.append(_entry(name, frame, out, actions) | (facts if recheck_steps else {}))
         return out
 
     current = source
@@ -225,7 +214,7 @@ def clean(df: DataFrame, config: Config = DEFAULT, order_by: str | None = None,
             # Nothing moved: what remains has no repair.
             break
         loop += 1
-        current = write_table(repaired)
+        current = repaired
         checked = validate(original, current, loop, config, as_of)
 
     return CleanResult(current.drop(ROW_ID), plan, issues, log, checked, report,
