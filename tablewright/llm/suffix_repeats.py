@@ -14,7 +14,7 @@ dealt to many tasks.  A string that may go on in the neighbouring task, because
 settled by an aggregation over the few strings at such cuts; all others are settled where they lie.
 
 Of equal texts only the first is searched; the others go as a whole.  Two fixed-size filters of hash bits keep out texts
-without a copy and grams that occur in one document.  A full filter lets everything pass, which changes the cost and never the result.
+without a copy and grams that occur, with their surroundings, in one document.  A full filter lets everything pass, which changes the cost and never the result.
 """
 
 from __future__ import annotations
@@ -24,14 +24,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import col, ship_with_tasks, write_table
 
 WINDOW = 50
 #: Bytes handled at once in a task, and bits of a filter.
-CHUNK, FILTER_BITS = 4 << 20, 26
+CHUNK, FILTER_BITS = 4 << 20, 27
 #: Stands for a missing id, which comes after all others.
 NO_ID = (1 << 63) - 1
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,49 +38,70 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` bytes from each position on, from hashes of powers of two of bytes."""
+def _hashes(data: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """Hashes of the bytes from each position on, for several numbers of bytes, from hashes of powers of two of them."""
     power, factor, width = {1: _RANDOM[data]}, {1: _STEP}, 1
-    while 2 * width <= gram:
+    while 2 * width <= max(widths):
         power[2 * width] = power[width][:-width] * factor[width] + power[width][width:]
         factor[2 * width] = np.uint64(int(factor[width]) ** 2 % (1 << 64))
         width *= 2
-    out, have = power[width], width
-    while have < gram:
-        width = max(w for w in power if w <= gram - have)
-        n = max(0, len(data) - have - width + 1)
-        out = out[:n] * factor[width] + power[width][have:have + n]
-        have += width
-    out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(29)
-
-
-def anchors(pieces: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, anchor, start, end, piece) of each stretch, positions in the joined pieces."""
-    gram = _gram(window)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ends = np.cumsum(lengths)
-    if not len(data) or lengths.max() < window:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4)
-    hashes = _gram_hashes(data, gram)
-    # The leftmost smallest hash of each window; the place decides between equal ones.
-    low, reach = hashes & ~_PLACE | np.arange(len(hashes), dtype=np.uint64), window - gram + 1
-    width = 1
-    while 2 * width <= reach:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < reach:
-        low = np.minimum(low[:len(low) - (reach - width)], low[reach - width:])
-    whole = np.zeros(len(data) + 1, np.int32)
-    fits = lengths >= window
-    np.add.at(whole, (ends - lengths)[fits], 1)
-    np.add.at(whole, ends[fits] - window + 1, -1)
-    at = np.flatnonzero(np.cumsum(whole)[:len(low)])
-    anchor = (low[at] & _PLACE).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
-    start, last = at[new], at[np.append(new[1:], len(at)) - 1]
-    return hashes[anchor[new]], anchor[new], start, last + window, np.searchsorted(ends, start, "right")
+    found = []
+    for size in widths:
+        have = max(w for w in power if w <= size)
+        out = power[have]
+        while have < size:
+            width = max(w for w in power if w <= size - have)
+            n = max(0, len(data) - have - width + 1)
+            out = out[:n] * factor[width] + power[width][have:have + n]
+            have += width
+        out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append(out ^ out >> np.uint64(29))
+    return found
+
+
+class Anchors:
+    """The stretches of joined pieces: gram hash, anchor, start, end and piece of each, as arrays.
+
+    A repeated string holds the gram and half of the rest at least on one side, so its anchor matters only if the gram repeats
+    with that much before or behind it: ``sides`` are those two hashes, ``has`` tells where the piece is long enough.
+    """
+
+    def __init__(self, pieces: list[bytes], window: int):
+        gram = _gram(window)
+        more = (window - gram + 1) // 2
+        self.data = data = np.frombuffer(b"".join(pieces), np.uint8)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lengths)
+        self.starts = ends - lengths
+        self.gram, self.sides, self.has = np.empty(0, np.uint64), np.empty((2, 0), np.uint64), np.empty((2, 0), bool)
+        self.anchor = self.start = self.end = self.piece = np.empty(0, np.int64)
+        if not len(data) or lengths.max() < window:
+            return
+        hashes, wide = _hashes(data, gram, gram + more)
+        # The leftmost smallest hash of each window; the place decides between equal ones.
+        low, reach = hashes & ~_PLACE | np.arange(len(hashes), dtype=np.uint64), window - gram + 1
+        width = 1
+        while 2 * width <= reach:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < reach:
+            low = np.minimum(low[:len(low) - (reach - width)], low[reach - width:])
+        whole = np.zeros(len(data) + 1, np.int32)
+        fits = lengths >= window
+        np.add.at(whole, self.starts[fits], 1)
+        np.add.at(whole, ends[fits] - window + 1, -1)
+        at = np.flatnonzero(np.cumsum(whole)[:len(low)])
+        anchor = (low[at] & _PLACE).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
+        self.anchor, self.start, self.end = anchor[new], at[new], at[np.append(new[1:], len(at)) - 1] + window
+        self.gram, self.piece = hashes[self.anchor], np.searchsorted(ends, self.start, "right")
+        before = self.anchor - more
+        self.has = np.stack([before >= self.starts[self.piece], self.anchor + gram + more <= ends[self.piece]])
+        last = len(wide) - 1
+        self.sides = np.stack([wide[np.clip(before, 0, last)] ^ _STEP, wide[np.minimum(self.anchor, last)]])
+
+    def __len__(self) -> int:
+        return len(self.gram)
 
 
 def _gram(window: int) -> int:
@@ -108,7 +128,7 @@ def _chunks(batches, window: int, skip=None):
 
 
 def _filter(bits: DataFrame) -> np.ndarray:
-    """A filter of 2^FILTER_BITS bits, 8 MB whatever the number of rows, with the bits in column ``bit`` set."""
+    """A filter of 2^FILTER_BITS bits, 16 MB whatever the number of rows, with the bits in column ``bit`` set."""
     number = F.col("bit") + 1
     rows = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
@@ -119,13 +139,18 @@ def _filter(bits: DataFrame) -> np.ndarray:
     return out
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+#: Leading bits of a hash that give its two places in a filter: the first and the last FILTER_BITS of them.
+KNOWN_BITS = 38
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    known = hashes >> np.uint64(64 - KNOWN_BITS)
+    return np.stack([known >> np.uint64(KNOWN_BITS - FILTER_BITS), known & np.uint64((1 << FILTER_BITS) - 1)]).astype(np.int64)
 
 
 def _passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = _bit(hashes)
-    return (known[bit >> 3] >> (bit & 7) & 1).astype(bool)
+    bits = _bits(hashes)
+    return (known[bits >> 3] >> (bits & 7) & 1).all(0)
 
 
 class Texts:
@@ -140,7 +165,9 @@ class Texts:
         groups = write_table(narrow.groupBy("hash", "more").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
         self.copies = (narrow.join(groups, ["hash", "more"]).where("doc > first")
                        .select("doc", "hash", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end")))
-        self.skip = spark.sparkContext.broadcast(_filter(groups.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit"))))
+        known = F.shiftrightunsigned("hash", 64 - KNOWN_BITS)
+        both = F.array(F.shiftright(known, KNOWN_BITS - FILTER_BITS), known.bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("bigint")))
+        self.skip = spark.sparkContext.broadcast(_filter(groups.select(F.explode(both).alias("bit"))))
         skip = self.skip
 
         def repeated(batches):
@@ -160,17 +187,19 @@ class Texts:
 
 
 def repeated_grams(texts: Texts, window: int) -> np.ndarray:
-    """The filter of the anchors' grams that occur in two documents or more.  32 bits of each are sent, dealt by the bits above."""
+    """The filter of the anchors' grams that occur in two documents or more, with what stands on one side of them.  32 bits of each
+    hash are sent, dealt by the bits above."""
     spark = texts.all.sparkSession
-    parts_log = min(11, max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    parts_log = min(11, max(KNOWN_BITS - 32, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     low = np.uint64(20)
 
     def deal(skip):
         def run(batches):
             for pieces, _, _, _ in _chunks(batches, window, skip):
-                gram, _, _, _, piece = anchors(pieces, window)
+                found = Anchors(pieces, window)
+                hashes, piece = found.sides[found.has], np.broadcast_to(found.piece, found.has.shape)[found.has]
                 # Once for each piece: 20 bits for its number are left below the hash.
-                once = np.unique(gram >> np.uint64(32 - parts_log) << low | piece.astype(np.uint64) & np.uint64((1 << 20) - 1)) if len(gram) else gram
+                once = np.unique(hashes >> np.uint64(32 - parts_log) << low | piece.astype(np.uint64) & np.uint64((1 << 20) - 1))
                 hashes, n = np.unique(once >> low, return_counts=True)
                 part, rest = hashes >> np.uint64(32), hashes.astype(np.uint32)
                 cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
@@ -187,7 +216,7 @@ def repeated_grams(texts: Texts, window: int) -> np.ndarray:
         def done():
             found, n = np.unique(np.concatenate(blocks), return_counts=True)
             whole = (np.uint64(part) << np.uint64(32) | found[n > 1].astype(np.uint64)) << np.uint64(32 - parts_log)
-            return pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(whole)))], ["bit"])
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(whole)))], ["bit"])
 
         for batch in batches:
             for i, block in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -220,15 +249,13 @@ def stretches(texts: Texts, window: int, known) -> DataFrame:
     def task(skip):
         def run(batches):
             for pieces, rows, places, batch in _chunks(batches, window, skip):
-                gram, anchor, start, end, piece = anchors(pieces, window)
-                at = np.flatnonzero(_passes(known.value, gram))
-                data = np.frombuffer(b"".join(pieces), np.uint8)
-                lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                place = anchor - (np.cumsum(lengths) - lengths)[piece] + places[piece]
+                found = Anchors(pieces, window)
+                at = np.flatnonzero((np.stack([_passes(known.value, side) for side in found.sides]) & found.has).any(0)) if len(found) else found.anchor
+                place = found.anchor - found.starts[found.piece] + places[found.piece]
                 for part in np.split(at, range(1 << 15, len(at), 1 << 15)):
-                    row = pa.array(rows[piece[part]])
+                    anchor, row = found.anchor[part], pa.array(rows[found.piece[part]])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram[part].view(np.int64)), _slices(data, anchor[part] + size, end[part]), _slices(data, start[part], anchor[part]),
+                        [pa.array(found.gram[part].view(np.int64)), _slices(found.data, anchor + size, found.end[part]), _slices(found.data, found.start[part], anchor),
                          batch.column(0).take(row), batch.column(1).take(row), pa.array(place[part])], ["gram", "right", "left", "doc", "hash", "anchor"])
 
         return run
@@ -283,23 +310,23 @@ def least_documents(kinds: list[tuple[bytes, bytes, int]], window: int) -> list[
 
 
 class _Found:
-    """Rows that a task returns: spans (0), strings at a cut (1), and places of stretches that have such (2)."""
+    """Rows that a task returns: spans, and with their string those at a cut for which another task may hold a smaller document."""
 
-    SCHEMA = "kind int, doc bigint, hash bigint, start bigint, end bigint, gram bigint, stretch bigint, string binary"
-    TYPES = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+    SCHEMA = "doc bigint, hash bigint, start bigint, end bigint, gram bigint, string binary"
+    TYPES = [*[pa.int64()] * 5, pa.binary()]
+    NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def __init__(self):
         self.rows: list[tuple] = []
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), self.TYPES)], [c.split()[0] for c in self.SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), self.TYPES)], self.NAMES)
 
 
 def _spans(doc, hash_, start, end) -> pa.RecordBatch:
-    n = len(doc)
-    columns = [pa.array(np.zeros(n, np.int32)), doc, hash_, pa.array(start), pa.array(end), *[pa.nulls(n, t) for t in _Found.TYPES[5:]]]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _Found.SCHEMA.split(", ")])
+    columns = [doc, hash_, pa.array(start), pa.array(end), *[pa.nulls(len(doc), t) for t in _Found.TYPES[4:]]]
+    return pa.RecordBatch.from_arrays(columns, _Found.NAMES)
 
 
 def _scan(window: int):
@@ -315,21 +342,20 @@ def _scan(window: int):
                 members.append([])
             members[-1].append(place)
         for (right, left, _), own, least in zip(kinds, members, least_documents(kinds, window)):
-            shared = max((_common(right, edge) for edge in (first, last) if edge is not None), default=-1)
-            # The string at q has window - size - (len(left) - q) bytes of the right part: open ones come first.
-            cut = max(0, min(len(least), shared - window + size + len(left) + 1)) if shared >= 0 else 0
-            if cut:
-                key = xxhash.xxh64_intdigest(left + b"|" + right, seed=len(left)) - (1 << 63)
-                whole = left + b"\xff" * size + right
-                out.rows.extend((1, least[q], None, q - len(left), q - len(left) + window, gram, key, whole[q:q + window]) for q in range(cut))
-                out.rows.extend((2, doc, hash_, anchor, None, gram, key, None) for doc, hash_, anchor in own)
+            # A smaller document here is enough, whatever other tasks hold.
             high, ranges = own[-1][0], {}
-            for q in range(cut, len(least)):
-                if least[q] < high:
-                    ranges[least[q]] = (ranges.get(least[q], (q,))[0], q + window)
+            for q, low in enumerate(least):
+                if low < high:
+                    ranges[low] = (ranges.get(low, (q,))[0], q + window)
             # Strings of one stretch overlap, so those of one document and all between them are one span.
             for low, (begin, end) in ranges.items():
-                out.rows.extend((0, doc, hash_, anchor + begin - len(left), anchor + end - len(left), None, None, None) for doc, hash_, anchor in own if doc > low)
+                out.rows.extend((doc, hash_, anchor + begin - len(left), anchor + end - len(left), None, None) for doc, hash_, anchor in own if doc > low)
+            shared = max((_common(right, edge) for edge in (first, last) if edge is not None), default=-1)
+            # The string at q has window - size - (len(left) - q) bytes of the right part: those that may go on elsewhere come first.
+            whole = left + b"\xff" * size + right
+            for q in range(max(0, min(len(least), shared - window + size + len(left) + 1)) if shared >= 0 else 0):
+                out.rows.extend((doc, hash_, anchor + q - len(left), anchor + q - len(left) + window, gram, whole[q:q + window])
+                                for doc, hash_, anchor in own if doc == least[q])
 
     def run(batches):
         out, carry, first = _Found(), None, True
@@ -400,13 +426,11 @@ def earlier_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stretches(texts, window, known).repartitionByRange(*order).sortWithinPartitions(*order)
     found = write_table(rows.mapInArrow(_scan(window), _Found.SCHEMA))
     place = ["doc", "hash", "start", "end"]
-    # At a cut: the smallest document of each string, then one span for each stretch and document.
-    strings = found.where("kind = 1").select("gram", "stretch", "start", "end", "string", F.col("doc").alias("low"))
-    least = strings.groupBy("gram", "string").agg(F.min("low").alias("least"))
-    ranges = strings.join(least, ["gram", "string"]).groupBy("gram", "stretch", "least").agg(F.min("start").alias("begin"), F.max("end").alias("stop"))
-    cut = (found.where("kind = 2").select("gram", "stretch", "doc", "hash", F.col("start").alias("anchor")).join(ranges, ["gram", "stretch"]).where("least < doc")
-           .select("doc", "hash", (F.col("anchor") + F.col("begin")).alias("start"), (F.col("anchor") + F.col("stop")).alias("end")))
-    return found.where("kind = 0").select(*place).unionAll(cut).unionAll(texts.copies.where(F.col("end") >= window))
+    # At a cut: the smallest document of each task and string, against the smallest of all.
+    strings = found.where("string is not null")
+    least = strings.groupBy("gram", "string").agg(F.min("doc").alias("least"))
+    cut = strings.join(least, ["gram", "string"]).where("least < doc").select(*place)
+    return found.where("string is null").select(*place).unionAll(cut).unionAll(texts.copies.where(F.col("end") >= window))
 
 
 def _cut_out(batches):
