@@ -7,7 +7,7 @@ from ..sources.files import NA_TOKENS
 from .views import view_sql
 
 DC, DO, SE, NP = (view_sql(v) for v in ("dirty_customer", "dirty_orders", "sparse_events", "near_part"))
-MN, BI, DL, DP = (view_sql(v) for v in ("messy_names", "births", "dup_lineitem", "dup_orders"))
+MN, BI, DL, DP, MO = (view_sql(v) for v in ("messy_names", "births", "dup_lineitem", "dup_orders", "money_orders"))
 
 TOKENS = "(" + ", ".join(f"'{t}'" for t in PLACEHOLDERS) + ")"
 DC_COLUMNS = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "contact_email", "contact_phone", "cust_age"]
@@ -34,6 +34,11 @@ def null_token(c: str) -> str:
     return f"CASE WHEN {c} NOT IN ({', '.join(repr(t) for t in NA_TOKENS)}) THEN {c} END AS {c}"
 
 
+def decided(step: str, op: str, column: str, changes: str, source: str, retyped: str = "") -> str:
+    return (f"SELECT '{step}' AS step, '{op}' AS op, '{column}' AS column_name, count(*) FILTER ({changes}) AS changed, "
+            f"'{retyped}' AS retyped FROM {source}")
+
+
 def null_out(c: str) -> str:
     return f"CASE WHEN {c} = '' OR lower({strip(c)}) IN {TOKENS} THEN NULL ELSE {c} END"
 
@@ -333,8 +338,8 @@ ORACLES: dict[str, str] = {
     "p6_distinct_counts": union(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count FROM part"
                                 for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")),
     "p7_sample_values": union(
-        f"(SELECT '{c}' AS column_name, c_custkey AS _row_id, {c} AS value FROM {DC} t WHERE {c} IS NOT NULL "
-        f"ORDER BY c_custkey LIMIT 5)" for c in DC_TEXT),
+        f"(SELECT '{c}' AS column_name, c_custkey AS _row_id, CAST({c} AS VARCHAR) AS value FROM {DC} t WHERE {c} IS NOT NULL "
+        f"ORDER BY c_custkey LIMIT 5)" for c in DC_COLUMNS),
     "p8_numeric_profile": NUMERIC,
     "p8_numeric_profile_refined": NUMERIC,
     "p9_top_values": union(
@@ -417,6 +422,18 @@ ORACLES: dict[str, str] = {
         for c in (" Brand ", "Half  Full", "nothing", "size")),
     "x15_integral_cast": "SELECT * REPLACE (l_linenumber::BIGINT AS l_linenumber, l_quantity::BIGINT AS l_quantity) FROM lineitem",
     "x16_drop_duplicates": f"SELECT DISTINCT * FROM {DP} t",
+    "r4_date_decision": decided("fix_formats", "to_date", "order_date", f"order_date IS DISTINCT FROM strftime({parse_date('order_date')}, '%Y-%m-%d')", f"{DO} t"),
+    "r5_number_decision": decided("fix_formats", "to_number", "amount", f"amount IS DISTINCT FROM CAST({money('amount')} AS VARCHAR)", f"{MO} t", "string -> double"),
+    "r7_duplicate_decision": (f"SELECT 'fix_duplicates' AS step, 'drop_duplicates' AS op, NULL::VARCHAR AS column_name, "
+                              f"(SELECT count(*) FROM {DP} t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {DP} t)) AS changed, '' AS retyped"),
+    "r8_near_duplicate_decision": (
+        f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key FROM {NP} t), "
+        f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "
+        f"UNION ALL SELECT key, key FROM keys WHERE key <> ''), "
+        f"firsts AS (SELECT hits.kb AS key, min(e.p_partkey) AS first FROM np e JOIN hits ON hits.ka = e.key GROUP BY 1) "
+        f"SELECT 'fix_duplicates' AS step, 'flag_near_duplicates' AS op, NULL::VARCHAR AS column_name, count(*) AS changed, '' AS retyped "
+        f"FROM np JOIN firsts USING (key) WHERE first < p_partkey"),
+    "r9_outlier_decision": decided("fix_broken_entries", "cap", "value", "value < lo OR value > hi", f"events, ({fences('events', 'value')}) q"),
     "x17_near_flags_any_earlier": (
         f"WITH RECURSIVE {lcs_scores(NP, 'p_name')}, np AS (SELECT *, {sort_key('p_name')} AS key, row_number() OVER (ORDER BY p_partkey) AS i FROM {NP} t), "
         f"hits AS (SELECT ka, kb FROM scores WHERE score >= 92 UNION ALL SELECT kb, ka FROM scores WHERE score >= 92 "

@@ -129,8 +129,7 @@ def p6_distinct_counts(spark, sf):
 
 @query
 def p7_sample_values(spark, sf):
-    return profile.sample_values(with_row_id(view(spark, sf, "dirty_customer"), "c_custkey"),
-                                 columns=["c_mktsegment", "contact_email", "contact_phone"])
+    return profile.sample_values(with_row_id(view(spark, sf, "dirty_customer"), "c_custkey"))
 
 
 @query
@@ -331,6 +330,37 @@ def r1_r3_missing_decisions(spark, sf):
     return decisions.decisions_frame(spark, found).select("op", "column_name", "changed", F.get_json_object("evidence", "$.how").alias("how"))
 
 
+def _decided(spark, df, step, config=CFG):
+    """What one step decides on a view, and what it changes."""
+    found = cleaning.fit_step(df, step, config)[1]
+    return decisions.decisions_frame(spark, found).select("step", "op", "column_name", "changed", "retyped")
+
+
+@query
+def r4_date_decision(spark, sf):
+    return _decided(spark, with_row_id(view(spark, sf, "dirty_orders"), "o_orderkey"), "fix_formats")
+
+
+@query
+def r5_number_decision(spark, sf):
+    return _decided(spark, with_row_id(view(spark, sf, "money_orders"), "o_orderkey"), "fix_formats")
+
+
+@query
+def r7_duplicate_decision(spark, sf):
+    return _decided(spark, duplicated(spark, sf, "dup_orders"), "fix_duplicates")
+
+
+@query
+def r8_near_duplicate_decision(spark, sf):
+    return _decided(spark, with_row_id(view(spark, sf, "near_part"), "p_partkey"), "fix_duplicates")
+
+
+@query
+def r9_outlier_decision(spark, sf):
+    return _decided(spark, with_row_id(table(spark, sf, "events"), "event_id"), "fix_broken_entries")
+
+
 # --- repairs -------------------------------------------------------------------
 
 @query

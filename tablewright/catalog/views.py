@@ -30,6 +30,10 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
                           "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) END"),
         ("cust_age", "CAST((c_custkey * 37) % 200 - 20 AS BIGINT)"),
     ]),
+    "money_orders": ("orders", [
+        ("o_orderkey", "o_orderkey"),
+        ("amount", f"CASE WHEN o_orderkey % 3 = 0 THEN {_MONEY} ELSE CAST(o_totalprice AS STRING) END"),
+    ]),
     "dirty_orders": ("orders", [
         ("o_orderkey", "o_orderkey"),
         ("order_date", f"CASE o_orderkey % 4 WHEN 0 THEN concat({_YEAR}, '-', {_MONTH}, '-', {_DAY}) "

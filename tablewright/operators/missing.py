@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import as_text, is_blank, is_missing, is_null, is_placeholder
-from .rows import ROW_ID, col, field_types, tall_aggregates
+from .rows import col, field_types, first_cells, tall_aggregates
 
 MISSING_METRICS = [("n_rows", "bigint"), ("n_null", "bigint"), ("n_blank", "bigint"),
                    ("n_placeholder", "bigint"), ("n_placeholder_or_null", "bigint"),
@@ -37,14 +37,5 @@ def missing_profile(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def missing_examples(df: DataFrame, k: int = 3, config: Config = DEFAULT) -> DataFrame:
-    """Up to k raw missing values per column in row order (NULL included)."""
-    parts = []
-    for name, dtype in field_types(df).items():
-        parts.append(df.filter(is_missing(col(name), dtype, config.placeholders))
-                     .select(ROW_ID, F.lit(name).alias("column_name"),
-                             as_text(col(name), dtype).alias("value"))
-                     .orderBy(ROW_ID).limit(k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column_name", ROW_ID, "value")
+    """Up to k raw missing values per column in row order (NULL included); one scan."""
+    return first_cells(df, {c: is_missing(col(c), t, config.placeholders) for c, t in field_types(df).items()}, k)

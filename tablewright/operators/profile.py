@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..config import DEFAULT, Config
 from ..functions import as_text, is_null
 from .quantiles import quantiles
-from .rows import (ROW_ID, aggregate_row, col, field_types, is_numeric,
+from .rows import (ROW_ID, aggregate_row, col, field_types, first_cells, is_numeric,
                    tall_aggregates, value_counts)
 
 
@@ -108,22 +108,9 @@ def top_values(df: DataFrame, k: int = 3, columns=None) -> DataFrame:
 
 
 def sample_values(df: DataFrame, k: int = 5, columns=None) -> DataFrame:
-    """First k non-null values of each column in row order.
-
-    One top-k selection per column: each keeps k rows per task and reads only
-    that column and the row id.
-    """
+    """First k non-null values of each column in row order; one scan."""
     types = field_types(df)
-    parts = []
-    for c in (columns or types):
-        parts.append(df.filter(~is_null(col(c), types[c]))
-                     .select(ROW_ID, F.lit(c).alias("column_name"),
-                             as_text(col(c), types[c]).alias("value"))
-                     .orderBy(ROW_ID).limit(k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column_name", ROW_ID, "value")
+    return first_cells(df, {c: ~is_null(col(c), types[c]) for c in (columns or types)}, k)
 
 
 def numeric_values(df: DataFrame, columns=None) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
@@ -141,6 +141,24 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def first_cells(df: DataFrame, wanted: dict[str, Column], k: int) -> DataFrame:
+    """(column_name, row id, value): the first k cells, in row order, of each column for which its condition holds.
+
+    One scan for any number of columns: the cells that qualify are unfolded,
+    and the rank filter keeps k of each column in every task before the shuffle.
+    """
+    from ..functions import as_text
+
+    types = field_types(df)
+    if not wanted:
+        return df.select(F.lit("").alias("column_name"), ROW_ID, F.lit("").alias("value")).limit(0)
+    cells = F.array(*[F.when(p, F.struct(F.lit(c).alias("column_name"), as_text(col(c), types[c]).alias("value"))) for c, p in wanted.items()])
+    w = Window.partitionBy("column_name").orderBy(ROW_ID)
+    return (df.select(ROW_ID, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("cell"))
+            .select("cell.column_name", ROW_ID, "cell.value")
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank"))
+
+
 def is_numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 
