@@ -7,7 +7,7 @@ from ..sources.files import NA_TOKENS
 from .views import view_sql
 
 DC, DO, SE, NP = (view_sql(v) for v in ("dirty_customer", "dirty_orders", "sparse_events", "near_part"))
-MN, BI, DL, DP, MO = (view_sql(v) for v in ("messy_names", "births", "dup_lineitem", "dup_orders", "money_orders"))
+MN, BI, DL, DP, MO, ME = (view_sql(v) for v in ("messy_names", "births", "dup_lineitem", "dup_orders", "money_orders", "mixed_events"))
 
 TOKENS = "(" + ", ".join(f"'{t}'" for t in PLACEHOLDERS) + ")"
 DC_COLUMNS = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "contact_email", "contact_phone", "cust_age"]
@@ -422,6 +422,15 @@ ORACLES: dict[str, str] = {
         for c in (" Brand ", "Half  Full", "nothing", "size")),
     "x15_integral_cast": "SELECT * REPLACE (l_linenumber::BIGINT AS l_linenumber, l_quantity::BIGINT AS l_quantity) FROM lineitem",
     "x16_drop_duplicates": f"SELECT DISTINCT * FROM {DP} t",
+    "f2_json_types": (
+        f"WITH j AS (SELECT payload::JSON AS j FROM {ME} t WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), "
+        f"k AS (SELECT unnest(json_keys(j)) AS key, j FROM j), "
+        f"v AS (SELECT key, json_type(json_extract(j, '$.' || key)) AS kind FROM k) "
+        f"SELECT 'payload' AS column_name, key, CASE WHEN kind IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN kind = 'VARCHAR' THEN 'text' "
+        f"ELSE lower(kind) END AS kind, count(*) AS n FROM v GROUP BY ALL"),
+    "rule_counts": ("SELECT 'l_discount' AS column_name, 'discount_too_high' AS rule, count(*) FILTER (l_discount > 0.08::DOUBLE) AS n FROM lineitem "
+                    "UNION ALL SELECT 'l_orderkey', 'odd_key', count(*) FILTER (l_orderkey % 2 = 1) FROM lineitem"),
+    "rule_repair": "SELECT * REPLACE (CASE WHEN l_discount > 0.08::DOUBLE THEN 0.08::DOUBLE ELSE l_discount END AS l_discount) FROM lineitem",
     "r4_date_decision": decided("fix_formats", "to_date", "order_date", f"order_date IS DISTINCT FROM strftime({parse_date('order_date')}, '%Y-%m-%d')", f"{DO} t"),
     "r5_number_decision": decided("fix_formats", "to_number", "amount", f"amount IS DISTINCT FROM CAST({money('amount')} AS VARCHAR)", f"{MO} t", "string -> double"),
     "r7_duplicate_decision": (f"SELECT 'fix_duplicates' AS step, 'drop_duplicates' AS op, NULL::VARCHAR AS column_name, "

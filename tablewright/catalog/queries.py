@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import Config
+from ..config import Config, Rule
 from ..operators import (broken, categories, constants, duplicates, formats, missing,
                          outliers, profile, repairs, similarity, text_lsh)
 from ..operators.repairs import Action, apply_actions
@@ -181,6 +181,11 @@ def f5_numeric_format_mix(spark, sf):
     return formats.format_counts(view(spark, sf, "dirty_orders").select("amount"), checks=("multiple_numeric_formats",))
 
 
+@query
+def f2_json_types(spark, sf):
+    return formats.json_types(view(spark, sf, "mixed_events"))
+
+
 @query
 def f1_format_issues(spark, sf):
     return formats.format_issues(view(spark, sf, "dirty_orders"),
@@ -336,6 +341,22 @@ def _decided(spark, df, step, config=CFG):
     return decisions.decisions_frame(spark, found).select("step", "op", "column_name", "changed", "retyped")
 
 
+# Rules of one's own: on discounts with a replacement, on keys as a report only.
+OWN_RULES = Config(rules=(Rule("discount_too_high", "{value} > 0.08", words=("discount",), repair="0.08"),
+                          Rule("odd_key", "{value} % 2 = 1", columns=("l_orderkey",), repair=None)))
+
+
+@query
+def rule_counts(spark, sf):
+    return broken.broken_counts(table(spark, sf, "lineitem"), OWN_RULES, AS_OF)
+
+
+@query
+def rule_repair(spark, sf):
+    df = table(spark, sf, "lineitem")
+    return apply_actions(df, fitting.fit_domains(df, OWN_RULES), OWN_RULES)
+
+
 @query
 def r4_date_decision(spark, sf):
     return _decided(spark, with_row_id(view(spark, sf, "dirty_orders"), "o_orderkey"), "fix_formats")

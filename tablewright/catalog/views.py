@@ -30,6 +30,12 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
                           "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) END"),
         ("cust_age", "CAST((c_custkey * 37) % 200 - 20 AS BIGINT)"),
     ]),
+    "mixed_events": ("events", [
+        ("event_id", "event_id"),
+        ("payload", "CASE event_id % 7 WHEN 0 THEN concat('{\"k\": ', CAST(user_id AS STRING), '}') WHEN 1 THEN concat('{\"k\": \"', event_type, '\", \"other\": 1}') "
+                    "WHEN 2 THEN concat('{\"k\": {\"n\": ', CAST(user_id AS STRING), '}}') WHEN 3 THEN '{\"k\": null}' "
+                    "WHEN 4 THEN '{\"k\": [1, 2], \"other\": true}' WHEN 5 THEN '{\"k\": 2.5}' ELSE 'not JSON' END"),
+    ]),
     "money_orders": ("orders", [
         ("o_orderkey", "o_orderkey"),
         ("amount", f"CASE WHEN o_orderkey % 3 = 0 THEN {_MONEY} ELSE CAST(o_totalprice AS STRING) END"),

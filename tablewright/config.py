@@ -44,6 +44,22 @@ EMAIL_PATTERN = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 PHONE_PATTERN = r"^\+?[\d\s\-().]{7,15}$"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A check of one's own: what makes a value of certain columns wrong, and what to put in its place.
+
+    ``condition`` and ``repair`` are SQL expressions in which ``{value}`` stands for the column; without a repair wrong values
+    are reported only.  A rule holds for columns named in ``columns`` or whose names hold one of ``words``.  Plain
+    text, so that a fitted plan with such a rule can be stored and applied again.
+    """
+
+    name: str
+    condition: str
+    words: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
+    repair: str | None = "NULL"
+
+
 @dataclass(frozen=True)
 class Config:
     """All thresholds and switches.
@@ -86,6 +102,8 @@ class Config:
     near_duplicate_mode: str = "any_earlier"   # or "greedy"; "lsh" for long texts
     blanks_match: bool = False
 
+    rules: tuple[Rule, ...] = ()
+
     examples: int = 5
     # Above this many rows quantiles come from bracket refinement instead of
     # the built-in exact aggregate, whose buffer grows with distinct values.
@@ -101,6 +119,9 @@ class Config:
     def with_(self, **changes) -> "Config":
         return replace(self, **changes)
 
+    def rules_for(self, column: str) -> list[Rule]:
+        return [r for r in self.rules if column in r.columns or (r.words and self.has_role(column, r.words))]
+
     def has_role(self, column: str, words: tuple[str, ...]) -> bool:
         """True when the column name carries one of the role keywords."""
         name = column.lower()

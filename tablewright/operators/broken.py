@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import (AGE_WORDS, BIRTH_WORDS, DATE_CHECK_WORDS, DEFAULT, EMAIL_PATTERN,
                       EMAIL_WORDS, PHONE_CHECK_WORDS, PHONE_PATTERN, Config)
 from ..functions import as_text, is_null, parse_date, parse_number
-from .rows import ROW_ID, col, field_types, is_numeric, is_temporal, tall_aggregates
+from .rows import ROW_ID, col, expression, field_types, is_numeric, is_temporal, tall_aggregates
 
 
 def as_number(name: str, dtype) -> Column:
@@ -50,6 +50,7 @@ def broken_rules(df: DataFrame, config: Config = DEFAULT, as_of=None) -> list[tu
                 found.append(("unparseable_dates", present & ts.isNull()))
                 if config.has_role(name, BIRTH_WORDS):
                     found.append(("future_birth_dates", ts > now))
+        found += [(r.name, present & expression(r.condition, name)) for r in config.rules_for(name)]
         rules += [(name, rule, F.coalesce(p, F.lit(False))) for rule, p in found]
     return rules
 

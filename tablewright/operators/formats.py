@@ -66,3 +66,26 @@ def format_issues(df: DataFrame, config: Config = DEFAULT, checks=CHECKS,
                  F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
             .filter("n_labels > 1")
             .withColumn("issue", F.concat_ws("_", "column_name", "check_name")))
+
+
+#: Kinds of JSON value by the type that Spark gives a variant.
+_KINDS = {"BIGINT": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "text", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def json_types(df: DataFrame, columns=None) -> DataFrame:
+    """(column_name, key, kind, n): what kinds of value each key of JSON text holds.
+
+    Kinds are number, text, boolean, object, array and null.  Texts are parsed
+    once, as variants; what isn't a JSON object counts nothing.  A key with
+    several kinds beside null is a column of mixed types.
+    """
+    out = None
+    for c in (columns or string_columns(df)):
+        rows = df.select(F.try_parse_json(col(c)).alias("_json")).where(F.schema_of_variant("_json").startswith("OBJECT"))
+        cells = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_json").outer()))
+        name = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+        pairs = [x for item in _KINDS.items() for x in map(F.lit, item)]
+        kind = F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.when(name == "DECIMAL", F.lit("number")), F.lower(name))
+        part = cells.groupBy(F.lit(c).alias("column_name"), "key", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out

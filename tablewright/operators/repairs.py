@@ -20,7 +20,7 @@ from ..functions import (ascii_fold, as_text, is_null, iso_day, null_out, parse_
 from ..session import write_table
 from .broken import as_number, out_of_range
 from .duplicates import drop_duplicates
-from .rows import AGGREGATES_PER_PASS, aggregate_row, col, field_types, is_temporal
+from .rows import AGGREGATES_PER_PASS, aggregate_row, col, expression, field_types, is_temporal
 from .similarity import flag_near_duplicates
 
 
@@ -84,6 +84,7 @@ COLUMN_OPS = {
     "null_email": lambda c, t, p: F.when(as_text(c, t).rlike(EMAIL_PATTERN), c),
     "null_phone": lambda c, t, p: F.when(as_text(c, t).rlike(PHONE_PATTERN), c),
     "null_bad_date": lambda c, t, p: c if is_temporal(t) else F.when(parse_date(as_text(c, t)).isNotNull(), c),
+    "rule": lambda c, t, p: F.when(~F.coalesce(expression(p["condition"], p["column"]), F.lit(False)) | is_null(c, t), c).otherwise(expression(p["repair"], p["column"]).cast(t)),
     "cap": lambda c, t, p: clip(c, p["lower"], p["upper"]),
     "title": _text_only(title_case),
     "lower": _text_only(F.lower),

@@ -33,6 +33,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def expression(template: str, name: str) -> Column:
+    """SQL in which ``{value}`` stands for a column, whatever characters its name holds."""
+    return F.expr(template.replace("{value}", "`" + name.replace("`", "``") + "`"))
+
+
 def with_row_id(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """Add ``_row_id``: a copy of the caller's key or an id from the scan.
 

@@ -162,6 +162,9 @@ def fit_domains(df: DataFrame, config: Config = DEFAULT) -> list[Action]:
             add("null_phone", c)
         if config.nullify_bad_dates and config.has_role(c, DATE_CHECK_WORDS) and isinstance(t, T.StringType):
             add("null_bad_date", c)
+        for r in config.rules_for(c):
+            if r.repair is not None:
+                add("rule", c, {"rule": r.name, "condition": r.condition, "repair": r.repair, "column": c})
     return actions
 
 
