@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 Each text gives two histograms: characters by class, and words by a list of
-common words of several languages (one more bin for all other words).  The mean histograms of a language over all its
-texts that pass the length guards are its references.  A text is judged by the Jensen-Shannon distance (base 2, 0 to 1)
+common words of several languages (one more bin for all other words).  The mean histograms of a listed language over all its
+texts that pass the length guards are its references, the means of all texts those of every other language.  A text is judged by the Jensen-Shannon distance (base 2, 0 to 1)
 to the nearest language's references; texts under a minimum length are not judged by it.
 
 One pass over the texts leaves a row of a few hundred bytes for each; references and distances come from those.
@@ -20,8 +20,8 @@ from .common import col, process_cache, ship_with_tasks, write_table
 
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.32
-#: Languages with fewer judged texts than this give no reference.
-MIN_REFERENCE_TEXTS = 5
+#: Texts that the mean of all texts counts as in a language's own mean.
+PRIOR = 5.0
 
 # Frequent function words.
 COMMON_WORDS = {
@@ -111,11 +111,21 @@ def measures(df: DataFrame, id_col: str, text_col: str, lang_col: str, common: d
                                 "n_dup_lines bigint, n_repeat_words bigint, classes array<bigint>, common array<bigint>")
 
 
-def references(rows: DataFrame, size: int, column: str, total, guard) -> dict[str | None, list[float]]:
-    """Mean histogram of each language over the rows that pass the guard: one short row for each language."""
-    means = [F.avg(F.col(column)[k] / total).alias(f"m{k}") for k in range(size)]
-    found = rows.where(guard).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *means).where(F.col("n") >= MIN_REFERENCE_TEXTS)
-    return {r["lang"]: [r[f"m{k}"] for k in range(size)] for r in found.collect()}
+def references(rows: DataFrame, languages, size: int, column: str, total, guard) -> list[list[float]]:
+    """Mean histograms over the rows that pass the guard: of each listed language, and of all texts for every other one.
+
+    A language's mean counts the mean of all texts as ``PRIOR`` texts of its own, so that a few texts shade into many
+    without a limit between them.
+    """
+    shares = [F.sum(F.col(column)[k] / total).alias(f"s{k}") for k in range(size)]
+    named = F.when(F.col("lang").isin(*languages), F.col("lang")).alias("lang") if languages else F.lit(None).cast("string").alias("lang")
+    # At most one short row for each listed language and one for the others.
+    found = rows.where(guard).groupBy(named).agg(F.count(F.lit(1)).alias("n"), *shares).collect()
+    if not found:
+        return []
+    sums = {r["lang"]: (r["n"], np.array([r[f"s{k}"] for k in range(size)])) for r in found}
+    pooled = sum(s for _, s in sums.values()) / sum(n for n, _ in sums.values())
+    return [pooled.tolist()] + [((s + PRIOR * pooled) / (n + PRIOR)).tolist() for lang, (n, s) in sorted(sums.items(), key=lambda x: str(x[0])) if lang is not None]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -125,9 +135,9 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (part(p) + part(q)) / 2))
 
 
-def _nearest(counts: np.ndarray, refs: dict) -> np.ndarray:
+def _nearest(counts: np.ndarray, refs: list) -> np.ndarray:
     share = counts / np.maximum(1, counts.sum(1, keepdims=True))
-    return np.min([js_distance(share, np.asarray(q)) for q in refs.values()], axis=0) if refs else np.zeros(len(counts))
+    return np.min([js_distance(share, np.asarray(q)) for q in refs], axis=0) if refs else np.zeros(len(counts))
 
 
 def rule_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -139,15 +149,16 @@ def rule_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``base_failed``: under 10 words, or more than a fifth of the words in repeated 5-word windows.  Others are kept unless
     a distance exceeds its limit; under ``min_chars`` characters or ``min_words`` words that distance is null and rejects nothing.
 
-    Null text counts as empty: no words, base failed.  A null language is a language of its own for the references.
+    Null text counts as empty: no words, base failed.  A null or unlisted language is judged by the mean of all texts and
+    the listed languages.
     Repeated rows each get a row and count each.  Without references nothing is rejected by distance.  An empty table
     gives an empty result; further columns are ignored.
     """
     rows = write_table(measures(df, id_col, text_col, lang_col, common))
     width = len(word_list(common)) + 1
     n_chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    by_class = references(rows, len(CLASSES), "classes", n_chars, n_chars >= min_chars)
-    by_word = references(rows, width, "common", F.col("n_words"), F.col("n_words") >= min_words)
+    by_class = references(rows, list(common), len(CLASSES), "classes", n_chars, n_chars >= min_chars)
+    by_word = references(rows, list(common), width, "common", F.col("n_words"), F.col("n_words") >= min_words)
 
     def run(batches):
         for batch in batches:

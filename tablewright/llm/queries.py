@@ -115,8 +115,10 @@ ORACLES = {
         FROM u""",
     "op11_suffix_repeats": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS x FROM documents),
-             p AS (SELECT r, o, x, unnest(range(0, length(x) // 2 - 49)) AS p FROM d),
-             w AS (SELECT r, o, p, substr(x, 2 * p + 1, 100) AS s FROM p),
+             c AS (SELECT r, o, x, unnest(range(0, (length(x) // 2 + 950) // 1000)) * 1000 AS base FROM d),
+             y AS (SELECT r, o, base, substr(x, 2 * base + 1, 2098) AS y FROM c),
+             i AS (SELECT r, o, base, y, unnest(range(0, least(1000, length(y) // 2 - 49))) AS i FROM y),
+             w AS (SELECT r, o, base + i AS p, substr(y, 2 * i + 1, 100) AS s FROM i),
              f AS (SELECT s, min(o) AS first FROM w GROUP BY s HAVING min(o) < max(o)),
              t AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM w JOIN f USING (s) WHERE first < o),
              g AS (SELECT r, p, count(*) FILTER (WHERE gap IS NULL OR gap > 50) OVER (PARTITION BY r ORDER BY p) AS nth FROM t),

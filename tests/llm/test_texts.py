@@ -196,3 +196,19 @@ def test_secrets(spark):
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == want, texts[r.doc_id or 0]
     assert any("entropy_base64" in r.spans for r in rows) and any("entropy_hex" in r.spans for r in rows)
     assert e.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_verdicts_shade_with_the_number_of_texts(spark):
+    """No limit between few and many texts: one more text of a language moves a distance a little only."""
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    common = d.COMMON_WORDS["en"].split()
+    plain = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else word("aeiourstln") for _ in range(150)), "en") for i in range(12)]
+    odd = (100, " ".join(word("#$%aei") for _ in range(150)), "zz")
+    distances = []
+    for n in range(3, 8):
+        rows = d.rule_verdicts(spark.createDataFrame([*plain[:n], odd], "doc_id bigint, text string, lang string")).where("doc_id = 100").collect()
+        distances.append(rows[0].class_distance)
+    assert all(abs(a - b) < 0.08 for a, b in zip(distances, distances[1:]))
+    # A language of its own is no reference for itself.
+    assert distances[-1] > 0.2
