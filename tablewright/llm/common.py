@@ -6,12 +6,13 @@ import string
 import sys
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.rows import col
 from ..session import ensure_checkpoint_dir, ship_with_tasks, write_table
 
-__all__ = ["ascii_lower", "col", "process_cache", "scratch_path", "ship_with_tasks", "text_of", "word_count", "write_table"]
+__all__ = ["ascii_lower", "bit_filter", "col", "process_cache", "scratch_path", "ship_with_tasks", "text_of", "word_count", "write_table"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +38,18 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}/{uuid.uuid4().hex}"
 
 
+def bit_filter(bits: DataFrame, log_size: int) -> np.ndarray:
+    """The bits in column ``bit`` as 2^log_size packed bits, lowest first: that size whatever the number of rows."""
+    number = F.col("bit").cast("bigint") + 1
+    rows = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    out = np.zeros((1 << log_size) // 8, np.uint8)
+    for row in rows.collect():
+        at = (row["part"] - 1) * 4096
+        own = np.frombuffer(bytes(row["bits"]), np.uint8)[:len(out) - at]
+        out[at:at + len(own)] = own
+    return out
+
+
 def process_cache(key: str, make):
     """An object made once in each Python process; tasks that follow find it again."""
     store = sys.__dict__.setdefault("_tablewright_process_cache", {})

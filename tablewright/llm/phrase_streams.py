@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import col, ship_with_tasks, write_table
+from .common import bit_filter, col, ship_with_tasks, write_table
 
 LEAST, WORDS, TOP = 10, 3, 2000
 SCALE = 1_000_000
@@ -121,7 +121,7 @@ def _counted(table: pa.Table, orders: list[int], seen: np.ndarray | None):
                 ok = np.zeros(len(word), bool)
                 pair = _grams(word, piece, 2)
                 bit = _bit(hl[lang_id[pair]], h[word[pair]], h[word[pair + 1]])
-                ok[pair] = seen[bit >> 3] >> (7 - (bit & 7)) & 1
+                ok[pair] = seen[bit >> 3] >> (bit & 7) & 1
                 joined = joined[np.logical_and.reduce([ok[joined + k] for k in range(n - 1)])]
             place = np.full(len(word), -1)
             place[at] = number
@@ -160,6 +160,8 @@ def _count(orders: list[int], shared=None):
                 if size >= CHUNK or end < batch.num_rows:
                     yield from slices(_counted(pa.Table.from_batches(waiting), orders, seen))
                     waiting, size = [], 0
+                    # Two workers share what an executor's heap leaves over.
+                    pa.default_memory_pool().release_unused()
         if waiting:
             yield from slices(_counted(pa.Table.from_batches(waiting), orders, seen))
 
@@ -184,9 +186,7 @@ def _frequent_pairs(pairs: DataFrame) -> np.ndarray:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int32))], ["bit"])
 
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[pairs.select("lang", "phrase").mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True
-    return np.packbits(out)
+    return bit_filter(pairs.select("lang", "phrase").mapInArrow(bits, "bit int"), FILTER_BITS)
 
 
 def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, words: int = WORDS) -> tuple[DataFrame, DataFrame]:

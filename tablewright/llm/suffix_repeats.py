@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, ship_with_tasks, write_table
+from .common import bit_filter, col, ship_with_tasks, write_table
 
 WINDOW = 50
 #: Bytes handled at once in a task, and bits of a filter.
@@ -127,18 +127,6 @@ def _chunks(batches, window: int, skip=None):
             yield pieces, np.array(rows), np.array(places), batch
 
 
-def _filter(bits: DataFrame) -> np.ndarray:
-    """A filter of 2^FILTER_BITS bits, 16 MB whatever the number of rows, with the bits in column ``bit`` set."""
-    number = F.col("bit") + 1
-    rows = bits.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part, found in ((r["part"], r["bits"]) for r in rows.collect()):
-        at = (part - 1) * 4096
-        own = np.frombuffer(bytes(found), np.uint8)[:len(out) - at]
-        out[at:at + len(own)] = own
-    return out
-
-
 #: Leading bits of a hash that give its two places in a filter: the first and the last FILTER_BITS of them.
 KNOWN_BITS = 38
 
@@ -167,7 +155,7 @@ class Texts:
                        .select("doc", "hash", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end")))
         known = F.shiftrightunsigned("hash", 64 - KNOWN_BITS)
         both = F.array(F.shiftright(known, KNOWN_BITS - FILTER_BITS), known.bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("bigint")))
-        self.skip = spark.sparkContext.broadcast(_filter(groups.select(F.explode(both).alias("bit"))))
+        self.skip = spark.sparkContext.broadcast(bit_filter(groups.select(F.explode(both).alias("bit")), FILTER_BITS))
         skip = self.skip
 
         def repeated(batches):
@@ -229,7 +217,7 @@ def repeated_grams(texts: Texts, window: int) -> np.ndarray:
             yield done()
 
     dealt = texts.scan(deal, "part int, block binary").repartition("part").sortWithinPartitions("part")
-    return _filter(dealt.mapInArrow(count, "bit bigint"))
+    return bit_filter(dealt.mapInArrow(count, "bit bigint"), FILTER_BITS)
 
 
 def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
