@@ -89,6 +89,15 @@ def _short_limit(lengths: list[int], threshold: int) -> int:
     return limit
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast.
+
+    Spark judges keys by the size of the Parquet files behind them and counts nothing for what is exploded from them,
+    so it would collect far larger tables in the driver than its limit tells.
+    """
+    return df.hint("merge")
+
+
 def _subsequences(keys: DataFrame, lengths: list[int], limit: int, threshold: int) -> DataFrame:
     """(columns of keys, z, size): each key up to the length limit with the subsequences that a partner of it may share."""
     lengths = [n for n in lengths if n <= limit]
@@ -119,7 +128,7 @@ def _short_pairs(keys: DataFrame, lengths: list[int], limit: int, threshold: int
     a = emitted.select("z", F.col("key").alias("key_a"), F.col("size").alias("la"))
     b = emitted.select("z", F.col("key").alias("key_b"), F.col("size").alias("lb"))
     enough = _enough(F.length("z"), F.col("la") + F.col("lb"), threshold)
-    joined = a.join(b, "z").filter((F.col("key_a") < F.col("key_b")) & enough)
+    joined = a.join(_shuffled(b), "z").filter((F.col("key_a") < F.col("key_b")) & enough)
     return (joined.groupBy("key_a", "key_b").agg(F.max(F.length("z")).alias("lcs")))
 
 
@@ -204,8 +213,8 @@ def _long_pairs(keys: DataFrame, limit: int, longest: int, threshold: int) -> Da
     k = F.floor(total * F.lit(201 - 2 * threshold) / 200)
     near = (((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("id_a") < F.col("id_b"))))
             & (F.col("lb") - F.col("la") <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k))
-    met = left.join(right, ["gram", "band", "row_salt", "col_salt"]).filter(near).select("id_a", "id_b").distinct()
-    texts = lambda side: pool.select(F.col("id").alias(f"id_{side}"), F.col("key").alias(f"text_{side}"))
+    met = left.join(_shuffled(right), ["gram", "band", "row_salt", "col_salt"]).filter(near).select("id_a", "id_b").distinct()
+    texts = lambda side: _shuffled(pool.select(F.col("id").alias(f"id_{side}"), F.col("key").alias(f"text_{side}")))
     candidates = (met.join(texts("a"), "id_a").join(texts("b"), "id_b").filter("text_a <> text_b")
                   .select(F.least("text_a", "text_b").alias("key_a"), F.greatest("text_a", "text_b").alias("key_b"))
                   .distinct())
@@ -254,7 +263,7 @@ def near_pairs(df: DataFrame, columns=None, config: Config = DEFAULT, k: int | N
         pairs = similar_keys(keys.select("key"), config.similarity_threshold).filter("score < 100")
         a = keys.select(F.col("key").alias("key_a"), F.col("value").alias("a"), F.col("rows").alias("rows_a"))
         b = keys.select(F.col("key").alias("key_b"), F.col("value").alias("b"), F.col("rows").alias("rows_b"))
-        parts.append(pairs.join(a, "key_a").join(b, "key_b")
+        parts.append(pairs.join(_shuffled(a), "key_a").join(_shuffled(b), "key_b")
                      .select(F.lit(c).alias("column_name"), "a", "b", "score", "rows_a", "rows_b"))
     if not parts:
         return df.sparkSession.createDataFrame(
@@ -425,16 +434,16 @@ def first_alikes(df: DataFrame, column: str, row: str, config: Config = DEFAULT)
         low = (emitted.groupBy("z", "size").agg(F.min("first").alias("low"))
                .groupBy("z").agg(F.collect_list(F.struct("size", "low")).alias("lows")))
         fits = F.filter("lows", lambda x: _enough(F.length("z"), x["size"] + F.col("size"), threshold))
-        met = emitted.join(low, "z").groupBy("key").agg(F.min(F.array_min(F.transform(fits, lambda x: x["low"]))).alias("met"))
+        met = emitted.join(_shuffled(low), "z").groupBy("key").agg(F.min(F.array_min(F.transform(fits, lambda x: x["low"]))).alias("met"))
     if lengths and lengths[-1] > limit:
         pairs = _long_pairs(named.select("key"), limit, lengths[-1], threshold)
         both = pairs.select("key_a", "key_b").unionAll(pairs.select("key_b", "key_a"))
-        longer = (both.join(keys.withColumnRenamed("key", "key_b"), "key_b").groupBy(F.col("key_a").alias("key"))
+        longer = (both.join(_shuffled(keys.withColumnRenamed("key", "key_b")), "key_b").groupBy(F.col("key_a").alias("key"))
                   .agg(F.min("first").alias("met")))
         met = longer if met is None else met.unionByName(longer).groupBy("key").agg(F.min("met").alias("met"))
     if met is None:
         return keys
-    return keys.join(met, "key", "left").select("key", F.coalesce(F.least("first", "met"), "first").alias("first"))
+    return keys.join(_shuffled(met), "key", "left").select("key", F.coalesce(F.least("first", "met"), "first").alias("first"))
 
 
 def greedy_keys(df: DataFrame, column: str, row: str, config: Config = DEFAULT) -> DataFrame:
@@ -450,7 +459,7 @@ def greedy_keys(df: DataFrame, column: str, row: str, config: Config = DEFAULT)
             .groupBy("key").agg(F.min("row").alias("first")))
     keys = cut_lineage(keys if config.blanks_match else keys.filter("key <> ''"))
     pairs = similar_keys(keys.filter("key <> ''").select("key"), config.similarity_threshold)
-    place = lambda side: keys.select(F.col("key").alias(f"key_{side}"), F.col("first").alias(side))
+    place = lambda side: _shuffled(keys.select(F.col("key").alias(f"key_{side}"), F.col("first").alias(side)))
     links = write_table(pairs.join(place("a"), "key_a").join(place("b"), "key_b")
                         .select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")))
     flagged = None
@@ -487,7 +496,7 @@ def flag_near_duplicates(df: DataFrame, config: Config = DEFAULT, columns=None)
         greedy = config.near_duplicate_mode == "greedy"
         for i, c in enumerate(columns):
             firsts = (greedy_keys if greedy else first_alikes)(placed, c, row, config).withColumnsRenamed({"key": f"_key{i}", "first": f"_first{i}"})
-            placed = placed.join(firsts, F.coalesce(token_sort_key(col(c)), F.lit("")) == F.col(f"_key{i}"), "left")
+            placed = placed.join(_shuffled(firsts), F.coalesce(token_sort_key(col(c)), F.lit("")) == F.col(f"_key{i}"), "left")
             first = F.col(f"_first{i}")
             later = F.coalesce(first < F.col(row), F.lit(False))
             # Greedy: a key without a kept row is flagged whole.

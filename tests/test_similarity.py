@@ -191,3 +191,20 @@ def test_first_alikes_build_no_pairs(spark, table):
     many = spark.createDataFrame([(i, f"item {i:05d}") for i in range(3000)], "_row_id bigint, name string")
     plan = sim.first_alikes(many, "name", "_row_id")._jdf.queryExecution().toString()
     assert "key_a" not in plan
+
+
+def _joins(df):
+    """The joins that Spark plans before it has seen any row."""
+    return [n for n in df._jdf.queryExecution().sparkPlan().toString().split() if n.endswith("HashJoin") or n.endswith("MergeJoin")]
+
+
+def test_exploded_keys_are_never_broadcast(spark, tmp_path):
+    """Small compressed files may hold many keys, and each key is exploded into many rows."""
+    path = str(tmp_path / "names")
+    long = ["a much longer name of many words than the limit " + str(i % 7) for i in range(40)]
+    names = [f"Customer#{i:09d}" for i in range(40)] + long
+    spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, row bigint").write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (sim.near_pairs(df), sim.first_alikes(df, "name", "row")):
+        joins = _joins(out)
+        assert joins and not [j for j in joins if j.startswith("Broadcast")], joins
