@@ -376,12 +376,16 @@ def read_json_columns(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                              .when(surplus == 1, F.regexp_replace("value", r"(?s)\s*\}\s*$", "")).otherwise(F.col("value")))
     split = write_table(split)
     starts_ = split.where("name <> ''").select("path", "block", "nth", as_text(F.col("name")).alias("name"))
-    # One row for each column of a file, gathered for its cells.
-    heads = starts_.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "nth", "name"))).alias("heads"))
+    # One row for each file, with where its columns begin.  A number stands for the file in its cells, which are dealt by
+    # file and label: a file's cells would otherwise meet in one task, each with the file's whole name.
+    heads = write_table(starts_.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "nth", "name"))).alias("heads"))
+                        .withColumn("file", F.monotonically_increasing_id()))
     names = [r["name"] for r in starts_.groupBy("name").agg(F.min(F.struct("path", "block", "nth")).alias("at")).orderBy("at").collect()]
     own = F.element_at(F.filter("heads", lambda h: F.struct(h["block"], h["nth"]) <= F.struct(F.col("block"), F.col("nth"))), -1)["name"]
-    placed = split.join(heads, "path").select("path", as_text(F.col("label")).alias("label"), own.alias("name"), as_text(F.col("value")).alias("value"))
-    return (placed.groupBy("path", "label").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"c{i}") for i, n in enumerate(names)])
+    placed = (split.join(F.broadcast(heads), "path")
+              .select("file", as_text(F.col("label")).alias("label"), F.array_position(F.array(*map(F.lit, names)), own).cast("int").alias("column"), as_text(F.col("value")).alias("value"))
+              .repartition("file", "label"))
+    return (placed.groupBy("file", "label").agg(*[F.max(F.when(F.col("column") == i + 1, F.col("value"))).alias(f"c{i}") for i in range(len(names))])
             .select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]))
 
 

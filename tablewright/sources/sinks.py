@@ -60,21 +60,36 @@ def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_json_columns(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object for each task that maps every column to {row label: value}; a task holds its rows at once."""
-    names = df.columns
+    """One JSON object for each task that maps every column to {row label: value}, a few hundred cells in a line.
 
-    def run(batches):
-        cells: list[list[str]] = [[] for _ in names]
+    The lines are sorted by column within their task, where Spark's sort goes to disk as needed; no task holds its rows at once.
+    """
+    names, in_line = df.columns, 256
+
+    def cells(batches):
+        begin = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for own, value in zip(cells, json.loads(text).values()):
-                    own.append(json.dumps(value))
-        if cells and cells[0]:
-            columns = (f"{json.dumps(n)}:{{{','.join(f'\"{i}\":{v}' for i, v in enumerate(own))}}}" for n, own in zip(names, cells))
-            yield pa.RecordBatch.from_arrays([pa.array(["{" + ",".join(columns) + "}"], pa.string())], ["value"])
+            for at in range(0, batch.num_rows, in_line):
+                rows = [json.loads(text).values() for text in batch.column(0).slice(at, in_line).to_pylist()]
+                lines = [",".join(f'"{i}":{json.dumps(v)}' for i, v in enumerate(own, begin)) for own in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int32()), pa.array([begin] * len(lines), pa.int64()), pa.array(lines, pa.string())],
+                                                 ["nth", "begin", "line"])
+                begin += len(rows)
+
+    def framed(batches):
+        held, last = None, -1
+        for batch in batches:
+            for nth, line in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([held + ("," if nth == last else "},")], pa.string())], ["value"])
+                opened = "" if nth == last else ("{" if last < 0 else "") + json.dumps(names[nth]) + ":{"
+                held, last = opened + line.as_py(), nth
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + "}}"], pa.string())], ["value"])
 
     lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    _text_as_json(lines.mapInArrow(run, "value string"), path, mode)
+    placed = lines.mapInArrow(cells, "nth int, begin bigint, line string").sortWithinPartitions("nth", "begin")
+    _text_as_json(placed.mapInArrow(framed, "value string"), path, mode)
 
 
 def write_delimited_text(df: DataFrame, path: str, separator: str = "\t", mode: str = "overwrite") -> None:

@@ -3,9 +3,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.plans.run import analyze_directory, clean_directory
-from tablewright.sources import files
+from tablewright.sources import files, sinks
 
 
 @pytest.fixture
@@ -220,6 +221,35 @@ def test_json_columns_split(spark, tmp_path, small_blocks, indent):
     assert {tuple(r) for r in df.collect()} == {(i, table["c"][str(i)], table["d}"][str(i)]) for i in range(500)}
 
 
+def test_json_columns_are_written_cell_by_cell(spark, tmp_path):
+    """A task holds neither its rows nor a line that grows with them."""
+    rows = [(i, None if i % 5 == 0 else f'"é}}, {{{i}\n', i / 4) for i in range(6000)]
+    sinks.write_json_columns(spark.createDataFrame(rows, "`a b` bigint, c string, `d\"}` double").coalesce(1), str(tmp_path / "out"))
+    path, = (tmp_path / "out").glob("*.json")
+    table = json.loads(path.read_text())
+    assert list(table) == ["a b", "c", 'd"}'] and [list(t) for t in table.values()] == [[str(i) for i in range(6000)]] * 3
+    assert list(zip(*[t.values() for t in table.values()])) == rows
+    assert max(map(len, path.read_text().splitlines())) < 10_000
+    df, = files.load_directory(spark, str(tmp_path / "out"), ["json"]).frames()
+    assert sorted(map(tuple, df.collect())) == rows
+
+
+def test_cells_of_one_json_file_meet_in_many_tasks(spark, tmp_path, small_blocks):
+    table = {"a": {str(i): i for i in range(500)}, "b": {str(i): f"x{i}" for i in range(500)}}
+    (tmp_path / "a.json").write_text(json.dumps(table))
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = files.read_json_columns(spark, [str(tmp_path / "a.json")]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((int(r.a), r.b) for r in rows) == [(i, f"x{i}") for i in range(500)]
+    assert len({r.task for r in rows}) > 1
+
+
 def test_layout_of_long_json_is_judged_by_its_start():
     big = '{"a":{"0":' + "1" * (2 * files.READ_LIMIT)
     assert files.json_layout(iter([(big[:files.READ_STEP], False), (big, False)])) == ("columns", [])
