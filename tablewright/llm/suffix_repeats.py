@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bit_filter, col, ship_with_tasks, write_table
 
 WINDOW = 50
-#: Bytes handled at once in a task, and bits of a filter.
-CHUNK, FILTER_BITS = 4 << 20, 27
+#: Bytes handled at once in a task (its arrays take about a hundred times as many), and bits of a filter.
+CHUNK, FILTER_BITS = 1 << 20, 27
 #: Stands for a missing id, which comes after all others.
 NO_ID = (1 << 63) - 1
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

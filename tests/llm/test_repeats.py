@@ -88,3 +88,16 @@ def test_groups_are_maximal_and_hold_all_occurrences():
                 maximal[s] = places
         got = {strings[m[0][0]][m[0][1]:m[0][1] + n]: set(m) for n, m in sr.maximal_repeats(strings, 3)}
         assert got == maximal
+
+
+def test_a_chunk_takes_little_memory():
+    import tracemalloc
+
+    text = random.Random(5).randbytes(sr.CHUNK)
+    tracemalloc.start()
+    try:
+        found = sr.Anchors([text[at:at + 2000] for at in range(0, len(text), 2000)], sr.WINDOW)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) and peak < 150 << 20, peak >> 20
